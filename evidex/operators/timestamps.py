@@ -51,7 +51,7 @@ MONTHS = [
 ]
 MONTH = {name: k for k, line in enumerate(MONTHS, 1) for name in line.split()}
 
-_TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?(?:\s*(?P<ap>[ap])\.?m\.?)?(?:\s*(?:uhr|h))?"
+_TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?(?:\s*(?P<ap>[ap])\.?m\b\.?)?(?:\s*(?:uhr|h)\b)?"
 _ZONE = r"(?:\s*(?P<off>[+-]\d{2}(?::?\d{2})?))?(?:\s*(?P<abbr>[a-z]{1,5})(?![\w/]))?(?:\s*\[?(?P<zone>[a-z_]+(?:/[a-z_+\-0-9]+)+|\[[a-z]+\])\]?)?"
 _WORD = r"[^\W\d_]+"
 _FORMS = [
