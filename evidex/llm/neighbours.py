@@ -30,7 +30,7 @@ from evidex.session import stage
 
 #: Vectors of each model version the trees are fitted on, at most.
 SAMPLE = 20_000
-TREES, LEAF, VISITS = 10, 192, 128
+TREES, LEAF, VISITS = 10, 192, 64
 #: Queries sent to the vectors at once, which bounds what is broadcast.
 BLOCK = 8192
 

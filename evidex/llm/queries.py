@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.llm import conversations, langid, pii
+from evidex.llm import conversations, langid, mixing, names, neighbours, packing, pii, tokens
 from evidex.operators import deliveries
-from evidex.session import load, spread
+from evidex.session import load, spread, stage
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +20,19 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(texts, pii.fit(texts))
 
 
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    vectors, probes = load(spark, d, "embedding_cache"), load(spark, d, "probe_vectors").select("cache_id").distinct()
+    return neighbours.neighbours(vectors, vectors.join(probes, "cache_id", "left_semi"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.pairs(_neighbours(spark, d))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _neighbours(spark, d).withColumn("similarity", F.round("similarity", 6))
+
+
 def _verdicts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     messages = load(spark, d, "messages")
     kept = deliveries.first_deliveries(messages)
@@ -34,6 +47,43 @@ def p5_dialogues(spark: SparkSession, d: str) -> DataFrame:
     return conversations.dialogues(*_verdicts(spark, d))
 
 
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return names.spelling_groups(load(spark, d, "claims").select(F.col("subject_normalized").alias("value")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.spelling_pairs(_groups(spark, d))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _groups(spark, d)
+
+
+def _containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.sizes(spread(load(spark, d, "documents").select("doc_id", "text"))), load(spark, d, "pack_capacities"))
+
+
+def p8_contents(spark: SparkSession, d: str) -> DataFrame:
+    return packing.contents(_containers(spark, d))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(_containers(spark, d))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = stage(tokens.sizes(spread(load(spark, d, "documents").select("doc_id", "source", "text")), keep=("source",)), "sizes")
+    return mixing.mix(sizes, load(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     documents = load(spark, d, "documents")
     found = langid.detect(spread(documents.select("doc_id", "text")), langid.fit(documents))
@@ -46,7 +96,9 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p5_found, p5_dialogues, p10_found, p10_passages)}
+    return {f.__name__: f for f in (
+        p1_found, p1_redacted, p3_found, p3_neighbours, p5_found, p5_dialogues, p6_found, p6_groups, p8_contents, p8_fill, p9_mix, p9_shares, p10_found, p10_passages,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
