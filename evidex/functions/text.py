@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 SPACE = r"(?U)\s+"
 
@@ -25,13 +26,13 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode normal form KC."""
     return texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def casefold(texts: pd.Series) -> pd.Series:
     """Normal form KC, case folded."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
@@ -154,7 +155,7 @@ def opened_id(value: Column, schema: str) -> Column:
     return F.from_json(F.try_to_binary(padded, F.lit("base64")).cast("string"), schema)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """JSON with sorted keys and without blanks; null where the text is no JSON."""
 
@@ -200,7 +201,7 @@ class _Text(HTMLParser):
             self.parts.append(data)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def html_to_text(pages: pd.Series) -> pd.Series:
     """Text of HTML: block tags end lines, white space in a line is collapsed, blank lines are dropped."""
 

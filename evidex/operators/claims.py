@@ -1,0 +1,196 @@
+"""Claim validation and chunking, and consolidation of claims into beliefs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from evidex.functions.text import canonical_json, normalize_value
+from evidex.operators.history import KEY, _neighbours
+from evidex.session import stage
+
+# Predicate, stability, cardinality, object kind, keys that group objects, required keys.
+VOCABULARY = [
+    ("has_name", "identity", "single_current", "text", "", ""),
+    ("has_pronouns", "identity", "single_current", "text", "", ""),
+    ("born_on", "identity", "single_current", "text", "", ""),
+    ("lives_at", "identity", "single_current", "json", "", "address_line1"),
+    ("holds_role_at", "identity", "single_current", "json", "", "role,employer"),
+    ("has_pet", "identity", "multi_current", "json", "name,species", "species"),
+    ("is_related_to", "relationship", "multi_current", "json", "name", "name,kind"),
+    ("is_friends_with", "relationship", "multi_current", "text", "text", ""),
+    ("works_with", "relationship", "multi_current", "text", "text", ""),
+    ("prefers", "preference", "multi_current", "text", "text", ""),
+    ("dislikes", "preference", "multi_current", "text", "text", ""),
+    ("believes", "preference", "multi_current", "text", "text", ""),
+    ("uses_tool", "preference", "multi_current", "text", "text", ""),
+    ("drives", "preference", "single_current", "text", "", ""),
+    ("eats_diet", "preference", "single_current", "text", "", ""),
+    ("working_on", "project_status", "multi_current", "text", "text", ""),
+    ("project_status_is", "project_status", "single_current_per_object", "json", "project", "project,status"),
+    ("owns_repo", "project_status", "multi_current", "text", "text", ""),
+    ("wants_to", "goal", "multi_current", "text", "text", ""),
+    ("plans_to", "goal", "multi_current", "json", "action", "action"),
+    ("intends_to", "goal", "multi_current", "text", "text", ""),
+    ("must_do", "task", "event", "text", "text", ""),
+    ("committed_to", "task", "event", "json", "action,with_party", "action"),
+    ("feels", "mood", "multi_current", "text", "text", ""),
+    ("relationship_with", "relationship", "single_current_per_object", "json", "name", "name,status"),
+    ("met_with", "relationship", "event", "json", "name,when", "name"),
+    ("talked_about", "preference", "event", "text", "text", ""),
+    ("studied", "identity", "multi_current", "text", "text", ""),
+    ("traveled_to", "identity", "event", "json", "place,when", "place"),
+]
+
+
+def vocabulary(spark: SparkSession) -> DataFrame:
+    """The predicate vocabulary, marked for broadcast: its size is fixed above."""
+    df = spark.createDataFrame(VOCABULARY, "predicate string, v_stability string, v_cardinality string, v_kind string, v_group string, v_required string")
+    return F.broadcast(df.withColumns({c: F.filter(F.split(c, ","), lambda x: x != "") for c in ("v_group", "v_required")}))
+
+
+def validate(claims: DataFrame, segments: DataFrame) -> DataFrame:
+    """id, reason: the first defect of each claim, null if it is valid. Evidence must lie in the claim's segment."""
+    s = segments.select(F.col("id").alias("segment_id"), F.col("message_ids").alias("allowed"))
+    rows = claims.join(vocabulary(claims.sparkSession), "predicate", "left").join(s, "segment_id", "left")
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    keys = F.coalesce(F.json_object_keys("object_json"), F.array().cast("array<string>"))
+    missing = F.array_except("v_required", keys)
+    reason = (
+        F.when(blank("subject_text"), "subject_text is empty")
+        .when(F.col("v_kind").isNull(), F.concat(F.lit("unknown predicate: "), "predicate"))
+        .when(~F.col("stability_class").eqNullSafe(F.col("v_stability")), "stability_class does not match the vocabulary")
+        .when(F.coalesce(F.size("evidence_message_ids"), F.lit(0)) <= 0, "evidence is empty")
+        .when(F.size(F.array_except("evidence_message_ids", F.coalesce("allowed", F.array().cast("array<string>")))) > 0, "evidence outside of the segment")
+        .when(F.col("object_text").isNull() == F.col("object_json").isNull(), "exactly one object is required")
+        .when((F.col("v_kind") == "text") & blank("object_text"), "predicate requires object_text")
+        .when((F.col("v_kind") == "json") & (F.col("object_json").isNull() | ~F.ltrim("object_json").startswith("{")), "predicate requires object_json")
+        .when((F.col("v_kind") == "json") & (F.size(missing) > 0), F.concat(F.lit("object_json lacks "), missing[0]))
+    )
+    return rows.select("id", reason.alias("reason"))
+
+
+def normalize_drafts(claims: DataFrame) -> DataFrame:
+    """claims with the vocabulary's stability class, and without an object of the wrong kind where the right one is there."""
+    v = claims.join(vocabulary(claims.sparkSession), "predicate", "left")
+    text = F.when((F.col("v_kind") == "json") & F.col("object_json").isNotNull(), None).otherwise(F.col("object_text"))
+    js = F.when((F.col("v_kind") == "text") & F.col("object_text").isNotNull(), None).otherwise(F.col("object_json"))
+    return v.select(
+        *(c for c in claims.columns if c not in ("object_text", "object_json", "stability_class")), F.coalesce("v_stability", "stability_class").alias("stability_class"), text.alias("object_text"), js.alias("object_json")
+    )
+
+
+def drop_rate(checked: DataFrame) -> DataFrame:
+    """inserted, dropped and the dropped share of validated claims (0 without any)."""
+    n, bad = F.count(F.lit(1)), F.count("reason")
+    return checked.agg((n - bad).alias("inserted"), bad.alias("dropped"), F.round(F.when(n == 0, 0.0).otherwise(bad / n), 6).alias("drop_rate"))
+
+
+def object_shape(claims: DataFrame) -> DataFrame:
+    """id and the redacted shape of a claim: predicate, kinds of its objects, sorted keys, amount of evidence. No values."""
+    return claims.select(
+        "id", "predicate", "stability_class", F.when(F.col("object_text").isNull(), "null").otherwise("text").alias("object_text_type"),
+        F.when(F.col("object_json").isNull(), "null").otherwise("object").alias("object_json_type"),
+        F.array_join(F.array_sort(F.coalesce(F.json_object_keys("object_json"), F.array().cast("array<string>"))), ",").alias("object_keys"), F.coalesce(F.size("evidence_message_ids"), F.lit(0)).alias("evidence"),
+    )
+
+
+def chunks(segment_messages: DataFrame, most: int = 12, chars: int = 6000) -> DataFrame:
+    """segment_id, at, chunk: messages of a segment (segment_id, at, n_chars) in chunks bounded by number and characters.
+
+    A segment's messages are few, so each is folded on its own.
+    """
+    item = F.struct("at", "n_chars")
+    folded = segment_messages.groupBy("segment_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    start = F.struct(F.array().cast("array<struct<at:int,chunk:int>>").alias("out"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("chunk"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = (acc["n"] > 0) & ((acc["n"] >= most) | (acc["size"] + x["n_chars"] > chars))
+        chunk = acc["chunk"] + F.when(new, 1).otherwise(0)
+        return F.struct(
+            F.array_append(acc["out"], F.struct(x["at"].cast("int").alias("at"), chunk.alias("chunk"))).alias("out"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"),
+            F.when(new, x["n_chars"]).otherwise(acc["size"] + x["n_chars"]).cast("long").alias("size"), chunk.alias("chunk"),
+        )
+
+    return folded.select("segment_id", F.inline(F.aggregate("items", start, step, lambda a: a["out"])))
+
+
+def group_key() -> Column:
+    """Key that keeps apart the objects of one predicate: none, the normalised text, or the vocabulary's JSON fields."""
+    parsed = F.from_json("object_json", "map<string,string>")
+    fields = F.transform(F.col("v_group"), lambda k: F.coalesce(F.try_element_at(parsed, k), F.lit("")))
+    return (
+        F.when(F.col("v_cardinality") == "single_current", "")
+        .when(F.col("v_kind") == "text", normalize_value(F.coalesce("object_text", F.lit(""))))
+        .otherwise(F.array_join(fields, "\u001f"))
+    )
+
+
+def value_groups(claims: DataFrame) -> DataFrame:
+    """Claims grouped by conversation, key and value, with the sums a belief is made of."""
+    v = claims.join(vocabulary(claims.sparkSession), "predicate")
+    value = F.when(F.col("object_text").isNotNull(), F.concat(F.lit("text:"), normalize_value(F.col("object_text")))).otherwise(F.concat(F.lit("json:"), canonical_json(F.col("object_json"))))
+    v = v.select("id", "conversation_id", "subject_normalized", "predicate", group_key().alias("group_object_key"), value.alias("value"), "v_cardinality", "extracted_at", "confidence", "privacy_tier")
+    return v.groupBy("conversation_id", *KEY, "value", "v_cardinality").agg(
+        F.min("extracted_at").alias("first_at"), F.max("extracted_at").alias("last_at"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("claims"), F.sum("confidence").alias("confidence"), F.max("privacy_tier").alias("tier")
+    )
+
+
+def consolidate(claims: DataFrame, slices: int | None = None) -> DataFrame:
+    """Beliefs: key, value, valid_from, valid_to, claims, confidence, tier, contradicts (the value that replaced it).
+
+    Conversations count in the order of their last claim, groups inside by their first. A group with the value of the
+    active belief joins it; another value closes it and opens the next, unless the predicate allows several at once.
+    Runs in slices like the history, so a hot key is no hot task.
+    """
+    n = slices or int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = claims.groupBy("conversation_id").agg(F.max("extracted_at").alias("conversation_last"))
+    groups = value_groups(claims).join(last, "conversation_id").withColumn("eff", F.struct("conversation_last", "conversation_id", "first_at", "first_id"))
+    rows = stage(groups.repartitionByRange(n, *KEY, "eff").withColumn("slice", F.spark_partition_id()), "groups")
+    w = Window.partitionBy("slice", *KEY).orderBy("eff")
+    rows = rows.withColumns({"before": F.lag("value").over(w), "seen": F.lag("eff").over(w)})
+    rows = _neighbours(rows, last={"p_value": F.max_by("value", "eff"), "p_seen": F.max("eff")})
+    single = F.col("v_cardinality").startswith("single")
+    first = F.coalesce("seen", "p_seen").isNull()
+    rows = rows.withColumn("starts", first | (single & ~F.coalesce("before", "p_value").eqNullSafe(F.col("value"))))
+    mark = F.when(F.col("starts"), F.col("eff"))
+    nxt = F.when(F.col("starts"), F.struct("first_at", "value"))
+    rows = rows.select("slice", *KEY, "eff", "value", "first_at", "claims", "confidence", "tier", "starts").withColumns(
+        {"island": F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "next": F.first(nxt, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))}
+    )
+    rows = _neighbours(rows, last={"p_island": F.max_by("island", "eff")}, first={"n_next": F.min_by(nxt, F.when(F.col("starts"), F.col("eff")))})
+    following = F.coalesce("next", "n_next")
+    return (
+        rows.groupBy(*KEY, F.coalesce("island", "p_island").alias("island"))
+        .agg(
+            F.min_by("value", "eff").alias("value"), F.min_by("first_at", "eff").alias("valid_from"), F.min_by(following["first_at"], "eff").alias("valid_to"), F.min_by(following["value"], "eff").alias("contradicts"),
+            F.sum("claims").alias("claims"), F.round(F.sum("confidence") / F.sum("claims"), 6).alias("confidence"), F.max("tier").alias("tier"),
+        )
+        .select(*KEY, F.col("island.first_id").alias("first_claim"), "value", "valid_from", "valid_to", "claims", "confidence", "tier", "contradicts")
+    )
+
+
+def contradictions(beliefs: DataFrame) -> DataFrame:
+    """Pairs of successive values of a key and whether their periods are apart, which resolves them."""
+    return beliefs.where("contradicts is not null").select(*KEY, "value", "contradicts", F.col("valid_to").alias("at"), (F.col("valid_from") < F.col("valid_to")).alias("apart"))
+
+
+def orphaned(beliefs: DataFrame, active_claims: DataFrame) -> DataFrame:
+    """belief_id, lost, left of beliefs that cite claims no longer active; without any left they fall, else are recomputed."""
+    cited = beliefs.select(F.col("id").alias("belief_id"), F.explode(F.array_distinct("claim_ids")).alias("claim_id"))
+    seen = cited.join(active_claims.select(F.col("id").alias("claim_id")).distinct().withColumn("live", F.lit(1)), "claim_id", "left")
+    return seen.groupBy("belief_id").agg((F.count(F.lit(1)) - F.count("live")).alias("lost"), F.count("live").alias("left")).where("lost > 0")
+
+
+def confidence_stats(claims: DataFrame, keys: list[str]) -> DataFrame:
+    """mean, max, min, count and population deviation of confidence."""
+    c = "confidence"
+    return claims.groupBy(*keys).agg(F.round(F.avg(c), 6).alias("mean"), F.max(c).alias("max"), F.min(c).alias("min"), F.count(c).alias("n"), F.round(F.stddev_pop(c), 6).alias("stddev"))
+
+
+def evidence_interval(claims: DataFrame, messages: DataFrame) -> DataFrame:
+    """id, first_at, last_at: the earliest and latest delivery among a claim's evidence."""
+    m = messages.groupBy(F.col("id").alias("m_id")).agg(F.min("imported_at").alias("at"))
+    one = claims.select("id", F.explode(F.array_distinct("evidence_message_ids")).alias("m_id"))
+    return one.join(m, "m_id").groupBy("id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+

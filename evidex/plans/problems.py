@@ -47,4 +47,20 @@ select id as message_id from (
   select id, row_number() over (partition by source_id, lower(regexp_replace(external_id, '^\s+|\s+$', '', 'g')) order by imported_at, id) as n
   from messages where external_id is not null and source_id is not null
 ) where n > 1""",
+        "p7_found": r"""
+with s as (
+  select subject_normalized, predicate, group_object_key, epoch_us(coalesce(valid_from, observed_at)) as e, epoch_us(valid_to) as vt, object_text, status from beliefs where coalesce(valid_from, observed_at) is not null
+  qualify row_number() over (partition by subject_normalized, predicate, group_object_key, coalesce(valid_from, observed_at) order by recorded_at desc, id desc) = 1),
+f as (
+  select *, last_value(object_text ignore nulls) over p as o, last_value(status ignore nulls) over p as st, lead(e) over w as nx from s
+  window w as (partition by subject_normalized, predicate, group_object_key order by e), p as (partition by subject_normalized, predicate, group_object_key order by e rows unbounded preceding)),
+l as (
+  select *, least(coalesce(vt, 9223372036854775807), coalesce(nx, 9223372036854775807)) as u, lower(trim(regexp_replace(o, '\s+', ' ', 'g'))) as n from f
+  where (st is null or lower(st) not in ('rejected', 'superseded')) and least(coalesce(vt, 9223372036854775807), coalesce(nx, 9223372036854775807)) > e),
+g as (
+  select *, case when lag(u) over w = e and lag(st) over w is not distinct from st and lag(n) over w is not distinct from n then 0 else 1 end as b from l
+  window w as (partition by subject_normalized, predicate, group_object_key order by e)),
+h as (select *, sum(b) over (partition by subject_normalized, predicate, group_object_key order by e rows unbounded preceding) as i from g)
+select subject_normalized, predicate, group_object_key, min(e) as valid_from_us, case when max(u) = 9223372036854775807 then -1 else max(u) end as valid_to_us
+from h group by subject_normalized, predicate, group_object_key, i""".replace("\\s", "\s"),
     }
