@@ -101,5 +101,25 @@ def queries() -> dict:
     )}
 
 
+_VERDICTS = r"""
+kept as (select * from messages qualify external_id is null or source_id is null
+  or row_number() over (partition by source_id, lower(regexp_replace(external_id, '^\s+|\s+$', '', 'g')) order by imported_at, id) = 1),
+m as (
+  select conversation_id, sequence_index as q, content_text, coalesce(regexp_matches(content_text, '[^\p{Z}\p{C}]'), false) as v,
+    case lower(regexp_replace(role, '^\s+|\s+$', '', 'g')) when 'user' then 'user' when 'human' then 'user' when 'assistant' then 'assistant' when 'model' then 'assistant'
+      when 'system' then 'system' when 'tool' then 'tool' end as speaker from kept where conversation_id is not null),
+c as (
+  select conversation_id, bool_or(v) as visible, count(*) as n, count(q) as nq, count(distinct q) as dq, min(q) as lo, max(q) - min(q) + 1 as span, count(speaker) as ns,
+    string_agg(case when speaker = 'user' then 'u' when speaker = 'assistant' then case when v then 'a' else 'e' end else '' end, '' order by q) as turns from m group by 1),
+j as (
+  select u.conversation_id, c.lo, case when not coalesce(visible, false) then 'empty' when h.id is null or nq <> n or ns <> n or dq <> nq or span <> dq then 'broken'
+    when regexp_matches(turns, 'u$|ue+u|ue+$') then 'unanswered' end as defect
+  from (select id as conversation_id from conversations union select conversation_id from messages where conversation_id is not null) u
+  left join (select distinct id from conversations) h on h.id = u.conversation_id left join c on c.conversation_id = u.conversation_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": f"with {_VERDICTS} select conversation_id, defect from j where defect is not null",
+        "p5_dialogues": f"with {_VERDICTS} select m.conversation_id, q - lo as turn, speaker, content_text from m join j on j.conversation_id = m.conversation_id where defect is null",
+    }
