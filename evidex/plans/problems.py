@@ -62,5 +62,5 @@ g as (
   window w as (partition by subject_normalized, predicate, group_object_key order by e)),
 h as (select *, sum(b) over (partition by subject_normalized, predicate, group_object_key order by e rows unbounded preceding) as i from g)
 select subject_normalized, predicate, group_object_key, min(e) as valid_from_us, case when max(u) = 9223372036854775807 then -1 else max(u) end as valid_to_us
-from h group by subject_normalized, predicate, group_object_key, i""".replace("\\s", "\s"),
+from h group by subject_normalized, predicate, group_object_key, i""",
     }

@@ -58,8 +58,13 @@ LINKS = [
 ]
 
 
+def _targets(text: Column, kind: str, pattern: str) -> Column:
+    """Array of (kind, target) of a pattern's first group."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda t: F.struct(F.lit(kind).alias("kind"), F.trim(t).alias("target")))
+
+
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, front (front matter or null), body, title, sha256 of the Markdown files below path."""
+    """path, front (front matter or null), body, title, sha256 of the Markdown files below path; files of 0 bytes are not listed by Spark."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)
     text = F.col("content").cast("string")
     body = F.regexp_replace(text, FRONT, "")
@@ -83,7 +88,7 @@ def markdown_chunks(files: DataFrame) -> DataFrame:
 def markdown_links(files: DataFrame) -> DataFrame:
     """path, kind, target of every link, image, wiki link, autolink and tag."""
     body = F.regexp_replace("body", r"(?s)```.*?```", "")
-    found = [F.transform(F.regexp_extract_all(body, F.lit(r), F.lit(1)), lambda t, k=k: F.struct(F.lit(k).alias("kind"), F.trim(t).alias("target"))) for k, r in LINKS]
+    found = [_targets(body, kind, pattern) for kind, pattern in LINKS]
     return files.select("path", F.inline(F.concat(*found)))
 
 
@@ -194,7 +199,7 @@ REFS = [("rfc", r"(?i)\brfc[\s_-]*0*(\d{1,5})\b"), ("decision", r"\bD(\d{2,5})\b
 def cited_references(files: DataFrame) -> DataFrame:
     """kind, target, path, line: the first place (by path and line) each reference is cited. files: path, body."""
     lines = files.select("path", F.posexplode(F.split("body", "\n")).alias("line", "text"))
-    found = [F.transform(F.regexp_extract_all("text", F.lit(r), F.lit(1)), lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("target"))) for k, r in REFS]
+    found = [_targets(F.col("text"), kind, pattern) for kind, pattern in REFS]
     rows = lines.select("path", (F.col("line") + 1).alias("line"), F.inline(F.concat(*found)))
     return rows.groupBy("kind", "target").agg(F.min(F.struct("path", "line")).alias("at")).select("kind", "target", "at.path", "at.line")
 
