@@ -152,7 +152,6 @@ def dialogues(messages: DataFrame, judged: DataFrame) -> DataFrame:
 
     In a whole conversation the numbering has no gap, so a turn is its distance from the lowest number; nothing is sorted or collected.
     """
-    whole = judged.where(F.col("defect").isNull()).select(F.col("conversation_id").alias("c_id"), "lo")
-    return messages.join(whole, F.col("conversation_id") == F.col("c_id")).select(
-        "conversation_id", (F.col("sequence_index") - F.col("lo")).alias("turn"), speaker(F.col("role")).alias("speaker"), "content_text"
-    )
+    whole = judged.where(F.col("defect").isNull()).select("conversation_id", "lo")
+    rows = messages.select("conversation_id", "sequence_index", speaker(F.col("role")).alias("speaker"), "content_text")
+    return rows.join(whole, "conversation_id").select("conversation_id", (F.col("sequence_index") - F.col("lo")).alias("turn"), "speaker", "content_text")

@@ -96,13 +96,29 @@ def _weighted(items: DataFrame) -> DataFrame:
     return w.select("item", "feature", (F.col("idf") / norm).alias("w"))
 
 
+def abbreviations(words: DataFrame) -> DataFrame:
+    """a, b (both ways): tokens of three to five letters and the longer ones they may shorten, as a beginning or by their consonants."""
+    short = words.where(F.length("word").between(3, 5)).select(F.col("word").alias("a"))
+    full = words.where(F.length("word") > 4).select(F.col("word").alias("b"))
+    fits = 3 * F.length("a") <= 2 * F.length("b")
+    beginnings = full.select("b", F.explode(F.array(*(F.substring("b", 1, n) for n in (3, 4, 5)))).alias("a"))
+    found = short.join(beginnings, "a").where(fits).select("a", "b")
+    bones = lambda c: F.substring(F.concat(F.substring(c, 1, 1), F.regexp_replace(F.expr(f"substring({c}, 2)"), "[aeiou]", "")), 1, 2)
+    bare = short.where(~F.expr("substring(a, 2)").rlike("[aeiou]")).withColumn("k", bones("a"))
+    spelled = F.concat(F.lit("^"), F.array_join(F.filter(F.split("a", ""), lambda x: x.rlike("[a-z]")), ".*"))
+    found = found.unionByName(bare.join(full.withColumn("k", bones("b")), "k").where(fits & F.rlike("b", spelled)).select("a", "b"))
+    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def similar_tokens(words: DataFrame) -> DataFrame:
-    """a, b (both ways and each token with itself): tokens whose n-gram vectors reach TOKEN_COSINE.
+    """a, b (both ways and each token with itself): tokens whose n-gram vectors reach TOKEN_COSINE, abbreviations, short forms of given names.
 
     words: word. Short tokens are compared by 3-grams, long ones by 4-grams, those between by both.
     """
     long = words.where(F.length("word") >= 3)
-    out = words.select(F.col("word").alias("a"), F.col("word").alias("b"))
+    nicknames = sorted((x, y) for x, rx in _ROOTS.items() for y, ry in _ROOTS.items() if x != y and rx & ry)
+    out = words.select(F.col("word").alias("a"), F.col("word").alias("b")).unionByName(abbreviations(words))
+    out = out.unionByName(words.sparkSession.createDataFrame(nicknames, "a string, b string"))
     for n, fits in ((3, F.length("word") <= 8), (4, F.length("word") >= 7)):
         grams = long.where(fits).select(F.col("word").alias("item"), F.explode(_grams(F.col("word"), n)).alias("feature"))
         index = stage(_prefix(_weighted(grams), TOKEN_COSINE), "grams")
