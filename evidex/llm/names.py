@@ -156,7 +156,7 @@ def _alike(a: str, b: str) -> float:
     ra, rb = _ROOTS.get(a), _ROOTS.get(b)
     if ra and rb:
         return 0.97 if ra & rb else 0.0
-    if _one_edit(a, b) and min(len(a), len(b)) > 2:
+    if _one_edit(a, b) and (min(len(a), len(b)) > 2 or ra or rb):
         return 0.93
     if _shortened(a, b) or _shortened(b, a):
         return 0.9
@@ -196,6 +196,8 @@ def alignment(a: list[str], b: list[str]) -> float:
                 return 0.0
             free.remove(first)
             score *= 0.85
+    if len(fa) == len(fb) == 1 and not set(ia) & set(ib):
+        return 0.0 if ia or ib else score  # a surname alone: its initial tells who it is
     return score
 
 

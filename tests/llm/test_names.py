@@ -13,7 +13,7 @@ GROUPS = [
 ]
 
 
-@pytest.mark.parametrize(("a", "b", "same"), [(GROUPS[0][0], GROUPS[1][0], False), (GROUPS[2][0], GROUPS[3][0], False), ("j. smith", "john smith", True), ("john smith", "jane smith", False), ("john", "john", False), ("dr", "ltd", False)])
+@pytest.mark.parametrize(("a", "b", "same"), [(GROUPS[0][0], GROUPS[1][0], False), (GROUPS[2][0], GROUPS[3][0], False), ("j. smith", "john smith", True), ("john smith", "jane smith", False), ("j. smith", "smith, k", False), ("j. smith", "smith, j", True), ("j. smith", "smith", False), ("john", "john", False), ("dr", "ltd", False)])
 def test_alignment(a, b, same):
     assert (N.alignment(list(N.tokens(a)), list(N.tokens(b))) > 0) == same
 
