@@ -14,6 +14,7 @@ from evidex.operators import evaluate as E
 from evidex.operators import graph as G
 from evidex.operators import relational as R
 from evidex.operators import retrieval as S
+from evidex.operators import review as V
 from evidex.operators import segments as SG
 from evidex.session import load
 
@@ -69,6 +70,27 @@ _UNITS_SQL = f"""select conversation_id as k, sequence_index as q, {_TOKENS_SQL}
 _PROMPT_SQL = "case when lower(coalesce(role, '')) = 'tool' then 60 else coalesce(length(content_text), 0) end + length(id) + coalesce(length(role), 0) + 80"
 _VOCABULARY_SQL = "(values " + ", ".join(f"('{p}', '{st}', '{k}', '{r}')" for p, st, _, k, _, r in C.VOCABULARY) + ") v(predicate, stability, kind, required)"
 
+_KEYS_SQL = "subject_normalized, predicate, group_object_key"
+_CONSOLIDATED_SQL = f"""
+v as (select * from (values {", ".join(f"('{p}', '{c}', '{k}', '{g}')" for p, _, c, k, g, _ in C.VOCABULARY)}) t(p, card, kind, grp)),
+c as (
+  select id, conversation_id, subject_normalized, predicate, card, extracted_at, confidence, privacy_tier,
+    case when card = 'single_current' then '' when kind = 'text' then trim(regexp_replace(lower(coalesce(object_text, '')), '\\s+', ' ', 'g'))
+      else array_to_string([coalesce(json_extract_string(object_json, '$.' || k), '') for k in string_split(grp, ',') if k <> ''], chr(31)) end as group_object_key,
+    case when object_text is not null then 'text:' || trim(regexp_replace(lower(object_text), '\\s+', ' ', 'g')) else 'json:{{' || array_to_string(['"' || k || '":' || json_extract(object_json, '$.' || k)::varchar for k in list_sort(json_keys(object_json))], ',') || '}}' end as value
+  from claims join v on v.p = claims.predicate),
+l as (select conversation_id as lc, max(extracted_at) as last_at from claims group by 1),
+g as (
+  select conversation_id, {_KEYS_SQL}, value, card, min(extracted_at) as first_at, min(id) as first_id, count(*) as n, sum(confidence) as conf, max(privacy_tier) as tier from c group by 1, 2, 3, 4, 5, 6),
+o as (
+  select g.*, row_number() over w as rn, lag(value) over w as lv from g join l on lc = conversation_id
+  window w as (partition by {_KEYS_SQL} order by last_at, conversation_id, first_at, first_id)),
+i as (select *, sum(case when rn = 1 or (card like 'single%' and lv is distinct from value) then 1 else 0 end) over (partition by {_KEYS_SQL} order by rn) as island from o),
+b as (
+  select {_KEYS_SQL}, island, first(first_id order by rn) as first_claim, first(value order by rn) as value, first(first_at order by rn) as valid_from, cast(sum(n) as bigint) as claims,
+    round(sum(conf) / sum(n), 6) as confidence, max(tier) as tier from i group by {_KEYS_SQL}, island),
+d as (select *, lead(valid_from) over w as valid_to, lead(value) over w as contradicts from b window w as (partition by {_KEYS_SQL} order by island))""".replace("\\\\", "\\")
+
 # ---- scans, filters, projections ----
 
 
@@ -517,7 +539,12 @@ def segment_tiers(spark, d):
     return SG.segment_tier(load(spark, d, "segments"), load(spark, d, "messages"), load(spark, d, "conversations"))
 
 
-@query()
+@query("""
+with e as (select id, conversation_id, unnest(message_ids) as m, generate_subscripts(message_ids, 1) as pos from segments),
+r as (select e.*, m.id as known, m.conversation_id as c, m.sequence_index as q, max(m.sequence_index) over (partition by e.id order by pos rows between unbounded preceding and 1 preceding) as before from e left join messages m on m.id = e.m),
+f as (select s.id, count(r.pos) as n, bool_or(r.pos is not null and known is null) as unknown, bool_or(c <> r.conversation_id) as foreign_, bool_or(q < before) as late from segments s left join r on r.id = s.id group by s.id)
+select id, case when n = 0 then 'empty' when unknown then 'unknown message' when foreign_ then 'other conversation' when late then 'out of order' end as defect from f
+where n = 0 or unknown or coalesce(foreign_, false) or coalesce(late, false)""")
 def segment_span_defects(spark, d):
     return SG.span_defects(load(spark, d, "segments"), load(spark, d, "messages"))
 
@@ -577,12 +604,14 @@ def claim_defects(spark, d):
     return C.validate(load(spark, d, "claims"), load(spark, d, "segments"))
 
 
-@query()
+@query(f"select count(*) - count(reason) as inserted, count(reason) as dropped, round(count(reason) / count(*), 6) as drop_rate from ({_SQL['claim_defects']})")
 def claim_drop_rate(spark, d):
     return C.drop_rate(C.validate(load(spark, d, "claims"), load(spark, d, "segments")))
 
 
-@query()
+@query("""
+select id, predicate, stability_class, case when object_text is null then 'null' else 'text' end as object_text_type, case when object_json is null then 'null' else 'object' end as object_json_type,
+  coalesce(array_to_string(list_sort(json_keys(object_json)), ','), '') as object_keys, coalesce(len(evidence_message_ids), 0) as evidence from claims""")
 def claim_shapes(spark, d):
     return C.object_shape(load(spark, d, "claims"))
 
@@ -594,13 +623,13 @@ def extraction_chunks(spark, d):
     return C.chunks(s.join(m, "e").select("segment_id", "at", F.col("n_chars").cast("long").alias("n_chars")), 4, 500)
 
 
-@query()
+@query(f"with {_CONSOLIDATED_SQL} select {_KEYS_SQL}, first_claim, value, epoch_us(valid_from) as valid_from, epoch_us(valid_to) as valid_to, claims, confidence, tier, contradicts from d")
 def consolidated_beliefs(spark, d):
     b = C.consolidate(load(spark, d, "claims"))
     return b.withColumns({c: epoch_us(c) for c in ("valid_from", "valid_to")})
 
 
-@query()
+@query(f"with {_CONSOLIDATED_SQL} select {_KEYS_SQL}, value, contradicts, epoch_us(valid_to) as at, valid_from < valid_to as apart from d where contradicts is not null")
 def belief_contradictions(spark, d):
     return C.contradictions(C.consolidate(load(spark, d, "claims"))).withColumn("at", epoch_us("at"))
 
@@ -612,6 +641,66 @@ def orphaned_beliefs(spark, d):
     return C.orphaned(load(spark, d, "beliefs"), load(spark, d, "claims").where("confidence >= 0.2"))
 
 
+# ---- review ----
+
+
+@query("""
+with l as (select a.id as a, b.id as b from beliefs a join beliefs b on a.subject_normalized = b.subject_normalized and a.predicate = b.predicate and a.group_object_key = b.group_object_key
+  and a.valid_from = b.valid_from and a.object_text <> b.object_text and a.id < b.id),
+e as (select id, count(*) as n from (select a as id from l union all select b from l) group by id),
+g as (select b.id, count(*) as n from (select id, unnest(list_distinct(claim_ids)) as c from beliefs) b join (select id from claims where confidence < 0.1) k on k.id = b.c group by b.id)
+select b.id, coalesce(e.n, 0) as contradictions, coalesce(g.n, 0) as invalidated, cast(case when coalesce(e.n, 0) > 0 then 100 else 0 end + case when coalesce(g.n, 0) > 0 then 50 else 0 end
+  + case when privacy_tier > 1 then 20 else 0 end + case when stability_class in ('identity', 'relationship') then 10 else 0 end + round((1 - cast(coalesce(confidence, 0) as decimal(10, 6))) * 10, 2) as double) as priority
+from beliefs b left join e on e.id = b.id left join g on g.id = b.id""")
+def review_priorities(spark, d):
+    b = load(spark, d, "beliefs")
+    k = ["subject_normalized", "predicate", "group_object_key", "valid_from"]
+    x, y = b.select("id", *k, "object_text"), b.select(F.col("id").alias("b"), *k, F.col("object_text").alias("other"))
+    links = x.join(y, k).where((F.col("object_text") != F.col("other")) & (F.col("id") < F.col("b"))).select(F.col("id").alias("a"), "b")
+    return V.review_queue(b, links, load(spark, d, "claims").where("confidence < 0.1"))
+
+
+@query("""
+select c.id, count(*) as evidence, min(m.imported_at) as first_at, max(m.imported_at) as last_at,
+  first(case when length(content_text) > 160 then rtrim(substr(content_text, 1, 160), ' ') || '…' else content_text end order by m.imported_at, m.id) as excerpt
+from (select id, unnest(list_distinct(evidence_message_ids)) as e from claims) c join messages m on m.id = c.e group by c.id""")
+def claim_displays(spark, d):
+    return V.target_display(load(spark, d, "claims"), load(spark, d, "messages"))
+
+
+@query("""
+select 'tag' as kind, t as value, count(*) as n from (select unnest(claim_ids) as t from beliefs) group by t
+union all select 'state', coalesce(status, 'undecided'), count(*) from beliefs group by 2""")
+def tag_counts(spark, d):
+    return V.tag_counts(load(spark, d, "beliefs"), "claim_ids", "status")
+
+
+@query(f"""with {_CONSOLIDATED_SQL} select {_KEYS_SQL}, value, 'insert' as step, epoch_us(valid_from) as at from d
+union all select {_KEYS_SQL}, value, 'close', epoch_us(valid_to) from d where valid_to is not null""")
+def belief_transitions(spark, d):
+    return V.transitions(C.consolidate(load(spark, d, "claims"))).withColumn("at", epoch_us("at"))
+
+
+@query("""
+select segment_id, coalesce(versions, '<none>') as versions from (select id as segment_id from segments) s
+left join (select segment_id as s, first(stability_class order by extracted_at desc, id desc) as latest, array_to_string(list_sort(list_distinct(list(stability_class))), ',') as versions from claims group by 1) on s = segment_id
+where latest is distinct from 'identity'""")
+def segments_behind_version(spark, d):
+    x = load(spark, d, "claims").select("segment_id", F.col("stability_class").alias("version"), F.col("extracted_at").alias("created_at"), "id")
+    return V.behind_version(load(spark, d, "segments").select(F.col("id").alias("segment_id")), x, "identity")
+
+
+@query("""
+with a as (select * from claims where privacy_tier <= 1), b as (select * from claims where confidence >= 0.5),
+j as (select a.s as x, b.s as y, na, nb from (select segment_id as s, count(*) as na from a group by 1) a full join (select segment_id as s, count(*) as nb from b group by 1) b on a.s = b.s),
+p as (select predicate, count(*) / sum(count(*)) over () as p from a group by 1), q as (select predicate, count(*) / sum(count(*)) over () as p from b group by 1)
+select count(*) filter (where x is not null and y is not null) as shared, count(*) filter (where y is null) as only_control, count(*) filter (where x is null) as only_candidate,
+  cast(sum(na) as bigint) as control_rows, cast(sum(nb) as bigint) as candidate_rows, (select round(sum(abs(coalesce(p.p, 0) - coalesce(q.p, 0))), 9) from p full join q on p.predicate = q.predicate) as l1 from j""")
+def run_comparison(spark, d):
+    c = load(spark, d, "claims")
+    return V.compare_runs(c.where("privacy_tier <= 1"), c.where("confidence >= 0.5"), "segment_id", "predicate")
+
+
 # ---- snapshots and progress ----
 
 
