@@ -50,28 +50,38 @@ SWITCH_BITS, INNER_BITS = 9.0, 28.0
 SHARE = 0.2
 
 _FENCE = re.compile(r"(?:^|\n)[ \t>]*(```|~~~).*?(?:\n[ \t>]*\1[^\n]*|\Z)", re.DOTALL)
-_NOISE = re.compile(
-    r"`[^`\n]*`"  # inline code
-    r"|<[^<>\n]{1,200}>"  # tags
-    r"|\b(?:https?|ftp)://\S+|\bwww\.\S+"
-    r"|\S+@\S+|\S*[\\/_]\S*[\\/_]\S*"  # addresses and paths
-    r"|\S*\d\S*"  # ids, numbers and hashes
-    r"|\S*[=(){};]\S*[=(){};]\S*|\S*\w[_=:(]\w\S*|\b\w+\(\)"
-    r"|^[ \t]{4,}\S[^\n]*$",  # indented code
-    re.MULTILINE,
-)
+_INLINE = re.compile(r"`[^`\n]*`|<[^<>\n]{1,200}>|^[ \t]{4,}\S[^\n]*$", re.MULTILINE)
+#: What makes the token around it no word: digits of ids and numbers, addresses, paths, code.
+_MARK = re.compile(r"[\d@_\\={}]|://|\(\)|/\S*/|\w:\w")
 _CODE_LINE = re.compile(r"^\s*(?:[{}\[\]();]|SELECT\b|INSERT\b|UPDATE\b|FROM\b|for \w+ in |if .*:\s*$|def |class |import |return\b|rc=|\$ |>>> )[^\n]*$", re.MULTILINE)
 _UNIT = re.compile(r"[.!?…]+(?:\s+|$)|\n+|\s\|\s|(?<=\w)[:;]\s")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _without_marked(text: str) -> str:
+    """text without the tokens (up to white space) that hold a mark."""
+    out, at, n = [], 0, len(text)
+    for m in _MARK.finditer(text):
+        s, e = m.span()
+        if s < at:
+            continue
+        while s > at and not text[s - 1].isspace():
+            s -= 1
+        while e < n and not text[e].isspace():
+            e += 1
+        out += [text[at:s], " "]
+        at = e
+    return "".join(out) + text[at:] if at else text
+
+
 def units(text: str | None) -> list[list[str]]:
     """The prose of a text as sentences of lower-case words."""
     if not text:
         return []
-    text = _FENCE.sub("\n", text)
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
     text = _CODE_LINE.sub("\n", text)
-    text = _NOISE.sub(" ", text)
+    text = _without_marked(_INLINE.sub(" ", text))
     return [w for part in _UNIT.split(text) if (w := _WORD.findall(part.lower()))]
 
 
@@ -148,10 +158,13 @@ def passages(text: str | None, score: Scorer) -> list[tuple[int, float, int, lis
         return []
     words = [w for s in sentences for w in s]
     bits = score(words)
-    pieces, at = [], 0
-    for s in sentences:
-        pieces += _pieces(bits, at, at + len(s))
-        at += len(s)
+    ends = np.cumsum([len(s) for s in sentences])
+    starts = np.concatenate([[0], ends[:-1]])
+    # no cut of a sentence can save more than its words' own best languages do
+    room = np.add.reduceat(bits, starts, axis=0).min(axis=1) - np.add.reduceat(bits.min(axis=1), starts)
+    pieces = []
+    for a, b, r in zip(starts.tolist(), ends.tolist(), room.tolist()):
+        pieces += _pieces(bits, a, b) if r > INNER_BITS else [(a, b)]
     e = np.add.reduceat(bits, [p[0] for p in pieces], axis=0)
     n = len(pieces)
     best, back = e[0].copy(), np.zeros((n, e.shape[1]), dtype=np.int8)
