@@ -19,6 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidex.functions.times import epoch_us
+from evidex.session import stage
+
 #: Canonical decimal numbers only, so that equal numbers mean equal strings.
 SEQUENCE = r"^(.*[^0-9].*|[^0-9]):(0|[1-9][0-9]{0,16})$"
 #: Numbers of a producer are handled in blocks, so that one producer spreads over many tasks.
@@ -90,11 +93,12 @@ def _uncovered(firsts: DataFrame, ranges: DataFrame) -> DataFrame:
     return firsts.join(cut, on & F.col("number").between(F.col("lo"), F.col("hi")), "left_anti")
 
 
-def deliver(messages: DataFrame, seen: SeenState | None = None) -> tuple[DataFrame, SeenState]:
+def deliver(messages: DataFrame, seen: SeenState | None = None, new_keys_only: bool = False) -> tuple[DataFrame, SeenState]:
     """The surplus deliveries of messages given earlier state, and the state after them.
 
     messages: id, source_id, external_id, imported_at. Returns ((message_id, kept_id),
-    state); kept_id is null where an earlier batch already delivered the message.
+    state); kept_id is null where an earlier batch already delivered the message. On request the state's keys are only
+    those this batch adds.
     """
     rows = _keyed(messages)
     numbered = rows.where(F.col("producer").isNotNull())
@@ -123,10 +127,34 @@ def deliver(messages: DataFrame, seen: SeenState | None = None) -> tuple[DataFra
     new = fresh_number.select("source_id", "producer", F.col("number").alias("lo"), F.col("number").alias("hi"))
     names = fresh_name.select("source_id", "key")
     if seen:
-        new, names = seen.ranges.unionByName(new), seen.keys.unionByName(names)
+        new = seen.ranges.unionByName(new)
+        names = names if new_keys_only else seen.keys.unionByName(names)
     return out, SeenState(merge_ranges(new), names)
 
 
+def deliver_in_order(messages: DataFrame, epochs: int = 4) -> tuple[DataFrame, SeenState]:
+    """deliver() for the deliveries of successive spans of imported_at, each against the ranges and keys of those before.
+
+    Rows of one imported_at are in one span. Keys are appended, ranges are merged and written anew after each span.
+    """
+    at = epoch_us("imported_at")
+    parts = [k / epochs for k in range(1, epochs)]
+    cuts = sorted(set(messages.where("imported_at is not null").select(at.alias("at")).approxQuantile("at", parts, 0.01))) if parts else []
+    out, state, keys = None, None, None
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        inside = F.lit(True)
+        if lo is not None:
+            inside = inside & (at > int(lo))
+        if hi is not None:
+            inside = inside & (F.coalesce(at, F.lit(-(2**62))) <= int(hi))  # rows without a time count as the earliest
+        surplus, after = deliver(messages.where(inside), state, new_keys_only=True)
+        surplus, ranges, fresh = stage(surplus, "surplus"), stage(after.ranges, "ranges"), stage(after.keys, "keys")
+        out = surplus if out is None else out.unionByName(surplus)
+        keys = fresh if keys is None else keys.unionByName(fresh)
+        state = SeenState(ranges, keys)
+    return out, state
+
+
 def surplus_deliveries(messages: DataFrame) -> DataFrame:
     """message_id of every delivery but the first of each message."""
     return deliver(messages)[0].select("message_id")

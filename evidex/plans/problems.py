@@ -9,11 +9,11 @@ from evidex.session import load
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return deliveries.surplus_deliveries(load(spark, d, "messages"))
+    return deliveries.deliver_in_order(load(spark, d, "messages"))[0].select("message_id")
 
 
 def p2_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return deliveries.deliver(load(spark, d, "messages"))[1].ranges
+    return deliveries.deliver_in_order(load(spark, d, "messages"))[1].ranges
 
 
 def _feeds(spark: SparkSession, d: str) -> list[DataFrame]:

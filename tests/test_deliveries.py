@@ -1,4 +1,5 @@
 import random
+import re
 
 from conftest import ts
 
@@ -31,6 +32,13 @@ def test_surplus_matches_brute_force(spark):
         data.append((f"m{n:03}", rng.choice(["s1", "s2", None]), e, ts(f"2024-01-0{rng.randrange(1, 5)}T00:00:00")))
     df = rows(spark, data)
     assert {r[0] for r in D.surplus_deliveries(df).collect()} == brute(data)
+    for epochs in (1, 3):
+        surplus, state = D.deliver_in_order(df, epochs)
+        assert {r["message_id"] for r in surplus.collect()} == brute(data)
+        ranges = [(r["source_id"], r["producer"], r["lo"], r["hi"]) for r in state.ranges.collect()]
+        covered = {(s, p, n) for s, p, lo, hi in ranges for n in range(lo, hi + 1)}
+        want = {(s, e.strip().lower().split(":")[0], int(e.strip().split(":")[1])) for _, s, e, _ in data if s and e and re.fullmatch(r"(?i)activity:(0|[1-9]\d*)", e.strip())}
+        assert covered == want and sum(hi - lo + 1 for _, _, lo, hi in ranges) == len(want)
     kept = D.first_deliveries(df)
     assert kept.columns == df.columns and {r["id"] for r in kept.collect()} == {r[0] for r in data} - brute(data)
 
