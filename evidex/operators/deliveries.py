@@ -15,6 +15,7 @@ cannot clash with the input's.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,7 +101,11 @@ def deliver(messages: DataFrame, seen: SeenState | None = None, new_keys_only: b
     state); kept_id is null where an earlier batch already delivered the message. On request the state's keys are only
     those this batch adds.
     """
-    rows = _keyed(messages)
+    return _deliver(_keyed(messages), seen, new_keys_only)
+
+
+def _deliver(rows: DataFrame, seen: SeenState | None, new_keys_only: bool) -> tuple[DataFrame, SeenState]:
+    """deliver() on _keyed() rows."""
     numbered = rows.where(F.col("producer").isNotNull())
     named = rows.where(F.col("producer").isNull())
     by_number = _first_deliveries(numbered, ["source_id", "producer", "number"])
@@ -137,17 +142,19 @@ def deliver_in_order(messages: DataFrame, epochs: int = 4) -> tuple[DataFrame, S
 
     Rows of one imported_at are in one span. Keys are appended, ranges are merged and written anew after each span.
     """
+    messages = stage(_keyed(messages), "keyed")  # each span reads it several times
     at = epoch_us("imported_at")
     parts = [k / epochs for k in range(1, epochs)]
     cuts = sorted(set(messages.where("imported_at is not null").select(at.alias("at")).approxQuantile("at", parts, 0.01))) if parts else []
-    out, state, keys = None, None, None
+    bound = lambda us: F.expr(f"timestamp_ntz'{datetime(1970, 1, 1) + timedelta(microseconds=int(us))}'")  # noqa: E731 - a literal, so that scans skip row groups
+    when, out, state, keys = F.col("imported_at"), None, None, None
     for lo, hi in zip([None, *cuts], [*cuts, None]):
-        inside = F.lit(True)
-        if lo is not None:
-            inside = inside & (at > int(lo))
+        inside = F.lit(True) if lo is None else when > bound(lo)
         if hi is not None:
-            inside = inside & (F.coalesce(at, F.lit(-(2**62))) <= int(hi))  # rows without a time count as the earliest
-        surplus, after = deliver(messages.where(inside), state, new_keys_only=True)
+            inside = inside & (when <= bound(hi))
+        if lo is None:
+            inside = inside | when.isNull()  # rows without a time count as the earliest
+        surplus, after = _deliver(messages.where(inside), state, new_keys_only=True)
         surplus, ranges, fresh = stage(surplus, "surplus"), stage(after.ranges, "ranges"), stage(after.keys, "keys")
         out = surplus if out is None else out.unionByName(surplus)
         keys = fresh if keys is None else keys.unionByName(fresh)
