@@ -126,17 +126,22 @@ class Scorer:
 
     def __init__(self, trees: list[ContextTree]):
         self.trees, self.known = trees, {}
+        self.rows = np.empty((1024, len(trees)))
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        known, out = self.known, []
-        for w in words:
-            row = known.get(w)
-            if row is None:
-                if len(known) >= self.REMEMBERED:
-                    known.clear()
-                row = known[w] = [t.bits(w) for t in self.trees]
-            out.append(row)
-        return np.array(out)
+        known = self.known
+        if len(known) > self.REMEMBERED:
+            known.clear()
+        at = list(map(known.get, words))
+        if None in at:
+            for w in set(words).difference(known):
+                n = len(known)
+                if n == len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+                self.rows[n] = [t.bits(w) for t in self.trees]
+                known[w] = n
+            at = list(map(known.get, words))
+        return self.rows[at]
 
 
 def _pieces(bits: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
@@ -167,6 +172,9 @@ def passages(text: str | None, score: Scorer) -> list[tuple[int, float, int, lis
         pieces += _pieces(bits, a, b) if r > INNER_BITS else [(a, b)]
     e = np.add.reduceat(bits, [p[0] for p in pieces], axis=0)
     n = len(pieces)
+    nearest = e.argmin(axis=1)
+    if (nearest == nearest[0]).all():  # one language is best everywhere
+        return [_passage(e, words, pieces, int(nearest[0]), 0, n)]
     best, back = e[0].copy(), np.zeros((n, e.shape[1]), dtype=np.int8)
     own = np.arange(e.shape[1], dtype=np.int8)
     for i in range(1, n):
@@ -181,15 +189,18 @@ def passages(text: str | None, score: Scorer) -> list[tuple[int, float, int, lis
     out, start = [], 0
     for i in range(1, n + 1):
         if i == n or path[i] != path[start]:
-            lang = path[start]
-            total = e[start:i].sum(axis=0)
-            conf = 1.0 / np.exp2(np.clip(total[lang] - total, -1000, 50)).sum()
-            run = words[pieces[start][0] : pieces[i - 1][1]]
-            out.append((lang, float(conf), sum(map(len, run)), run))
+            out.append(_passage(e, words, pieces, path[start], start, i))
             start = i
     return out
 
 
+def _passage(e: np.ndarray, words: list[str], pieces: list[tuple[int, int]], lang: int, a: int, b: int) -> tuple[int, float, int, list[str]]:
+    total = e[a:b].sum(axis=0)
+    conf = 1.0 / np.exp2(np.clip(total[lang] - total, -1000, 50)).sum()
+    run = words[pieces[a][0] : pieces[b - 1][1]]
+    return lang, float(conf), sum(map(len, run)), run
+
+
 def label(lang: Column) -> Column:
     """The two-letter code a label counts as, else null."""
     return F.when(lang.rlike(rf"(?i)^({'|'.join(LANGUAGES)})([-_][a-z]{{2}})?$"), F.lower(F.substring(lang, 1, 2)))
