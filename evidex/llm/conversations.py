@@ -26,6 +26,12 @@ from evidex.session import scratch_path
 BLOCK = 1024
 # Words of the exporting products for the speakers.
 SPEAKERS = {"user": "user", "human": "user", "assistant": "assistant", "model": "assistant", "system": "system", "tool": "tool"}
+#: State is kept on disk; all stores of an executor share one bounded cache.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "500",
+}
 END_OF_FEED = "9000-01-01 00:00:00"
 
 
@@ -82,9 +88,9 @@ def run_feed(feed: DataFrame, timeout: str, files_per_trigger: int | None = None
     reader = spark.readStream.schema(feed.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             close_blocks(reader.parquet(f"{home}/in"), timeout)
@@ -93,7 +99,8 @@ def run_feed(feed: DataFrame, timeout: str, files_per_trigger: int | None = None
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.parquet(f"{home}/out")
 
 
