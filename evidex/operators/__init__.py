@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""DataFrame operators; each module states its edge cases."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Queries over the driver's tables, with the SQL that gives the same rows."""

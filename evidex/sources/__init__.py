@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Readers of exports and artifacts, and sinks."""

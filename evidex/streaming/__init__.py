@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Incremental twins of the batch operators."""
