@@ -26,6 +26,18 @@ def search(corpus: DataFrame, query: str, limit: int = 10, newest: int = 1000) -
     return scored.orderBy(F.desc("score"), "external_id", "item_id").limit(max(1, min(limit, 50)))
 
 
+def search_each(corpus: DataFrame, query: str, limit: int = 10, newest: int = 1000) -> DataFrame:
+    """search() in every (tenant_id, corpus_id) on its own: rows with score and rank, up to limit for each corpus.
+
+    The newest rows are those of one corpus; which corpora may be read is the caller's filter (R.secure_view). Both
+    bounds are ranks, which Spark applies before the shuffle as well, so a large corpus is no large task.
+    """
+    own = lambda *order: Window.partitionBy("tenant_id", "corpus_id").orderBy(*order, "external_id", "item_id")
+    recent = corpus.withColumn("age", F.row_number().over(own(F.desc("recorded_at")))).where(F.col("age") <= newest).drop("age")
+    scored = recent.withColumn("score", lexical_score(haystack(), tokens_of(query))).where("score > 0")
+    return scored.withColumn("rank", F.row_number().over(own(F.desc("score")))).where(F.col("rank") <= max(1, min(limit, 50)))
+
+
 def references(corpus: DataFrame) -> DataFrame:
     """item_id, ref_kind, ref_value, normalized: what each row can be looked up by, each kind and value once."""
     text = F.concat_ws(" ", "external_id", "content")
@@ -46,14 +58,16 @@ def lookup(refs: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
     )
 
 
-def packet(hits: DataFrame, budget: int, most: int = 50) -> DataFrame:
-    """item_id, rank, cost, included: hits (item_id, score, external_id, content) packed greedily within a number of words.
+def packet(hits: DataFrame, budget: int, most: int = 50, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, item_id, rank, cost, included: hits (keys, item_id, score, external_id, content) packed greedily within a number of words, a packet for each value of keys.
 
-    A hit over the rest of the budget is skipped and later, smaller ones may still fit. At most 50 hits are ranked.
+    A hit over the rest of the budget is skipped and later, smaller ones may still fit. At most 50 hits are ranked in a packet.
     """
-    ranked = hits.orderBy(F.desc("score"), "external_id", "item_id").limit(most).withColumn("cost", words(F.col("content")) + words(F.concat_ws(" ", "item_id", "external_id")))
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "external_id", "item_id")
+    best = hits.withColumn("at", F.row_number().over(w)).where(F.col("at") <= most) if keys else hits.orderBy(F.desc("score"), "external_id", "item_id").limit(most)
+    ranked = best.withColumn("cost", words(F.col("content")) + words(F.concat_ws(" ", "item_id", "external_id")))
     item = F.struct(F.negative("score").alias("o"), "external_id", "item_id", "cost")
-    listed = ranked.agg(F.array_sort(F.collect_list(item)).alias("items"))  # at most 50 entries
+    listed = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))  # at most 50 entries
     start = F.struct(F.array().cast("array<struct<item_id:string,rank:int,cost:int,included:boolean>>").alias("out"), F.lit(0).alias("used"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -61,7 +75,7 @@ def packet(hits: DataFrame, budget: int, most: int = 50) -> DataFrame:
         row = F.struct(x["item_id"].alias("item_id"), (F.size(acc["out"]) + 1).alias("rank"), x["cost"].alias("cost"), fits.alias("included"))
         return F.struct(F.array_append(acc["out"], row).alias("out"), (acc["used"] + F.when(fits, x["cost"]).otherwise(0)).alias("used"))
 
-    return listed.select(F.inline(F.aggregate("items", start, step, lambda a: a["out"])))
+    return listed.select(*keys, F.inline(F.aggregate("items", start, step, lambda a: a["out"])))
 
 
 def describe(corpus: DataFrame) -> DataFrame:

@@ -452,6 +452,16 @@ def lexical_search(spark, d):
     return S.search(load(spark, d, "corpus_rows"), _TERMS, 20).select("item_id", "external_id", F.col("score").cast("double").alias("score"))
 
 
+@query(f"""
+with r as (select *, lower(concat_ws(' ', coalesce(content, ''), coalesce(external_id, ''), coalesce(sub_kind, ''), coalesce(provenance.path, ''), coalesce(provenance.commit_sha, ''))) as hay
+  from corpus_rows qualify row_number() over (partition by tenant_id, corpus_id order by recorded_at desc, external_id, item_id) <= 1000),
+s as (select tenant_id, corpus_id, item_id, external_id, cast({_score_sql('hay', _TERMS)} as double) as score from r)
+select *, row_number() over (partition by tenant_id, corpus_id order by score desc, external_id, item_id) as rank from s where score > 0 qualify rank <= 20""")
+def lexical_search_each(spark, d):
+    hits = S.search_each(load(spark, d, "corpus_rows"), _TERMS, 20)
+    return hits.select("tenant_id", "corpus_id", "item_id", "external_id", F.col("score").cast("double").alias("score"), "rank")
+
+
 @query()
 def derived_references(spark, d):
     return S.references(load(spark, d, "corpus_rows"))
@@ -468,7 +478,7 @@ def exact_references(spark, d):
 
 @query()
 def packet(spark, d):
-    return S.packet(S.search(load(spark, d, "corpus_rows"), "the belief history", 50), 300)
+    return S.packet(S.search_each(load(spark, d, "corpus_rows"), "the belief history", 50), 300, keys=("tenant_id", "corpus_id"))
 
 
 @query()

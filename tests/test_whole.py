@@ -1,0 +1,24 @@
+"""The whole job where a query once did a part of it."""
+
+from evidex.operators import retrieval as S
+from evidex.plans import catalog
+from tests.conftest import ts
+
+
+def corpus_rows(spark, sizes):
+    """Rows of corpora (tenant, corpus, n, day), the newest of each first."""
+    rows = [(f"{t}{c}{i:04d}", t, c, f"x{i:04d}", "doc", "belief history" if i == n - 1 else "nothing", ts(f"2025-01-{day:02d}T00:00:00"), None) for t, c, n, day in sizes for i in range(n)]
+    schema = "item_id string, tenant_id string, corpus_id string, external_id string, sub_kind string, content string, recorded_at timestamp, provenance struct<path:string,commit_sha:string>"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_newest_rows_are_those_of_one_corpus(spark):
+    rows = corpus_rows(spark, [("t", "a", 5, 1), ("t", "b", 4, 20), ("u", "a", 6, 10)])
+    found = S.search_each(rows, "belief history", 10, newest=5).collect()
+    assert sorted((r["tenant_id"], r["corpus_id"], r["item_id"], r["rank"]) for r in found) == [("t", "a", "ta0004", 1), ("t", "b", "tb0003", 1)]
+
+
+def test_packet_of_each_corpus(spark, tmp_path):
+    corpus_rows(spark, [("t", "old", 3, 1), ("t", "new", 1100, 20)]).write.parquet(f"{tmp_path}/corpus_rows.parquet")
+    got = catalog.queries()["packet"](spark, str(tmp_path)).collect()
+    assert [(r["tenant_id"], r["corpus_id"], r["item_id"], r["rank"], r["included"]) for r in got] == [("t", "old", "told0002", 1, True)]
