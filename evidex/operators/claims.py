@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import canonical_json, normalize_value
+from evidex.operators import timestamps
 from evidex.operators.history import KEY, _neighbours
 from evidex.session import stage
 
@@ -42,6 +43,9 @@ VOCABULARY = [
     ("traveled_to", "identity", "event", "json", "place,when", "place"),
 ]
 
+#: Columns of traced() claims that a belief's evidence is taken from.
+TRACE = ("evidence_from", "evidence_to", "evidence_message_ids")
+
 
 def vocabulary(spark: SparkSession) -> DataFrame:
     """The predicate vocabulary, marked for broadcast: its size is fixed above."""
@@ -126,14 +130,51 @@ def group_key() -> Column:
     )
 
 
+def active_claims(claims: DataFrame, segments: DataFrame, extractions: DataFrame | None = None) -> DataFrame:
+    """Claims of active segments of the three products, of each segment's latest extraction where extractions are given.
+
+    extractions: id, segment_id, status, created_at. Only those that ended as extracted count.
+    """
+    s = segments.where("is_active and source_kind in ('chatgpt', 'claude', 'gemini') and conversation_id is not null").select(F.col("id").alias("segment_id")).distinct()
+    kept = claims.where("conversation_id is not null").join(s, "segment_id", "left_semi")
+    if extractions is None:
+        return kept
+    latest = extractions.where("status = 'extracted'").groupBy("segment_id").agg(F.max(F.struct("created_at", "id"))["id"].alias("extraction_id"))
+    return kept.join(latest, ["segment_id", "extraction_id"], "left_semi")
+
+
+def evidence_times(claims: DataFrame, messages: DataFrame, batches: DataFrame) -> DataFrame:
+    """m_id, at of the claims' evidence messages: when a message was written, where that can be read, else its delivery."""
+    cited = messages.join(claims.select(F.explode("evidence_message_ids").alias("id")).distinct(), "id", "left_semi")
+    written = timestamps.normalise([timestamps.message_values(cited, batches)]).groupBy("record_id").agg(F.min("utc_us").alias("us"))
+    read = F.timestamp_micros("us")
+    if dict(messages.dtypes)["imported_at"] == "timestamp_ntz":
+        read = read.cast("timestamp_ntz")  # sessions are in UTC
+    return cited.join(written, F.col("id") == F.col("record_id"), "left").groupBy(F.col("id").alias("m_id")).agg(F.min(F.coalesce(read, "imported_at")).alias("at"))
+
+
+def traced(claims: DataFrame, times: DataFrame) -> DataFrame:
+    """claims with evidence_from and evidence_to, the first and last time of the evidence (times: m_id, at); null where none of it is known."""
+    one = claims.select(F.col("id").alias("c_id"), F.explode(F.array_distinct("evidence_message_ids")).alias("m_id"))
+    span = one.join(times, "m_id").groupBy("c_id").agg(F.min("at").alias("evidence_from"), F.max("at").alias("evidence_to"))
+    return claims.join(span, F.col("id") == F.col("c_id"), "left").drop("c_id")
+
+
 def value_groups(claims: DataFrame) -> DataFrame:
-    """Claims grouped by conversation, key and value, with the sums a belief is made of."""
+    """Claims grouped by conversation, key and value, with the sums a belief is made of.
+
+    Of traced() claims also begins and observed_at, the ends of the evidence, and cited: extracted_at, id and evidence of each claim, in order.
+    """
     v = claims.join(vocabulary(claims.sparkSession), "predicate")
     value = F.when(F.col("object_text").isNotNull(), F.concat(F.lit("text:"), normalize_value(F.col("object_text")))).otherwise(F.concat(F.lit("json:"), canonical_json(F.col("object_json"))))
-    v = v.select("id", "conversation_id", "subject_normalized", "predicate", group_key().alias("group_object_key"), value.alias("value"), "v_cardinality", "extracted_at", "confidence", "privacy_tier")
+    v = v.select("id", "conversation_id", "subject_normalized", "predicate", group_key().alias("group_object_key"), value.alias("value"), "v_cardinality", "extracted_at", "confidence", "privacy_tier", *(c for c in TRACE if c in claims.columns))
+    more, first_id = [], F.min("id")
+    if set(TRACE) <= set(claims.columns):
+        first_id = F.min_by("id", F.struct("extracted_at", "id"))
+        more = [F.min("evidence_from").alias("begins"), F.max("evidence_to").alias("observed_at"), F.array_sort(F.collect_list(F.struct("extracted_at", "id", "evidence_message_ids"))).alias("cited")]
     return v.groupBy("conversation_id", *KEY, "value", "v_cardinality").agg(
-        F.min("extracted_at").alias("first_at"), F.max("extracted_at").alias("last_at"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("claims"), F.sum("confidence").alias("confidence"), F.max("privacy_tier").alias("tier")
-    )
+        F.min("extracted_at").alias("first_at"), F.max("extracted_at").alias("last_at"), first_id.alias("first_id"), F.count(F.lit(1)).alias("claims"), F.sum("confidence").alias("confidence"), F.max("privacy_tier").alias("tier"), *more,
+    )
 
 
 def consolidate(claims: DataFrame, slices: int | None = None) -> DataFrame:
@@ -142,11 +183,18 @@ def consolidate(claims: DataFrame, slices: int | None = None) -> DataFrame:
     Conversations count in the order of their last claim, groups inside by their first. A group with the value of the
     active belief joins it; another value closes it and opens the next, unless the predicate allows several at once.
     Runs in slices like the history, so a hot key is no hot task.
+
+    Of traced() claims a belief begins at the first evidence of its first group, not at the first extraction, and has
+    observed_at, claim_ids and evidence_ids of all its groups, each id once, in their order.
     """
+    trace = set(TRACE) <= set(claims.columns)
+    begins, more = ("begins", ["observed_at"]) if trace else ("first_at", [])
     n = slices or int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = claims.groupBy("conversation_id").agg(F.max("extracted_at").alias("conversation_last"))
     groups = value_groups(claims).join(last, "conversation_id").withColumn("eff", F.struct("conversation_last", "conversation_id", "first_at", "first_id"))
     rows = stage(groups.repartitionByRange(n, *KEY, "eff").withColumn("slice", F.spark_partition_id()), "groups")
+    cited = rows.select(F.col("first_id").alias("cites"), "cited") if trace else None  # joined at the end, not carried through the steps
+    rows = rows.drop("cited")
     w = Window.partitionBy("slice", *KEY).orderBy("eff")
     rows = rows.withColumns({"before": F.lag("value").over(w), "seen": F.lag("eff").over(w)})
     rows = _neighbours(rows, last={"p_value": F.max_by("value", "eff"), "p_seen": F.max("eff")})
@@ -154,19 +202,25 @@ def consolidate(claims: DataFrame, slices: int | None = None) -> DataFrame:
     first = F.coalesce("seen", "p_seen").isNull()
     rows = rows.withColumn("starts", first | (single & ~F.coalesce("before", "p_value").eqNullSafe(F.col("value"))))
     mark = F.when(F.col("starts"), F.col("eff"))
-    nxt = F.when(F.col("starts"), F.struct("first_at", "value"))
-    rows = rows.select("slice", *KEY, "eff", "value", "first_at", "claims", "confidence", "tier", "starts").withColumns(
+    nxt = F.when(F.col("starts"), F.struct(F.col(begins).alias("at"), "value"))
+    rows = rows.select("slice", *KEY, "eff", "value", begins, "claims", "confidence", "tier", "starts", *more).withColumns(
         {"island": F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "next": F.first(nxt, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))}
     )
     rows = _neighbours(rows, last={"p_island": F.max_by("island", "eff")}, first={"n_next": F.min_by(nxt, F.when(F.col("starts"), F.col("eff")))})
     following = F.coalesce("next", "n_next")
+    united, names = [], []
+    if trace:
+        rows = rows.join(cited, F.col("eff.first_id") == F.col("cites"))
+        listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("eff", "cited"))), lambda g: g["cited"]))  # what one belief cites
+        united = [F.max("observed_at").alias("observed_at"), F.array_distinct(listed["id"]).alias("claim_ids"), F.array_distinct(F.flatten(listed["evidence_message_ids"])).alias("evidence_ids")]
+        names = ["observed_at", "claim_ids", "evidence_ids"]
     return (
         rows.groupBy(*KEY, F.coalesce("island", "p_island").alias("island"))
         .agg(
-            F.min_by("value", "eff").alias("value"), F.min_by("first_at", "eff").alias("valid_from"), F.min_by(following["first_at"], "eff").alias("valid_to"), F.min_by(following["value"], "eff").alias("contradicts"),
-            F.sum("claims").alias("claims"), F.round(F.sum("confidence") / F.sum("claims"), 6).alias("confidence"), F.max("tier").alias("tier"),
+            F.min_by("value", "eff").alias("value"), F.min_by(begins, "eff").alias("valid_from"), F.min_by(following["at"], "eff").alias("valid_to"), F.min_by(following["value"], "eff").alias("contradicts"),
+            F.sum("claims").alias("claims"), F.round(F.sum("confidence") / F.sum("claims"), 6).alias("confidence"), F.max("tier").alias("tier"), *united,
         )
-        .select(*KEY, F.col("island.first_id").alias("first_claim"), "value", "valid_from", "valid_to", "claims", "confidence", "tier", "contradicts")
+        .select(*KEY, F.col("island.first_id").alias("first_claim"), "value", "valid_from", "valid_to", "claims", "confidence", "tier", "contradicts", *names)
     )
 
 

@@ -644,6 +644,26 @@ def belief_contradictions(spark, d):
     return C.contradictions(C.consolidate(load(spark, d, "claims"))).withColumn("at", epoch_us("at"))
 
 
+def _traced_beliefs(spark, d):
+    c = C.active_claims(load(spark, d, "claims"), load(spark, d, "segments"))
+    return C.consolidate(C.traced(c, C.evidence_times(c, load(spark, d, "messages"), load(spark, d, "ingest_results"))))
+
+
+@query()
+def traced_beliefs(spark, d):
+    return _traced_beliefs(spark, d).withColumns({c: epoch_us(c) for c in ("valid_from", "valid_to", "observed_at")})
+
+
+@query()
+def traced_contradictions(spark, d):
+    return C.contradictions(_traced_beliefs(spark, d)).withColumn("at", epoch_us("at"))
+
+
+@query()
+def traced_transitions(spark, d):
+    return V.transitions(_traced_beliefs(spark, d)).withColumn("at", epoch_us("at"))
+
+
 @query("""
 select belief_id, count(*) filter (where k.id is null) as lost, count(k.id) as left from (select id as belief_id, unnest(list_distinct(claim_ids)) as c from beliefs) b
 left join (select id from claims where confidence >= 0.2) k on k.id = b.c group by belief_id having count(*) filter (where k.id is null) > 0""")

@@ -1,6 +1,12 @@
 """The whole job where a query once did a part of it."""
 
+from collections import defaultdict
+
+import duckdb
+
+from evidex.operators import claims as C
 from evidex.operators import retrieval as S
+from evidex.operators.timestamps import parse_instant
 from evidex.plans import catalog
 from tests.conftest import ts
 
@@ -22,3 +28,46 @@ def test_packet_of_each_corpus(spark, tmp_path):
     corpus_rows(spark, [("t", "old", 3, 1), ("t", "new", 1100, 20)]).write.parquet(f"{tmp_path}/corpus_rows.parquet")
     got = catalog.queries()["packet"](spark, str(tmp_path)).collect()
     assert [(r["tenant_id"], r["corpus_id"], r["item_id"], r["rank"], r["included"]) for r in got] == [("t", "old", "told0002", 1, True)]
+
+
+def test_beliefs_are_those_of_a_sequential_fold(spark, sf):
+    con = duckdb.connect()
+    rows = lambda q: con.execute(q).fetchall()
+    t = lambda n: f"'{sf}/{n}.parquet'"
+    zones = {b: (z, loc) for b, z, loc in rows(f"select batch_id, max(export_timezone), max(export_locale) from {t('ingest_results')} group by 1")}
+    at = {i: (lambda us: us if us is not None else imp)(parse_instant(raw, *zones.get(batch, (None, None))) if raw else None) for i, raw, batch, imp in rows(f"select id, created_at, batch_id, epoch_us(imported_at) from {t('messages')}")}
+    segments = {r[0] for r in rows(f"select id from {t('segments')} where is_active and source_kind in ('chatgpt', 'claude', 'gemini') and conversation_id is not null")}
+    kept = [r for r in rows(f"select id, conversation_id, epoch_us(extracted_at), evidence_message_ids, segment_id from {t('claims')} where conversation_id is not null order by extracted_at, id") if r[4] in segments]
+    assert len(kept) < con.execute(f"select count(*) from {t('claims')}").fetchone()[0]
+    claims = spark.read.parquet(f"{sf}/claims.parquet")
+    of = {r["id"]: tuple(r)[1:] for r in claims.join(C.vocabulary(spark), "predicate").select("id", "subject_normalized", "predicate", C.group_key().alias("k"), "v_cardinality").collect()}
+    text = {r[0]: r[1] for r in C.value_groups(claims.withColumn("conversation_id", claims["id"])).select("first_id", "value").collect()}
+    last, groups = defaultdict(int), defaultdict(list)
+    for i, conversation, extracted, evidence, _ in kept:
+        last[conversation] = max(last[conversation], extracted)
+        if i in of:
+            groups[conversation, of[i], text[i]].append((extracted, i, evidence))
+    active, want = {}, []
+    for (conversation, key, value), cs in sorted(groups.items(), key=lambda g: (last[g[0][0]], g[0][0], g[1][0][:2])):
+        times = [at[e] for c in cs for e in c[2] if e in at]
+        b = active.get(key)
+        if b is None or (b["value"] != value and key[3].startswith("single")):
+            if b is not None:
+                b["valid_to"] = min(times)
+            b = active[key] = {"key": key[:3], "value": value, "valid_from": min(times), "valid_to": None, "observed_at": 0, "claims": [], "evidence": []}
+            want.append(b)
+        b["observed_at"] = max(b["observed_at"], *times)
+        b["claims"] += [c[1] for c in cs]
+        b["evidence"] += [e for c in cs for e in c[2] if e not in b["evidence"]]
+    got = catalog.queries()["traced_beliefs"](spark, sf).collect()
+    assert sorted(repr((r["subject_normalized"], r["predicate"], r["group_object_key"], r["value"], r["valid_from"], r["valid_to"], r["observed_at"], r["claim_ids"], r["evidence_ids"])) for r in got) == sorted(
+        repr((*b["key"], b["value"], b["valid_from"], b["valid_to"], b["observed_at"], b["claims"], list(dict.fromkeys(b["evidence"])))) for b in want
+    )
+
+
+def test_only_the_latest_extraction_counts(spark):
+    segments = spark.createDataFrame([("s", "c", "claude", True), ("old", "c", "claude", False)], "id string, conversation_id string, source_kind string, is_active boolean")
+    extractions = spark.createDataFrame([("x1", "s", "extracted", 1), ("x2", "s", "extracted", 2), ("x3", "s", "failed", 3), ("x4", "old", "extracted", 1)], "id string, segment_id string, status string, created_at int")
+    claims = spark.createDataFrame([(f"k{n}", "c", s, f"x{n}") for n, s in ((1, "s"), (2, "s"), (3, "s"), (4, "old"))], "id string, conversation_id string, segment_id string, extraction_id string")
+    assert [r["id"] for r in C.active_claims(claims, segments, extractions).collect()] == ["k2"]
+    assert sorted(r["id"] for r in C.active_claims(claims, segments).collect()) == ["k1", "k2", "k3"]
