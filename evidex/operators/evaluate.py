@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import safe_rate
+from evidex.operators.segments import following
 
 
 def boundaries(assigned: DataFrame) -> DataFrame:
@@ -76,10 +77,9 @@ def near_duplicate(a: Column, b: Column, least: float = 0.9) -> Column:
 def fragmentation(segments: DataFrame, floors: tuple[int, ...] = (50, 100, 200)) -> DataFrame:
     """Rates of small segments, of pairs of tiny neighbours and of near-duplicate neighbours. segments: conversation_id, segment, tokens, text.
 
-    Neighbours are found by an equi-join on the segment number, so no conversation is windowed whole.
+    The neighbour is the next segment there is, whatever the gap in the numbers; it is found in blocks of them.
     """
-    nxt = segments.select("conversation_id", (F.col("segment") - 1).alias("segment"), F.col("tokens").alias("next_tokens"), F.col("text").alias("next_text"))
-    rows = segments.join(nxt, ["conversation_id", "segment"], "left")
+    rows = following(segments, "conversation_id", "segment", ["tokens", "text"])
     pair = F.col("next_tokens").isNotNull()
     rate = lambda c, n: F.round(safe_rate(F.sum(F.when(c, 1).otherwise(0)), n), 6)
     pairs = F.count("next_tokens")

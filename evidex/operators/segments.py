@@ -116,6 +116,16 @@ def previous(rows: DataFrame, key: str, pos: str, col: str, block: int = BLOCK)
     return out.withColumn(f"prev_{col}", F.when(F.row_number().over(w) == 1, F.col("carried")).otherwise(F.lag(col).over(w))).drop("block", "e_key", "e_block", "carried")
 
 
+def following(rows: DataFrame, key: str, pos: str, cols: list[str], block: int = BLOCK) -> DataFrame:
+    """rows with next_<col> of the row after in the key, null for the last; blocks and borders as in previous()."""
+    rows = rows.withColumn("block", F.floor(F.col(pos) / block))
+    firsts = rows.groupBy(key, "block").agg(F.min_by(F.struct(*cols), pos).alias("first"))
+    firsts = firsts.select(F.col(key).alias("e_key"), F.col("block").alias("e_block"), F.lead("first").over(Window.partitionBy(key).orderBy("block")).alias("carried"))
+    w = Window.partitionBy(key, "block").orderBy(pos)
+    out = rows.join(firsts, F.col(key).eqNullSafe(F.col("e_key")) & (F.col("block") == F.col("e_block"))).withColumn("after", F.coalesce(F.lead(F.struct(*cols)).over(w), "carried"))
+    return out.select(*rows.columns, *(F.col("after")[c].alias(f"next_{c}") for c in cols)).drop("block")
+
+
 def fixed_windows(messages: DataFrame, target: int = 200) -> DataFrame:
     """conversation_id, sequence_index, segment: windows of at most target estimated tokens."""
     sized = messages.select("conversation_id", "sequence_index", token_estimate(F.col("content_text")).alias("size"))

@@ -592,6 +592,15 @@ def split_rates(spark, d):
     return E.split_rates(_two_segmentations(spark, d))
 
 
+@query(rf"""
+with s as (select conversation_id, sequence_index, {_TOKENS_SQL} as tokens, content_text as raw from segments where is_active),
+n as (select *, lead(tokens) over w as next_tokens from s window w as (partition by conversation_id order by sequence_index))
+select count(*) as segments, round(avg((tokens < 50)::int), 6) as sub_50_rate, round(avg((tokens < 100)::int), 6) as sub_100_rate, round(avg((tokens < 200)::int), 6) as sub_200_rate, count(next_tokens) as pairs,
+  coalesce(round(avg((tokens < 100 and next_tokens < 100)::int) filter (where next_tokens is not null), 6), 0) as tiny_pair_rate from n""".strip())
+def segment_pairs(spark, d):
+    return fragmentation(spark, d).drop("duplicate_pair_rate")
+
+
 @query()
 def fragmentation(spark, d):
     s = load(spark, d, "segments").where("is_active")

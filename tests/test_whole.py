@@ -5,6 +5,7 @@ from collections import defaultdict
 import duckdb
 
 from evidex.operators import claims as C
+from evidex.operators import evaluate as E
 from evidex.operators import retrieval as S
 from evidex.operators.timestamps import parse_instant
 from evidex.plans import catalog
@@ -71,3 +72,14 @@ def test_only_the_latest_extraction_counts(spark):
     claims = spark.createDataFrame([(f"k{n}", "c", s, f"x{n}") for n, s in ((1, "s"), (2, "s"), (3, "s"), (4, "old"))], "id string, conversation_id string, segment_id string, extraction_id string")
     assert [r["id"] for r in C.active_claims(claims, segments, extractions).collect()] == ["k2"]
     assert sorted(r["id"] for r in C.active_claims(claims, segments).collect()) == ["k1", "k2", "k3"]
+
+
+def test_neighbours_across_gaps_and_blocks(spark):
+    from evidex.operators import segments as SG
+
+    numbers = [0, 1, 5, 6, 11, 30]
+    df = spark.createDataFrame([("c", n, 60, "same text") for n in numbers] + [("d", 7, 300, "alone")], "conversation_id string, segment int, tokens int, text string")
+    r = E.fragmentation(df).first()
+    assert (r["segments"], r["pairs"], r["tiny_pair_rate"], r["duplicate_pair_rate"]) == (7, 5, 1.0, 1.0)
+    got = {(r["c"], r["n"]): r["next_n"] for r in SG.following(df.selectExpr("conversation_id c", "segment n"), "c", "n", ["n"], block=4).collect()}
+    assert got == {**{("c", a): b for a, b in zip(numbers, [*numbers[1:], None])}, ("d", 7): None}
