@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import QUERY_TOKEN, decision_id, lexical_score, reference_value, rfc_id, words
+from evidex.session import stage
 
 
 def haystack() -> Column:
@@ -127,3 +128,21 @@ def top_similar(vectors: DataFrame, query_ids: list[int], k: int) -> DataFrame:
     scored = scored.select(F.col("x.query_id").alias("query_id"), "vec_id", F.round(cosine(F.col("x.q"), F.col("embedding")), 6).alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def top_similar_to(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """query_id, vec_id, similarity, rank: exact search for any number of queries (vec_id, embedding).
+
+    Queries go to the vectors in broadcast blocks of about that number; the k best are taken before the shuffle as well.
+    """
+    asked = stage(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "queries")
+    blocks = max(1, -(-asked.count() // block))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    out = None
+    for b in range(blocks):
+        scored = vectors.select("vec_id", "embedding").join(F.broadcast(asked.where(number == b)), F.col("query_id") != F.col("vec_id"))
+        scored = scored.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+        part = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = part if out is None else out.unionByName(part)
+    return out

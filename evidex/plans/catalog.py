@@ -505,6 +505,15 @@ def vector_top_k(spark, d):
     return S.top_similar(load(spark, d, "embeddings"), [0, 100, 200], 5)
 
 
+@query("""
+select query_id, vec_id, similarity, rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from (
+  select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as similarity from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0))
+where rank <= 5""")
+def vector_top_k_hundreds(spark, d):
+    v = load(spark, d, "embeddings")
+    return S.top_similar_to(v, v.where("vec_id % 100 = 0"), 5)
+
+
 @query("""
 select item_id, case when redaction_state = 'dirty' then 'dirty_working_tree' when sub_kind <> 'unknown' then sub_kind when redaction_state is not null then 'fresh' else 'unknown' end as freshness
 from corpus_rows""")

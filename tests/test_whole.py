@@ -83,3 +83,12 @@ def test_neighbours_across_gaps_and_blocks(spark):
     assert (r["segments"], r["pairs"], r["tiny_pair_rate"], r["duplicate_pair_rate"]) == (7, 5, 1.0, 1.0)
     got = {(r["c"], r["n"]): r["next_n"] for r in SG.following(df.selectExpr("conversation_id c", "segment n"), "c", "n", ["n"], block=4).collect()}
     assert got == {**{("c", a): b for a, b in zip(numbers, [*numbers[1:], None])}, ("d", 7): None}
+
+
+def test_every_hundredth_vector_is_a_query(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "vec_id", "similarity", "rank").collect()))
+    ids = [r[0] for r in v.where("vec_id % 100 = 0").select("vec_id").collect()]
+    assert len(ids) > 3
+    got = rows(catalog.queries()["vector_top_k_hundreds"](spark, sf))
+    assert got == rows(S.top_similar(v, ids, 5)) == rows(S.top_similar_to(v, v.where("vec_id % 100 = 0"), 5, block=2))
