@@ -578,6 +578,15 @@ def context_windows(spark, d):
     return SG.expand_spans(spans, _ordered(spark, d)).select("span_id.id", "message_id", (F.col("sequence_index") - F.col("span_id.at")).alias("offset"))
 
 
+@query()
+def evidence_context_windows(spark, d):
+    m = load(spark, d, "messages").where("sequence_index is not null").select(F.col("id").alias("e"), "conversation_id", F.col("sequence_index").alias("at"))
+    cited = load(spark, d, "claims").select("id", F.explode(F.array_distinct("evidence_message_ids")).alias("e"))
+    spans = m.join(cited.select("e").distinct(), "e", "left_semi").select(F.struct("e", "at").alias("span_id"), "conversation_id", (F.col("at") - 2).alias("lo"), (F.col("at") + 2).alias("hi"))
+    windows = SG.expand_spans(spans, _ordered(spark, d)).select("span_id.e", "message_id", (F.col("sequence_index") - F.col("span_id.at")).alias("offset"))
+    return cited.join(windows, "e").select("id", F.col("e").alias("evidence_id"), "message_id", "offset")
+
+
 def _two_segmentations(spark, d):
     m = _ordered(spark, d)
     n = m.groupBy("conversation_id").agg(F.max("sequence_index").alias("hi"))

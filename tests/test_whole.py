@@ -92,3 +92,18 @@ def test_every_hundredth_vector_is_a_query(spark, sf):
     assert len(ids) > 3
     got = rows(catalog.queries()["vector_top_k_hundreds"](spark, sf))
     assert got == rows(S.top_similar(v, ids, 5)) == rows(S.top_similar_to(v, v.where("vec_id % 100 = 0"), 5, block=2))
+
+
+def test_a_window_around_every_evidence_message(spark, sf):
+    con = duckdb.connect()
+    messages = con.execute(f"select id, conversation_id, sequence_index, imported_at from '{sf}/messages.parquet' where sequence_index is not null").fetchall()
+    at = {r[0]: r[1:3] for r in messages}
+    last = {}
+    for i, c, n, t in messages:
+        if c is not None:
+            last[c, n] = max(last.get((c, n), (t, i)), (t, i))
+    want = []
+    for claim, evidence in con.execute(f"select id, evidence_message_ids from '{sf}/claims.parquet'").fetchall():
+        for e in set(evidence) & set(at):
+            want += [(claim, e, last[at[e][0], at[e][1] + k][1], k) for k in range(-2, 3) if (at[e][0], at[e][1] + k) in last]
+    assert sorted(map(tuple, catalog.queries()["evidence_context_windows"](spark, sf).collect())) == sorted(want)
