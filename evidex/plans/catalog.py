@@ -431,6 +431,25 @@ def supersession_heads(spark, d):
     return G.chain_heads(links, "node", "next")
 
 
+@query("""
+with e as (select distinct id, recorded_at, subject_normalized as s, predicate as p, group_object_key as g from beliefs)
+select id as node, head from (select id, last(id) over w as head, row_number() over (partition by s, p, g order by recorded_at desc, id desc) as back from e
+  window w as (partition by s, p, g order by recorded_at, id rows between unbounded preceding and unbounded following)) where back > 1""")
+def belief_chain_heads(spark, d):
+    w = Window.partitionBy("subject_normalized", "predicate", "group_object_key").orderBy("recorded_at", "id")
+    links = load(spark, d, "beliefs").select("id", "recorded_at", "subject_normalized", "predicate", "group_object_key").distinct().select(F.col("id").alias("node"), F.lead("id").over(w).alias("next"))
+    return G.chain_heads(links.where("next is not null"), "node", "next")
+
+
+@query(r"""
+with b as (select 'subject:' || subject_normalized as s, case when object_text is not null then 'object:' || trim(regexp_replace(lower(object_text), '\s+', ' ', 'g'))
+    when coalesce(group_object_key, '') <> '' then 'object:' || predicate || ':' || group_object_key end as o from beliefs),
+e as (select distinct s, o from b where o is not null and s is not null), g as (select s as a, o as b from e union select o, s from e), one as (select b as node from g where a = 'subject:user')
+select 'subject:user' as origin, node, 1 as depth from one union all select distinct 'subject:user', g.b, 2 from one join g on g.a = one.node where g.b <> 'subject:user'""")
+def entity_neighbourhood(spark, d):
+    return G.neighbourhood(entity_edges(spark, d), spark.createDataFrame([("subject:user",)], "node string"), 2)
+
+
 # ---- retrieval ----
 
 _TERMS = "belief history index"

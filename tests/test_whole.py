@@ -107,3 +107,11 @@ def test_a_window_around_every_evidence_message(spark, sf):
         for e in set(evidence) & set(at):
             want += [(claim, e, last[at[e][0], at[e][1] + k][1], k) for k in range(-2, 3) if (at[e][0], at[e][1] + k) in last]
     assert sorted(map(tuple, catalog.queries()["evidence_context_windows"](spark, sf).collect())) == sorted(want)
+
+
+def test_chains_longer_than_six(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.range(50).select(F.format_string("%02d", "id").alias("id"), F.lit(ts("2025-01-01T00:00:00")).alias("recorded_at"), *(F.lit("k").alias(c) for c in ("subject_normalized", "predicate", "group_object_key"))).write.parquet(f"{tmp_path}/beliefs.parquet")
+    got = catalog.queries()["belief_chain_heads"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(f"{n:02d}", "49") for n in range(49)]
