@@ -236,6 +236,14 @@ def orphaned(beliefs: DataFrame, active_claims: DataFrame) -> DataFrame:
     return seen.groupBy("belief_id").agg((F.count(F.lit(1)) - F.count("live")).alias("lost"), F.count("live").alias("left")).where("lost > 0")
 
 
+def orphan_causes(lost: DataFrame, claims: DataFrame, segments: DataFrame) -> DataFrame:
+    """belief_id, cause of lost citations (belief_id, claim_id): reclassified if any claim's segment is invalidated, else deactivated if any is inactive, else reextraction."""
+    s = segments.select(F.col("id").alias("segment_id"), F.col("invalidated_at").isNotNull().alias("gone"), "is_active")
+    k = claims.select(F.col("id").alias("claim_id"), "segment_id").join(s, "segment_id")
+    facts = lost.join(k, "claim_id", "left").groupBy("belief_id").agg(F.bool_or("gone").alias("gone"), F.bool_or(~F.col("is_active") & ~F.col("gone")).alias("off"))
+    return facts.select("belief_id", F.when(F.col("gone"), "reclassified").when(F.col("off"), "deactivated").otherwise("reextraction").alias("cause"))
+
+
 def confidence_stats(claims: DataFrame, keys: list[str]) -> DataFrame:
     """mean, max, min, count and population deviation of confidence."""
     c = "confidence"

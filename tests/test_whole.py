@@ -115,3 +115,11 @@ def test_chains_longer_than_six(spark, sf, tmp_path):
     spark.range(50).select(F.format_string("%02d", "id").alias("id"), F.lit(ts("2025-01-01T00:00:00")).alias("recorded_at"), *(F.lit("k").alias(c) for c in ("subject_normalized", "predicate", "group_object_key"))).write.parquet(f"{tmp_path}/beliefs.parquet")
     got = catalog.queries()["belief_chain_heads"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(f"{n:02d}", "49") for n in range(49)]
+
+
+def test_orphan_causes(spark):
+    segments = spark.createDataFrame([("live", True, None), ("off", False, None), ("gone", False, ts("2025-01-01T00:00:00"))], "id string, is_active boolean, invalidated_at timestamp")
+    claims = spark.createDataFrame([(s[0], s) for s in ("live", "off", "gone")], "id string, segment_id string")
+    lost = spark.createDataFrame([("a", "l"), ("b", "l"), ("b", "o"), ("c", "o"), ("c", "g"), ("d", "?")], "belief_id string, claim_id string")
+    got = {r["belief_id"]: r["cause"] for r in C.orphan_causes(lost, claims, segments).collect()}
+    assert got == {"a": "reextraction", "b": "deactivated", "c": "reclassified", "d": "reextraction"}
