@@ -11,8 +11,8 @@ Closed blocks shrink to a few characters each and are folded per conversation.
 Edge cases: a null conversation_id belongs to no conversation and is left out;
 null, unknown or blank roles name no speaker; content is visible if any
 character is neither white space, control nor format character; conversations
-without messages are empty; extra columns are ignored; an empty table gives no
-rows.
+without messages are empty; a null imported_at counts as the start of 1970;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "500",
 }
 END_OF_FEED = "9000-01-01 00:00:00"
+#: Time of a message without imported_at: sessions drop nulls. It counts in the feed's span, so it parts no session.
+NO_TIME = "1970-01-01 00:00:00"
 
 
 def speaker(role: Column) -> Column:
@@ -50,7 +52,7 @@ def feed_of(messages: DataFrame) -> DataFrame:
     """What the state needs of each message."""
     return messages.where(F.col("conversation_id").isNotNull()).select(
         "conversation_id", F.col("sequence_index").cast("int").alias("seq"), speaker(F.col("role")).alias("speaker"),
-        visible(F.col("content_text")).alias("visible"), F.col("imported_at").cast("timestamp").alias("event_time"),
+        visible(F.col("content_text")).alias("visible"), F.coalesce(F.col("imported_at").cast("timestamp"), F.to_timestamp(F.lit(NO_TIME))).alias("event_time"),
     )
 
 
