@@ -1,13 +1,19 @@
 """P6: variant spellings of names typed by people.
 
-Values are bags of tokens. Character n-gram vectors weighted by rarity find
-similar tokens through a sparse cosine join with a prefix filter (exact for its
-threshold, no cap), values that share rare or similar tokens become candidates
-the same way, and each candidate pair gets a similarity from its best token
-alignment. Average-linkage clustering groups the spellings; it runs as rounds
-of merging mutually nearest clusters over the whole edge table, which gives the
+Two sparse cosine joins. The first is over distinct tokens: each is a vector of
+character n-grams weighted by rarity, the cosines of all pairs that share an
+n-gram are summed up exactly, and pairs are kept from a threshold on. The second
+is over values: each is a vector of its tokens weighted by rarity, and the
+cosine of two values counts similar tokens by their n-gram cosine. Of each
+value's partners the most similar are kept. A pair's similarity is the mean of
+its cosine and, counted twice, of how well the tokens agree one by one, which tells namesakes
+apart. Average-linkage clustering groups the spellings; it runs as rounds of
+merging mutually nearest clusters over the whole edge table, which gives the
 same tree as merging one pair at a time, so no group has to fit into a task.
 
+An n-gram or token that many items share is split into parts of bounded size,
+so no feature is one task.
+
 Edge cases: null and blank values are left out; repeated rows count once; a
 value of titles or legal forms only has no tokens and stays alone; a value
 without partner has no row; equal similarities are broken by a hash of the pair;
@@ -27,10 +33,18 @@ from pyspark.sql import functions as F
 
 from evidex.session import stage
 
-#: Least cosine of two tokens' n-gram vectors, and of two values' token vectors, to be compared.
-TOKEN_COSINE, VALUE_COSINE = 0.3, 0.55
+#: Least cosine of two tokens' n-gram vectors to be compared; of tokens at most three letters apart (a swap and another edit).
+TOKEN_COSINE, NEAR_COSINE = 0.35, 0.1
+#: Least cosine of two values to be a pair, and what their rarest tokens must hold of it.
+PAIR_COSINE, VALUE_COSINE = 0.15, 0.55
+#: Partners kept of each value, the most similar first; beyond that number all that reach SURE are kept too.
+TOP, SURE = 100, 0.4
 #: Least average similarity of two groups to be merged.
-LINKAGE = 0.5
+LINKAGE = 0.52
+#: How far tokens two edits apart agree.
+TWO_EDITS = 0.5
+#: Items of a feature that are joined in one part.
+SPLIT = 2000
 
 # Words that make no difference between names.
 TITLES = "dr prof professor mr mrs ms miss mme mlle herr frau sir dipl ing phd md jr sr señor señora sig".split()
@@ -72,9 +86,10 @@ def tokens(value: str) -> tuple[str, ...]:
     return tuple(sorted({w for w in _NOT_WORD.split(text) if w and w not in _DROPPED}))
 
 
-def _grams(token: Column, n: int) -> Column:
+def _grams(token: Column, sizes: tuple[int, ...]) -> Column:
     s = F.concat(F.lit("^"), token, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substr(s, i, F.lit(n))))
+    at = lambda n: F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substr(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*(at(n) for n in sizes)))
 
 
 def _prefix(weighted: DataFrame, least: float) -> DataFrame:
@@ -88,14 +103,31 @@ def _prefix(weighted: DataFrame, least: float) -> DataFrame:
 
 
 def _weighted(items: DataFrame) -> DataFrame:
-    """item, feature, w from item, feature: weights by rarity, unit length."""
+    """item, feature, w from item, feature: weights by rarity, unit length. Features of very few items, as typing errors make, weigh alike."""
     n = items.select("item").distinct().count()
     df = items.groupBy("feature").agg(F.count(F.lit(1)).alias("df"))
-    w = items.join(df, "feature").withColumn("idf", F.log(F.lit(float(n)) / F.col("df")) + 1.0)
+    w = items.join(df, "feature").withColumn("idf", F.log(F.lit(n + 10.0) / (F.col("df") + 9.0)) + 1.0)
     norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy("item")))
     return w.select("item", "feature", (F.col("idf") / norm).alias("w"))
 
 
+def shared(left: DataFrame, right: DataFrame, split: int = SPLIT) -> DataFrame:
+    """a, b, and the columns left_w, right_w of all pairs of items of left and right (item, feature, w) that share a feature.
+
+    A feature of more than split items of left is joined in parts, to each of which right's items are sent.
+    """
+    parts = left.groupBy("feature").agg(F.ceil(F.count(F.lit(1)) / split).cast("int").alias("parts"))
+    a = left.join(parts, "feature").select("feature", F.col("item").alias("a"), F.col("w").alias("left_w"), F.pmod(F.xxhash64("item"), "parts").cast("int").alias("part"))
+    b = right.join(parts, "feature").select("feature", F.col("item").alias("b"), F.col("w").alias("right_w"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["feature", "part"]).drop("feature", "part")
+
+
+def cosines(weighted: DataFrame) -> DataFrame:
+    """a, b, cosine, a < b: the exact cosine of every pair of unit vectors (item, feature, w) that share a feature."""
+    both = shared(weighted, weighted).where(F.col("a") < F.col("b"))
+    return both.groupBy("a", "b").agg(F.sum(F.col("left_w") * F.col("right_w")).alias("cosine"))
+
+
 def abbreviations(words: DataFrame) -> DataFrame:
     """a, b (both ways): tokens of three to five letters and the longer ones they may shorten, as a beginning or by their consonants."""
     short = words.where(F.length("word").between(3, 5)).select(F.col("word").alias("a"))
@@ -110,22 +142,30 @@ def abbreviations(words: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def rescored(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
+    """a, b, cosine: pairs (a, b) with the cosine of their unit vectors (item, feature, w), 0 without a common feature."""
+    left = pairs.join(weighted.select(F.col("item").alias("a"), "feature", F.col("w").alias("left_w")), "a")
+    right = weighted.select(F.col("item").alias("b"), "feature", F.col("w").alias("right_w"))
+    return left.join(right, ["b", "feature"], "left").groupBy("a", "b").agg(F.coalesce(F.sum(F.col("left_w") * F.col("right_w")), F.lit(0.0)).alias("cosine"))
+
+
 def similar_tokens(words: DataFrame) -> DataFrame:
-    """a, b (both ways and each token with itself): tokens whose n-gram vectors reach TOKEN_COSINE, abbreviations, short forms of given names.
+    """a, b, cosine (both ways and each token with itself): tokens whose n-gram vectors are similar, abbreviations, short forms of given names.
 
-    words: word. Short tokens are compared by 3-grams, long ones by 4-grams, those between by both.
+    words: word. A token is the vector of its 2- and 3-grams. Long tokens find each other by the cosine of their 4-grams,
+    which are rarer, and short ones by that of the vectors themselves. Abbreviations and short forms may have a cosine of 0.
     """
-    long = words.where(F.length("word") >= 3)
+    grams = lambda fits, sizes: words.where(fits).select(F.col("word").alias("item"), F.explode(_grams(F.col("word"), sizes)).alias("feature"))
+    vectors = stage(_weighted(grams(F.lit(True), (2, 3))), "grams")
+    short = cosines(vectors.where(F.length("item") <= 8))
+    long = cosines(stage(_weighted(grams(F.length("word") >= 7, (4,))), "grams"))
+    close = (F.col("cosine") >= TOKEN_COSINE) | ((F.col("cosine") >= NEAR_COSINE) & (F.levenshtein("a", "b", 3) >= 0))
+    near = stage(rescored(short.where(close).union(long.where(close)).select("a", "b").distinct(), vectors), "near")
     nicknames = sorted((x, y) for x, rx in _ROOTS.items() for y, ry in _ROOTS.items() if x != y and rx & ry)
-    out = words.select(F.col("word").alias("a"), F.col("word").alias("b")).unionByName(abbreviations(words))
-    out = out.unionByName(words.sparkSession.createDataFrame(nicknames, "a string, b string"))
-    for n, fits in ((3, F.length("word") <= 8), (4, F.length("word") >= 7)):
-        grams = long.where(fits).select(F.col("word").alias("item"), F.explode(_grams(F.col("word"), n)).alias("feature"))
-        index = stage(_prefix(_weighted(grams), TOKEN_COSINE), "grams")
-        pair = index.select(F.col("item").alias("a"), "feature").join(index.select(F.col("item").alias("b"), "feature"), "feature")
-        near = pair.where((F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 2) >= 0))
-        out = out.unionByName(near.select("a", "b"))
-    return out.distinct()
+    known = abbreviations(words).union(words.sparkSession.createDataFrame(nicknames, "a string, b string")).withColumn("cosine", F.lit(0.0))
+    same = words.select(F.col("word").alias("a"), F.col("word").alias("b"), F.lit(1.0).alias("cosine"))
+    out = same.union(known).union(near.select("a", "b", "cosine")).union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    return out.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
 def _one_edit(a: str, b: str) -> bool:
@@ -142,6 +182,20 @@ def _one_edit(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
+def _two_edits(a: str, b: str) -> bool:
+    """Equal but for two edits as in _one_edit: undoing one at the first difference leaves at most one."""
+    if abs(len(a) - len(b)) > 2:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    x, y = a[i:], b[i:]
+    ways = [(x[1:], y[1:]), (x[1:], y), (x, y[1:])]
+    if len(x) > 1 and x[:2] == y[:2][::-1]:
+        ways.append((x[2:], y[2:]))
+    return any(p == q or _one_edit("^^" + p, "^^" + q) for p, q in ways)
+
+
 def _shortened(short: str, full: str) -> bool:
     """Whether short abbreviates full: its letters in order from the first, at most five and less than two thirds."""
     if not 2 < len(short) <= 5 or 3 * len(short) > 2 * len(full) or short[0] != full[0]:
@@ -158,6 +212,8 @@ def _alike(a: str, b: str) -> float:
         return 0.97 if ra & rb else 0.0
     if _one_edit(a, b) and (min(len(a), len(b)) > 2 or ra or rb):
         return 0.93
+    if min(len(a), len(b)) > 6 and not ra and not rb and _two_edits(a, b):
+        return TWO_EDITS
     if _shortened(a, b) or _shortened(b, a):
         return 0.9
     for x, roots in ((a, rb), (b, ra)):  # a mistyped form of a name that has short forms
@@ -183,7 +239,7 @@ def alignment(a: list[str], b: list[str]) -> float:
         used_a.add(i)
         used_b.add(j)
         score *= s
-        anchored |= s >= 0.93 and fa[i] not in _ROOTS and fb[j] not in _ROOTS
+        anchored |= (s >= 0.93 or s == TWO_EDITS) and fa[i] not in _ROOTS and fb[j] not in _ROOTS
     if not anchored:
         return 0.0
     for words, used, initials in ((fa, used_a, ib), (fb, used_b, ia)):
@@ -211,20 +267,43 @@ def bags(subjects: DataFrame) -> DataFrame:
     return subjects.where(F.col("value").isNotNull()).select("value").distinct().mapInPandas(run, "value string, word string")
 
 
+def value_cosines(words: DataFrame, near: DataFrame) -> DataFrame:
+    """a, b, cosine, a < b: values (words: value, word) whose rarest tokens meet in near (a, b, cosine), with their cosine.
+
+    A value is the unit vector of its tokens weighted by rarity; a token of the one counts with the most similar one of the other.
+    """
+    weighted = stage(_weighted(words.select(F.col("value").alias("item"), F.col("word").alias("feature"))), "values")
+    index = stage(_prefix(weighted, VALUE_COSINE), "index").withColumn("w", F.lit(1.0))
+    reach = index.join(near.select(F.col("a").alias("feature"), F.col("b").alias("to")), "feature").select("item", F.col("to").alias("feature"), "w")
+    pairs = shared(reach.distinct(), index).where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    bag = weighted.groupBy("item").agg(F.collect_list(F.struct("feature", "w")).alias("bag"))  # the few tokens of one value
+    both = pairs.join(bag.select(F.col("item").alias("a"), F.col("bag").alias("bag_a")), "a").join(bag.select(F.col("item").alias("b"), F.col("bag").alias("bag_b")), "b")
+    crossed = both.select("a", "b", F.explode("bag_a").alias("x"), "bag_b").select("a", "b", "x", F.explode("bag_b").alias("y"))
+    met = crossed.select(F.col("a").alias("va"), F.col("b").alias("vb"), F.col("x.feature").alias("a"), F.col("y.feature").alias("b"), (F.col("x.w") * F.col("y.w")).alias("w")).join(near, ["a", "b"])
+    best = met.groupBy("va", "vb", "a").agg(F.max(F.col("w") * F.col("cosine")).alias("part"))
+    return best.groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.least(F.sum("part"), F.lit(1.0)).alias("cosine"))
+
+
+def top(pairs: DataFrame, n: int = TOP, sure: float = SURE) -> DataFrame:
+    """pairs (a, b, cosine) that are among the n most similar of either end, and all that reach sure."""
+    rank = lambda me, other: F.row_number().over(Window.partitionBy(me).orderBy(F.desc("cosine"), other))
+    ranked = pairs.withColumn("rank_a", rank("a", "b")).withColumn("rank_b", rank("b", "a"))
+    return ranked.where((F.col("rank_a") <= n) | (F.col("rank_b") <= n) | (F.col("cosine") >= sure)).select("a", "b", "cosine")
+
+
 def linked(subjects: DataFrame) -> DataFrame:
-    """a, b, similarity (above 0), a < b: aligned pairs among the values that share a rare token or one like it."""
+    """a, b, cosine, similarity (above 0), a < b: the pairs of similar values whose tokens agree."""
     words = stage(bags(subjects), "bags")
     near = stage(similar_tokens(words.select("word").distinct()), "similar")
-    index = stage(_prefix(_weighted(words.select(F.col("value").alias("item"), F.col("word").alias("feature"))), VALUE_COSINE), "index")
-    reach = index.select(F.col("item").alias("a"), F.col("feature").alias("f")).join(near.select(F.col("a").alias("f"), F.col("b").alias("feature")), "f")
-    pairs = reach.select("a", "feature").join(index.select(F.col("item").alias("b"), "feature"), "feature").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    pairs = top(value_cosines(words, near).where(F.col("cosine") >= PAIR_COSINE))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            p = p.assign(similarity=[alignment(list(tokens(a)), list(tokens(b))) for a, b in zip(p["a"], p["b"])])
-            yield p[p["similarity"] > 0]
+            agreed = pd.Series([alignment(list(tokens(a)), list(tokens(b))) for a, b in zip(p["a"], p["b"])], index=p.index, dtype=float)
+            p = p.assign(similarity=(p["cosine"] + 2 * agreed) / 3)
+            yield p[agreed > 0]
 
-    return pairs.mapInPandas(run, "a string, b string, similarity double")
+    return pairs.mapInPandas(run, "a string, b string, cosine double, similarity double")
 
 
 def average_linkage(edges: DataFrame, least: float = LINKAGE) -> DataFrame:
@@ -233,7 +312,7 @@ def average_linkage(edges: DataFrame, least: float = LINKAGE) -> DataFrame:
     Each round merges all pairs of clusters that are each other's nearest. Average linkage is reducible, so this
     gives the groups of merging the nearest pair at a time.
     """
-    edges = stage(edges.withColumnRenamed("similarity", "total"), "edges")
+    edges = stage(edges.select("a", "b", F.col("similarity").alias("total")), "edges")
     members = stage(edges.select(F.col("a").alias("value")).union(edges.select("b")).distinct().withColumn("cluster", F.col("value")), "members")
     while True:
         sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))

@@ -56,3 +56,31 @@ def test_token_join_finds_every_edit(spark):
         for w in words:
             if N._one_edit(base, w):
                 assert (base, w) in got and (w, base) in got
+
+
+def test_cosines_are_exact_and_split_features_lose_nothing(spark):
+    import random
+
+    rng = random.Random(7)
+    vectors = {f"i{n:03}": {f: rng.random() for f in rng.sample("abcdefgh", 3)} for n in range(60)}
+    rows = [(i, f, w) for i, v in vectors.items() for f, w in v.items()]
+    df = spark.createDataFrame(rows, "item string, feature string, w double")
+    want = {(x, y): sum(w * vectors[y].get(f, 0) for f, w in vectors[x].items()) for x, y in itertools.combinations(vectors, 2) if set(vectors[x]) & set(vectors[y])}
+    got = {(r["a"], r["b"]): r["cosine"] for r in N.cosines(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    parts = {(r["a"], r["b"]) for r in N.shared(df, df, split=5).where("a < b").collect()}
+    assert parts == want.keys()
+
+
+def test_every_link_has_a_cosine_and_the_best_partners_are_kept(spark):
+    df = spark.createDataFrame([(n,) for g in GROUPS for n in g], "value string")
+    links = N.linked(df).collect()
+    assert links and all(0 < r["cosine"] <= 1 and 0 < r["similarity"] <= 1 and r["a"] < r["b"] for r in links)
+    pairs = spark.createDataFrame([("a", f"b{n}", n / 100) for n in range(80)], "a string, b string, cosine double")
+    kept = {r["b"] for r in N.top(pairs.where("cosine < 2"), n=0, sure=0.4).collect()}
+    assert kept == {f"b{n}" for n in range(40, 80)}  # beyond the number, all that are sure
+
+
+@pytest.mark.parametrize(("a", "b", "two"), [("datsetoran", "dastetorann", True), ("kolemesel", "kolmesell", True), ("kolemesel", "kalemasel", True), ("kolemesel", "kalimasel", False)])
+def test_two_edits(a, b, two):
+    assert N._two_edits(a, b) == N._two_edits(b, a) == two
