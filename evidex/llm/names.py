@@ -267,43 +267,51 @@ def bags(subjects: DataFrame) -> DataFrame:
     return subjects.where(F.col("value").isNotNull()).select("value").distinct().mapInPandas(run, "value string, word string")
 
 
-def value_cosines(words: DataFrame, near: DataFrame) -> DataFrame:
-    """a, b, cosine, a < b: values (words: value, word) whose rarest tokens meet in near (a, b, cosine), with their cosine.
+def candidates(weighted: DataFrame, near: DataFrame) -> DataFrame:
+    """a, b, a < b: values (weighted: item, feature, w) whose rarest tokens meet in near (a, b)."""
+    index = stage(_prefix(weighted, VALUE_COSINE), "index").withColumn("w", F.lit(1.0))
+    reach = index.join(near.select(F.col("a").alias("feature"), F.col("b").alias("to")), "feature").select("item", F.col("to").alias("feature"), "w")
+    return shared(reach.distinct(), index).where(F.col("a") < F.col("b")).select("a", "b").distinct()
+
+
+def value_cosines(pairs: DataFrame, weighted: DataFrame, near: DataFrame) -> DataFrame:
+    """pairs (a, b and others) with the cosine of their values (weighted: item, feature, w).
 
     A value is the unit vector of its tokens weighted by rarity; a token of the one counts with the most similar one of the other.
     """
-    weighted = stage(_weighted(words.select(F.col("value").alias("item"), F.col("word").alias("feature"))), "values")
-    index = stage(_prefix(weighted, VALUE_COSINE), "index").withColumn("w", F.lit(1.0))
-    reach = index.join(near.select(F.col("a").alias("feature"), F.col("b").alias("to")), "feature").select("item", F.col("to").alias("feature"), "w")
-    pairs = shared(reach.distinct(), index).where(F.col("a") < F.col("b")).select("a", "b").distinct()
     bag = weighted.groupBy("item").agg(F.collect_list(F.struct("feature", "w")).alias("bag"))  # the few tokens of one value
     both = pairs.join(bag.select(F.col("item").alias("a"), F.col("bag").alias("bag_a")), "a").join(bag.select(F.col("item").alias("b"), F.col("bag").alias("bag_b")), "b")
     crossed = both.select("a", "b", F.explode("bag_a").alias("x"), "bag_b").select("a", "b", "x", F.explode("bag_b").alias("y"))
     met = crossed.select(F.col("a").alias("va"), F.col("b").alias("vb"), F.col("x.feature").alias("a"), F.col("y.feature").alias("b"), (F.col("x.w") * F.col("y.w")).alias("w")).join(near, ["a", "b"])
     best = met.groupBy("va", "vb", "a").agg(F.max(F.col("w") * F.col("cosine")).alias("part"))
-    return best.groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.least(F.sum("part"), F.lit(1.0)).alias("cosine"))
+    found = best.groupBy(F.col("va").alias("a"), F.col("vb").alias("b")).agg(F.least(F.sum("part"), F.lit(1.0)).alias("cosine"))
+    return pairs.join(found, ["a", "b"])
 
 
 def top(pairs: DataFrame, n: int = TOP, sure: float = SURE) -> DataFrame:
-    """pairs (a, b, cosine) that are among the n most similar of either end, and all that reach sure."""
+    """pairs (a, b, cosine and others) that are among the n most similar of either end, and all that reach sure."""
     rank = lambda me, other: F.row_number().over(Window.partitionBy(me).orderBy(F.desc("cosine"), other))
     ranked = pairs.withColumn("rank_a", rank("a", "b")).withColumn("rank_b", rank("b", "a"))
-    return ranked.where((F.col("rank_a") <= n) | (F.col("rank_b") <= n) | (F.col("cosine") >= sure)).select("a", "b", "cosine")
+    return ranked.where((F.col("rank_a") <= n) | (F.col("rank_b") <= n) | (F.col("cosine") >= sure)).drop("rank_a", "rank_b")
 
 
 def linked(subjects: DataFrame) -> DataFrame:
-    """a, b, cosine, similarity (above 0), a < b: the pairs of similar values whose tokens agree."""
+    """a, b, cosine, similarity (above 0), a < b: the pairs of similar values whose tokens agree.
+
+    Whether tokens agree is looked at first, as it leaves a tenth of the candidates, so that no namesake takes the place of a partner.
+    """
     words = stage(bags(subjects), "bags")
     near = stage(similar_tokens(words.select("word").distinct()), "similar")
-    pairs = top(value_cosines(words, near).where(F.col("cosine") >= PAIR_COSINE))
+    weighted = stage(_weighted(words.select(F.col("value").alias("item"), F.col("word").alias("feature"))), "values")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            agreed = pd.Series([alignment(list(tokens(a)), list(tokens(b))) for a, b in zip(p["a"], p["b"])], index=p.index, dtype=float)
-            p = p.assign(similarity=(p["cosine"] + 2 * agreed) / 3)
-            yield p[agreed > 0]
+            p = p.assign(agreed=[alignment(list(tokens(a)), list(tokens(b))) for a, b in zip(p["a"], p["b"])])
+            yield p[p["agreed"] > 0]
 
-    return pairs.mapInPandas(run, "a string, b string, cosine double, similarity double")
+    agreed = stage(candidates(weighted, near).mapInPandas(run, "a string, b string, agreed double"), "agreed")
+    kept = top(value_cosines(agreed, weighted, near).where(F.col("cosine") >= PAIR_COSINE))
+    return kept.select("a", "b", "cosine", ((F.col("cosine") + 2 * F.col("agreed")) / 3).alias("similarity"))
 
 
 def average_linkage(edges: DataFrame, least: float = LINKAGE) -> DataFrame:
