@@ -171,3 +171,16 @@ def first_deliveries(messages: DataFrame) -> DataFrame:
     """messages without the surplus deliveries; rows without an identifier all stay."""
     gone = surplus_deliveries(messages).withColumnRenamed("message_id", "__gone")
     return messages.join(gone, messages["id"] == gone["__gone"], "left_anti")
+
+
+def first_of_each(rows: DataFrame) -> DataFrame:
+    """rows without the surplus deliveries, in one aggregation: the first of each message carries its other columns along.
+
+    rows: id, source_id, external_id, imported_at and a few small columns, which may have any name but __key. This is
+    deliver() without earlier state, where no range covers anything yet; for wide rows first_deliveries() joins instead.
+    """
+    others = [c for c in rows.columns if c not in ("imported_at", "id", "source_id")]
+    keyed = rows.withColumn("__key", identity(F.col("external_id")))
+    known = F.col("__key").isNotNull() & F.col("source_id").isNotNull()
+    first = keyed.where(known).groupBy("source_id", "__key").agg(F.min(F.struct("imported_at", "id", *others)).alias("__first"))
+    return first.select("source_id", "__first.*").select(rows.columns).unionByName(keyed.where(~known).select(rows.columns))
