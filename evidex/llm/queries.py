@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.llm import conversations, langid, mixing, names, neighbours, packing, pii, tokens
-from evidex.operators import deliveries
 from evidex.session import load, spread, stage
 
 
@@ -33,10 +32,10 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d).withColumn("similarity", F.round("similarity", 6))
 
 
-def _verdicts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _verdicts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     messages = load(spark, d, "messages")
-    kept = deliveries.first_deliveries(messages)
-    return kept, conversations.verdicts(kept, load(spark, d, "conversations"), messages)
+    feed = stage(conversations.feed_of(messages, deduplicate=True), "kept")
+    return messages, conversations.verdicts(messages, load(spark, d, "conversations"), feed=feed), feed
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -77,3 +77,38 @@ def test_empty(spark):
     assert C.verdicts(messages(spark, []), headers(spark, [])).count() == 0
     got = C.verdicts(messages(spark, []), headers(spark, ["a"])).collect()
     assert [(r["conversation_id"], r["defect"]) for r in got] == [("a", "empty")]
+
+
+def _days(*days):
+    return [ts(f"2024-{1 + d // 28:02d}-{1 + d % 28:02d}T00:00:00") for d in days]
+
+
+def test_a_row_later_than_the_timeout_corrects_the_verdict(spark):
+    """c is judged unanswered when it closes and whole once its late reply is there; d is whole until a number comes twice."""
+    q1, q2, r2, late, twice = _days(0, 0, 1, 200, 200)
+    rows = [("a", "c", 0, "user", "hi", q1), ("b", "d", 0, "user", "hi", q2), ("e", "d", 1, "assistant", "yo", r2), ("f", "x", 0, "user", "hi", _days(100)[0]), ("g", "c", 1, "assistant", "yo", late), ("h", "d", 1, "assistant", "again", twice)]
+    m, h = messages(spark, rows), headers(spark, ["c", "d", "x"])
+    feed = C.stage(C.feed_of(m), "late")
+    closed = C.play_feed(feed, timeout="30 days", spans=3)
+    first = {r["conversation_id"]: r["answered"] for r in C.fold_blocks(closed).collect()}
+    assert first == {"c": False, "d": True, "x": False}
+    got = {r["conversation_id"]: r["defect"] for r in C.verdicts(m, h, timeout="30 days").collect()}
+    assert got == {"c": None, "d": "broken", "x": "unanswered"} == {"c": None, **brute(rows, {"c", "d", "x"})}
+
+
+def test_rows_behind_the_watermark_are_an_error(spark, tmp_path):
+    import pytest
+
+    part = lambda *rows: C.feed_of(messages(spark, list(rows))).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(C.feed_of(messages(spark, [])).schema).parquet(f"{tmp_path}/in")
+    part(("a", "c", 0, "user", "hi", _days(200)[0]))
+    C.play(stream(), str(tmp_path), "5 days")
+    part(("b", "d", 0, "user", "hi", _days(10)[0]))
+    with pytest.raises(ValueError, match="behind the watermark"):
+        C.play(stream(), str(tmp_path), "5 days")
+
+
+def test_first_deliveries_only(spark):
+    rows = [("a", "s", "X1", "c", 0, "user", "hi", _days(0)[0]), ("b", "s", " x1 ", "c", 0, "user", "hi", _days(5)[0]), ("d", "s", None, "c", 1, "assistant", "yo", _days(1)[0]), ("e", "s", None, "c", 2, "user", "so", _days(1)[0])]
+    m = spark.createDataFrame(rows, "id string, source_id string, external_id string, conversation_id string, sequence_index int, role string, content_text string, imported_at timestamp_ntz")
+    assert sorted(r["id"] for r in C.feed_of(m, deduplicate=True).collect()) == ["a", "d", "e"]
