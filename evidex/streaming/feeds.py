@@ -28,20 +28,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def dedupe(stream: DataFrame, home: str) -> StreamingQuery:
     """Append the first delivery of each message of a stream to home/kept.
 
-    The seen ranges and keys of batch n are written to home/seen/n; batch n + 1 reads them. A repeated batch reads the
-    state before it and writes the same again.
+    Batch n writes the ranges seen so far to home/ranges/n and appends only its own new keys as home/keys/batch=n, so what a
+    batch writes grows with the batch and not with the stream. A repeated batch reads what was there before it and writes the
+    same again.
     """
     spark = stream.sparkSession
 
     def each(batch: DataFrame, n: int) -> None:
         batch = batch.persist()
-        at = f"{home}/seen/{n - 1}"
-        seen = SeenState(spark.read.parquet(f"{at}/ranges"), spark.read.parquet(f"{at}/keys")) if n and _exists(spark, at) else None
-        surplus, state = deliver(batch, seen)
+        ranges, keys = f"{home}/ranges/{n - 1}", f"{home}/keys"
+        seen = None
+        if n and _exists(spark, ranges):
+            known = spark.read.schema("source_id string, key string, batch int").parquet(keys).where(F.col("batch") < n)
+            seen = SeenState(spark.read.parquet(ranges), known.select("source_id", "key"))
+        surplus, state = deliver(batch, seen, new_keys_only=True)
         gone = surplus.select(F.col("message_id").alias("gone_id"))
         batch.join(gone, batch["id"] == gone["gone_id"], "left_anti").write.mode("overwrite").parquet(f"{home}/kept/batch={n}")
-        state.ranges.write.mode("overwrite").parquet(f"{home}/seen/{n}/ranges")
-        state.keys.write.mode("overwrite").parquet(f"{home}/seen/{n}/keys")
+        state.keys.write.mode("overwrite").parquet(f"{keys}/batch={n}")
+        state.ranges.write.mode("overwrite").parquet(f"{home}/ranges/{n}")
         batch.unpersist()
 
     return _start(stream, f"{home}/checkpoint", each)
