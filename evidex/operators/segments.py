@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +58,35 @@ def breaks(sizes: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray, np.n
     return nxt, left, begun
 
 
+def _assign(target: int):
+    """Segments of rows ordered by (k, block, pos), one plain pass; state and before are what is open and begun before the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, open_, segment = None, 0, 0
+        for batch in batches:
+            ks, blocks, sizes, states, befores = (batch.column(c).to_pylist() for c in ("k", "block", "size", "state", "before"))
+            out = []
+            for k, block, size, state, before in zip(ks, blocks, sizes, states, befores):
+                if at != (k, block):
+                    at, open_, segment = (k, block), state if state >= 0 else target + 1, before - 1
+                if open_ + size > target:
+                    segment, open_ = segment + 1, size
+                else:
+                    open_ += size
+                out.append(segment)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("pos"), pa.array(out, pa.int64())], names=["k", "pos", "segment"])
+
+    return run
+
+
 def greedy(items: DataFrame, key: str, pos: str, size: str, target: int, block: int = BLOCK) -> DataFrame:
     """key, pos, segment: items packed in order into segments of at most target; a larger item is a segment of its own.
 
-    items: key, pos (unique in a key, at least 0), size.
+    items: key, pos (unique in a key, at least 0), size. Only keys of several blocks need transfer tables; all others are
+    assigned in one pass after one shuffle.
     """
     rows = stage(items.select(F.col(key).alias("k"), F.col(pos).cast("long").alias("pos"), F.col(size).cast("long").alias("size")).withColumn("block", F.floor(F.col("pos") / block)), "items")
+    kind = rows.schema["k"].dataType.simpleString()
     many = rows.groupBy("k").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("k")
 
     def table(g: pd.DataFrame) -> pd.DataFrame:
@@ -72,7 +96,7 @@ def greedy(items: DataFrame, key: str, pos: str, size: str, target: int, block:
         first = np.flatnonzero(p[:-1] <= target)  # a break at j needs what came before it to have fitted
         return pd.DataFrame([(g["k"].iat[0], g["block"].iat[0], p[first + 1].tolist(), left[first].tolist(), begun[first].tolist(), int(p[-1]))], columns=["k", "block", "reach", "left", "begun", "total"])
 
-    tables = by_group(rows.join(many, "k", "left_semi"), ["k", "block"], ["pos"], table, "k string, block long, reach array<long>, left array<long>, begun array<long>, total long")
+    tables = by_group(rows.join(many, "k", "left_semi"), ["k", "block"], ["pos"], table, f"k {kind}, block long, reach array<long>, left array<long>, begun array<long>, total long")
 
     def chain(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("block")
@@ -89,21 +113,10 @@ def greedy(items: DataFrame, key: str, pos: str, size: str, target: int, block:
                 state += int(total)
         return pd.DataFrame(out, columns=["k", "block", "state", "before"])
 
-    entries = tables.groupBy("k").applyInPandas(chain, "k string, block long, state long, before long")
+    entries = tables.groupBy("k").applyInPandas(chain, f"k {kind}, block long, state long, before long")
     joined = rows.join(entries, ["k", "block"], "left").fillna({"state": -1, "before": 0})
-
-    def assign(g: pd.DataFrame) -> pd.DataFrame:
-        sizes = g["size"].to_numpy()
-        nxt, _, _ = breaks(sizes, target)
-        state, before = int(g["state"].iat[0]), int(g["before"].iat[0])
-        at = 0 if state < 0 else int(np.searchsorted(np.cumsum(sizes) + state, target, side="right"))
-        segment = np.full(len(g), before - 1, dtype=np.int64)
-        while at < len(g):
-            segment[at : nxt[at]] = before
-            before, at = before + 1, int(nxt[at])
-        return pd.DataFrame({"k": g["k"], "pos": g["pos"], "segment": segment})
-
-    return by_group(joined, ["k", "block"], ["pos"], assign, "k string, pos long, segment long").select(F.col("k").alias(key), F.col("pos").alias(pos), "segment")
+    ready = joined.repartition("k", "block").sortWithinPartitions("k", "block", "pos")
+    return ready.mapInArrow(_assign(target), f"k {kind}, pos long, segment long").select(F.col("k").alias(key), F.col("pos").alias(pos), "segment")
 
 
 def previous(rows: DataFrame, key: str, pos: str, col: str, block: int = BLOCK) -> DataFrame:
@@ -126,21 +139,25 @@ def following(rows: DataFrame, key: str, pos: str, cols: list[str], block: int =
     return out.select(*rows.columns, *(F.col("after")[c].alias(f"next_{c}") for c in cols)).drop("block")
 
 
+def tokens_of(messages: DataFrame) -> Column:
+    """Estimated tokens of a message: its column tokens where there is one, so that texts need not travel, else of content_text."""
+    return F.col("tokens") if "tokens" in messages.columns else token_estimate(F.col("content_text"))
+
+
 def fixed_windows(messages: DataFrame, target: int = 200) -> DataFrame:
     """conversation_id, sequence_index, segment: windows of at most target estimated tokens."""
-    sized = messages.select("conversation_id", "sequence_index", token_estimate(F.col("content_text")).alias("size"))
+    sized = messages.select("conversation_id", "sequence_index", tokens_of(messages).alias("size"))
     return greedy(sized, "conversation_id", "sequence_index", "size", target)
 
 
 def message_groups(messages: DataFrame, target: int = 200) -> DataFrame:
     """conversation_id, sequence_index, segment: as fixed_windows, but a reply is never parted from the user message before it."""
     role = F.lower(F.coalesce("role", F.lit("")))
-    rows = previous(messages.select("conversation_id", "sequence_index", role.alias("role"), token_estimate(F.col("content_text")).alias("size")), "conversation_id", "sequence_index", "role")
-    joins = F.coalesce((F.col("role") == "assistant") & (F.col("prev_role") == "user"), F.lit(False))
-    rows = stage(rows.withColumn("joins", joins), "units")
+    rows = messages.select("conversation_id", "sequence_index", role.alias("role"), tokens_of(messages).alias("size"))
+    rows = previous(stage(rows.withColumn("at", F.struct("role", "sequence_index")), "units"), "conversation_id", "sequence_index", "at")
     # a unit is named by its first message; only a reply looks one row back
-    back = previous(rows.select("conversation_id", "sequence_index", "joins", "size"), "conversation_id", "sequence_index", "sequence_index")
-    unit = stage(back.select("conversation_id", "sequence_index", "size", F.when(F.col("joins"), F.col("prev_sequence_index")).otherwise(F.col("sequence_index")).alias("unit")), "units")
+    joins = F.coalesce((F.col("role") == "assistant") & (F.col("prev_at.role") == "user"), F.lit(False))
+    unit = stage(rows.select("conversation_id", "sequence_index", "size", F.when(joins, F.col("prev_at.sequence_index")).otherwise(F.col("sequence_index")).alias("unit")), "units")
     packed = greedy(unit.groupBy("conversation_id", "unit").agg(F.sum("size").alias("size")), "conversation_id", "unit", "size", target)
     return unit.join(packed, ["conversation_id", "unit"]).select("conversation_id", "sequence_index", "segment")
 

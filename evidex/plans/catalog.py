@@ -16,7 +16,7 @@ from evidex.operators import relational as R
 from evidex.operators import retrieval as S
 from evidex.operators import review as V
 from evidex.operators import segments as SG
-from evidex.session import load
+from evidex.session import load, stage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -48,6 +48,13 @@ def _ordered(spark: SparkSession, d: str) -> DataFrame:
     return R.latest_by_max(m, ["conversation_id", "sequence_index"], ["imported_at", "id"])
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """_ordered() with estimated tokens in place of texts, which are measured before they would be shuffled."""
+    m = load(spark, d, "messages").where("conversation_id is not null and sequence_index is not null")
+    m = m.select("id", "conversation_id", "sequence_index", "imported_at", "role", T.token_estimate(F.col("content_text")).alias("tokens"))
+    return R.latest_by_max(m, ["conversation_id", "sequence_index"], ["imported_at", "id"])
+
+
 _ORDERED_SQL = """(select * from messages where conversation_id is not null and sequence_index is not null
   qualify row_number() over (partition by conversation_id, sequence_index order by imported_at desc, id desc) = 1)"""
 
@@ -546,12 +553,12 @@ def freshness_labels(spark, d):
 
 @query(_greedy_sql(f"select conversation_id as k, sequence_index as pos, {_TOKENS_SQL} as size from {_ORDERED_SQL}", 200, "k as conversation_id, pos as sequence_index, segment"))
 def fixed_token_segments(spark, d):
-    return SG.fixed_windows(_ordered(spark, d))
+    return SG.fixed_windows(_sized(spark, d))
 
 
 @query(_greedy_sql(f"select k, unit as pos, sum(size) as size from ({_UNITS_SQL}) group by k, unit", 200, "k as conversation_id, q as sequence_index, segment", f"join ({_UNITS_SQL}) u using (k) where u.unit = r.pos"))
 def message_group_segments(spark, d):
-    return SG.message_groups(_ordered(spark, d))
+    return SG.message_groups(_sized(spark, d))
 
 
 @query(_greedy_sql(f"select conversation_id as k, sequence_index as pos, least(4000, {_PROMPT_SQL}) as size from {_ORDERED_SQL}", 4000, '"window", k as conversation_id, pos as sequence_index, truncated', f'join (select conversation_id as k, sequence_index as pos, {_PROMPT_SQL} > 4000 as truncated from {_ORDERED_SQL}) using (k, pos)').replace('select "window"', 'select segment as "window"'))
@@ -607,7 +614,7 @@ def evidence_context_windows(spark, d):
 
 
 def _two_segmentations(spark, d):
-    m = _ordered(spark, d)
+    m = stage(_sized(spark, d), "sized")
     n = m.groupBy("conversation_id").agg(F.max("sequence_index").alias("hi"))
     a = E.boundaries(SG.message_groups(m)).withColumnRenamed("boundaries", "expected")
     b = E.boundaries(SG.fixed_windows(m)).withColumnRenamed("boundaries", "predicted")
