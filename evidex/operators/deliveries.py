@@ -64,9 +64,9 @@ def _first_deliveries(rows: DataFrame, by: list[str]) -> DataFrame:
 def merge_ranges(numbers: DataFrame) -> DataFrame:
     """Disjoint ranges (source_id, producer, lo, hi) covering the given ranges.
 
-    numbers has the columns source_id, producer, lo, hi. Ranges are first merged
-    within blocks of the number line, then those that touch across blocks, so
-    that a task holds at most a block of one producer.
+    numbers has the columns source_id, producer, lo, hi. Ranges are cut at block borders and merged within blocks of the
+    number line, then within blocks of blocks, then over the whole line. To each wider step only those go on that reach a
+    border of their block, so a task holds at most two ranges per block however many numbers a producer has.
     """
     def islands(df: DataFrame, keys: list[str]) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy("lo", "hi")
@@ -79,9 +79,17 @@ def merge_ranges(numbers: DataFrame) -> DataFrame:
             .drop("island")
         )
 
-    blocked = numbers.withColumn("block", F.floor(F.col("lo") / BLOCK))
-    within = islands(blocked, ["source_id", "producer", "block"]).drop("block")
-    return islands(within, ["source_id", "producer"])
+    block = F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK)))
+    rows = numbers.select("source_id", "producer", "lo", "hi", block.alias("block"))
+    rows = rows.withColumns({"lo": F.greatest("lo", F.col("block") * BLOCK), "hi": F.least("hi", F.col("block") * BLOCK + (BLOCK - 1))})
+    done = None
+    for size in (BLOCK, BLOCK * BLOCK):
+        rows = islands(rows.withColumn("block", F.floor(F.col("lo") / size)), ["source_id", "producer", "block"])
+        touching = (F.col("lo") == F.col("block") * size) | (F.col("hi") == F.col("block") * size + (size - 1))
+        inner = rows.where(~touching).drop("block")
+        done = inner if done is None else done.unionByName(inner)
+        rows = rows.where(touching).drop("block")
+    return done.unionByName(islands(rows, ["source_id", "producer"]))
 
 
 def _uncovered(firsts: DataFrame, ranges: DataFrame) -> DataFrame:
