@@ -42,8 +42,8 @@ SEEDS = {
 }
 #: The tree's greatest context length in bytes.
 ORDER = 5
-#: Documents of each language the trees are fitted on, at most; and the length up to which a document may be one of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 6000
+#: Documents of each language the trees are fitted on, at most.
+SAMPLE_DOCS = 400
 #: Bits a change of language costs between sentences, and within one.
 SWITCH_BITS, INNER_BITS = 9.0, 28.0
 #: Least share of the letters of a document's prose for a language to count as being in it.
@@ -54,8 +54,8 @@ _INLINE = re.compile(r"`[^`\n]*`|<[^<>\n]{1,200}>|^[ \t]{4,}\S[^\n]*$", re.MULTI
 #: What makes the token around it no word: digits of ids and numbers, addresses, paths, code.
 _MARK = re.compile(r"[\d@_\\={}]|://|\(\)|/\S*/|\w:\w")
 _CODE_LINE = re.compile(r"^\s*(?:[{}\[\]();]|SELECT\b|INSERT\b|UPDATE\b|FROM\b|for \w+ in |if .*:\s*$|def |class |import |return\b|rc=|\$ |>>> )[^\n]*$", re.MULTILINE)
-_UNIT = re.compile(r"[.!?…]+(?:\s+|$)|\n+|\s\|\s|(?<=\w)[:;]\s")
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word, or what ends a sentence.
+_PART = re.compile(r"([^\W\d_]+)|[.!?…]+(?:\s+|$)|\n+|\s\|\s|(?<=\w)[:;]\s")
 
 
 def _without_marked(text: str) -> str:
@@ -82,7 +82,13 @@ def units(text: str | None) -> list[list[str]]:
         text = _FENCE.sub("\n", text)
     text = _CODE_LINE.sub("\n", text)
     text = _without_marked(_INLINE.sub(" ", text))
-    return [w for part in _UNIT.split(text) if (w := _WORD.findall(part.lower()))]
+    out: list[list[str]] = [[]]
+    for word in _PART.findall(text.lower()):
+        if word:
+            out[-1].append(word)
+        elif out[-1]:
+            out.append([])
+    return out if out[-1] else out[:-1]
 
 
 class ContextTree:
@@ -101,59 +107,87 @@ class ContextTree:
             total = sum(seen.values()) + len(seen)
             self.cost[context] = (-math.log2(len(seen) / total), {b: -math.log2(c / total) for b, c in seen.items()})
 
+    def symbol_bits(self, piece: bytes) -> float:
+        """Code length of the last byte of piece after the bytes before it, at most order of them."""
+        symbol, total, cost = piece[-1], 0.0, self.cost
+        for k in range(max(0, len(piece) - 1 - self.order), len(piece)):
+            node = cost.get(piece[k:-1])
+            if node is None:
+                continue
+            if (c := node[1].get(symbol)) is not None:
+                return total + c
+            total += node[0]
+        return total + 8.0
+
     def bits(self, word: str) -> float:
         """Exact code length of a word and the blank after it."""
-        s, total = b" " + word.encode() + b" ", 0.0
-        for i in range(1, len(s)):
-            symbol = s[i]
-            for k in range(min(i, self.order), -1, -1):
-                node = self.cost.get(s[i - k : i])
-                if node is None:
-                    continue
-                if (c := node[1].get(symbol)) is not None:
-                    total += c
-                    break
-                total += node[0]
-            else:
-                total += 8.0
-        return total
+        s = b" " + word.encode() + b" "
+        return sum(self.symbol_bits(s[max(0, i - self.order) : i + 1]) for i in range(1, len(s)))
 
 
 class Scorer:
-    """Bits of words under every language, remembered within a bound."""
+    """Bits of words under every language, remembered within a bound.
+
+    A symbol's code length depends on at most order bytes before it in its word, and the same few bytes recur in many words,
+    so symbols are priced once per such context and a word is the sum of its symbols.
+    """
 
     REMEMBERED = 200_000
 
     def __init__(self, trees: list[ContextTree]):
-        self.trees, self.known = trees, {}
+        self.trees, self.known, self.priced = trees, {}, {}
+        self.order = max((t.order for t in trees), default=ORDER)
         self.rows = np.empty((1024, len(trees)))
+        self.symbols = np.empty((1024, len(trees)))
+
+    def _symbol(self, piece: bytes) -> int:
+        """The row of a context and the symbol after it."""
+        n = len(self.priced)
+        if n == len(self.symbols):
+            self.symbols = np.concatenate([self.symbols, np.empty_like(self.symbols)])
+        self.symbols[n] = [t.symbol_bits(piece) for t in self.trees]
+        self.priced[piece] = n
+        return n
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
+        known, priced, order = self.known, self.priced, self.order
         if len(known) > self.REMEMBERED:
             known.clear()
+        if len(priced) > self.REMEMBERED:
+            priced.clear()
         at = list(map(known.get, words))
         if None in at:
-            for w in set(words).difference(known):
-                n = len(known)
-                if n == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-                self.rows[n] = [t.bits(w) for t in self.trees]
-                known[w] = n
+            new = list(set(words).difference(known))
+            pieces, starts = [], []
+            for w in new:
+                s = b" " + w.encode() + b" "
+                starts.append(len(pieces))
+                pieces += [s[max(0, i - order) : i + 1] for i in range(1, len(s))]
+            rows = [k if (k := priced.get(p)) is not None else self._symbol(p) for p in pieces]
+            bits = np.add.reduceat(self.symbols[rows], starts, axis=0)
+            n = len(known)
+            while n + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            self.rows[n : n + len(new)] = bits
+            known.update(zip(new, range(n, n + len(new))))
             at = list(map(known.get, words))
         return self.rows[at]
 
 
 def _pieces(bits: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
-    """[lo, hi) cut where two languages explain the words better than one by INNER_BITS."""
-    if hi - lo < 6:
-        return [(lo, hi)]
-    sums = np.cumsum(bits[lo:hi], axis=0)
-    two = sums.min(axis=1)[:-1] + (sums[-1] - sums[:-1]).min(axis=1)
-    at = int(two.argmin())
-    if sums[-1].min() - two[at] <= INNER_BITS:
-        return [(lo, hi)]
-    return _pieces(bits, lo, lo + at + 1) + _pieces(bits, lo + at + 1, hi)
+    """[lo, hi) cut where two languages explain the words better than one by INNER_BITS, each part again, in order."""
+    out, todo = [], [(lo, hi)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo >= 6:
+            sums = np.cumsum(bits[lo:hi], axis=0)
+            two = sums.min(axis=1)[:-1] + (sums[-1] - sums[:-1]).min(axis=1)
+            at = int(two.argmin())
+            if sums[-1].min() - two[at] > INNER_BITS:
+                todo += [(lo + at + 1, hi), (lo, lo + at + 1)]
+                continue
+        out.append((lo, hi))
+    return out
 
 
 def passages(text: str | None, score: Scorer) -> list[tuple[int, float, int, list[str]]]:
@@ -207,9 +241,9 @@ def label(lang: Column) -> Column:
 
 
 def fit(documents: DataFrame, per_language: int = SAMPLE_DOCS, rounds: int = 2) -> list[ContextTree]:
-    """Trees from a bounded sample: per_language labelled documents of up to SAMPLE_CHARS, chosen by a hash of the id."""
+    """Trees from a bounded sample: per_language whole labelled documents of any length, chosen by a hash of the id."""
     labelled = documents.select("doc_id", "text", label(F.col("lang")).alias("lang")).where(
-        F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (F.length(F.trim("text")) > 0)
+        F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0)
     )
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # at most 7 rows
     # twice the wanted number is expected below the threshold; the smallest hashes of those are taken
