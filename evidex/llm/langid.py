@@ -44,6 +44,8 @@ SEEDS = {
 ORDER = 5
 #: Documents of each language the trees are fitted on, at most.
 SAMPLE_DOCS = 400
+#: Characters of a document of the sample that count in full; each word of a longer one counts for less.
+FULL_WEIGHT = 2000
 #: Bits a change of language costs between sentences, and within one.
 SWITCH_BITS, INNER_BITS = 9.0, 28.0
 #: Least share of the letters of a document's prose for a language to count as being in it.
@@ -256,20 +258,20 @@ def fit(documents: DataFrame, per_language: int = SAMPLE_DOCS, rounds: int = 2)
     for r in sorted(rows, key=lambda r: (r["draw"], r["doc_id"])):
         if len(texts[r["lang"]]) < per_language:
             texts[r["lang"]].append(r["text"])
-    words = {k: Counter({w: 3 for w in SEEDS[k].split()}) for k in LANGUAGES}
-    for k, found in texts.items():
-        for t in found:
-            for u in units(t):
-                words[k].update(u)
-    trees = [ContextTree(words[k]) for k in LANGUAGES]
-    for _ in range(rounds):
-        score = Scorer(trees)
+    def counted(runs_of) -> list[ContextTree]:
         words = {k: Counter({w: 3 for w in SEEDS[k].split()}) for k in LANGUAGES}
-        for found in texts.values():
+        for k, found in texts.items():
             for t in found:
-                for lang, _, _, run in passages(t, score):
-                    words[LANGUAGES[lang]].update(run)
-        trees = [ContextTree(words[k]) for k in LANGUAGES]
+                weight = min(1.0, FULL_WEIGHT / len(t))
+                for lang, run in runs_of(k, t):
+                    for w in run:
+                        words[lang][w] += weight
+        return [ContextTree(words[k]) for k in LANGUAGES]
+
+    trees = counted(lambda k, t: ((k, u) for u in units(t)))
+    for _ in range(rounds):
+        score = Scorer(trees)
+        trees = counted(lambda k, t, score=score: ((LANGUAGES[p[0]], p[3]) for p in passages(t, score)))
     return trees
 
 
