@@ -75,6 +75,7 @@ def token_estimate(text: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil(n / 2.5))).cast("int")
 
 
+# Fixed value: what a token of a query is.
 QUERY_TOKEN = r"[a-z0-9][a-z0-9_\-:#./]+"
 
 
@@ -124,8 +125,8 @@ def reference_value(kind: Column, value: Column) -> Column:
 
 
 def excerpt(text: Column, limit: int) -> Column:
-    """At most limit characters, then an ellipsis."""
-    return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit)), F.lit("…"))).otherwise(text)
+    """At most limit characters without white space at the end, then an ellipsis."""
+    return F.when(F.length(text) > limit, F.concat(F.regexp_replace(F.substring(text, 1, limit), r"(?U)\s+$", ""), F.lit("…"))).otherwise(text)
 
 
 def age(ts: Column, now: Column) -> Column:

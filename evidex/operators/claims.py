@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidex.functions.text import canonical_json, normalize_value
+from evidex.functions.text import canonical_json, normalize_subject, normalize_value
+from evidex.functions.times import epoch_us, export_us
 from evidex.operators import timestamps
 from evidex.operators.history import KEY, _neighbours
 from evidex.session import stage
@@ -120,13 +121,13 @@ def chunks(segment_messages: DataFrame, most: int = 12, chars: int = 6000) -> Da
 
 
 def group_key() -> Column:
-    """Key that keeps apart the objects of one predicate: none, the normalised text, or the vocabulary's JSON fields."""
+    """Key that keeps apart the objects of one predicate: none, the object's text normalised like a subject, or the vocabulary's JSON fields."""
     parsed = F.from_json("object_json", "map<string,string>")
     fields = F.transform(F.col("v_group"), lambda k: F.coalesce(F.try_element_at(parsed, k), F.lit("")))
     return (
         F.when(F.col("v_cardinality") == "single_current", "")
-        .when(F.col("v_kind") == "text", normalize_value(F.coalesce("object_text", F.lit(""))))
-        .otherwise(F.array_join(fields, "\u001f"))
+        .when(F.col("object_text").isNotNull(), normalize_subject(F.col("object_text")))
+        .otherwise(normalize_value(F.array_join(fields, "\u001f")))
     )
 
 
@@ -153,6 +154,13 @@ def evidence_times(claims: DataFrame, messages: DataFrame, batches: DataFrame) -
     return cited.join(written, F.col("id") == F.col("record_id"), "left").groupBy(F.col("id").alias("m_id")).agg(F.min(F.coalesce(read, "imported_at")).alias("at"))
 
 
+def export_times(claims: DataFrame, messages: DataFrame) -> DataFrame:
+    """m_id, at of the claims' evidence messages, as an importer reads them: created_at where it is an instant, else the delivery. at: microseconds."""
+    cited = claims.select(F.explode("evidence_message_ids").alias("m_id")).distinct()
+    at = messages.groupBy(F.col("id").alias("m_id")).agg(F.min(F.coalesce(export_us(F.col("created_at")), epoch_us("imported_at"))).alias("at"))
+    return at.join(cited, "m_id", "left_semi")
+
+
 def traced(claims: DataFrame, times: DataFrame) -> DataFrame:
     """claims with evidence_from and evidence_to, the first and last time of the evidence (times: m_id, at); null where none of it is known."""
     one = claims.select(F.col("id").alias("c_id"), F.explode(F.array_distinct("evidence_message_ids")).alias("m_id"))
@@ -166,7 +174,7 @@ def value_groups(claims: DataFrame) -> DataFrame:
     Of traced() claims also begins and observed_at, the ends of the evidence, and cited: extracted_at, id and evidence of each claim, in order.
     """
     v = claims.join(vocabulary(claims.sparkSession), "predicate")
-    value = F.when(F.col("object_text").isNotNull(), F.concat(F.lit("text:"), normalize_value(F.col("object_text")))).otherwise(F.concat(F.lit("json:"), canonical_json(F.col("object_json"))))
+    value = F.when(F.col("object_text").isNotNull(), F.concat(F.lit("text:"), normalize_subject(F.col("object_text")))).otherwise(F.concat(F.lit("json:"), canonical_json(F.col("object_json"))))
     v = v.select("id", "conversation_id", "subject_normalized", "predicate", group_key().alias("group_object_key"), value.alias("value"), "v_cardinality", "extracted_at", "confidence", "privacy_tier", *(c for c in TRACE if c in claims.columns))
     more, first_id = [], F.min("id")
     if set(TRACE) <= set(claims.columns):
@@ -177,16 +185,8 @@ def value_groups(claims: DataFrame) -> DataFrame:
     )
 
 
-def consolidate(claims: DataFrame, slices: int | None = None) -> DataFrame:
-    """Beliefs: key, value, valid_from, valid_to, claims, confidence, tier, contradicts (the value that replaced it).
-
-    Conversations count in the order of their last claim, groups inside by their first. A group with the value of the
-    active belief joins it; another value closes it and opens the next, unless the predicate allows several at once.
-    Runs in slices like the history, so a hot key is no hot task.
-
-    Of traced() claims a belief begins at the first evidence of its first group, not at the first extraction, and has
-    observed_at, claim_ids and evidence_ids of all its groups, each id once, in their order.
-    """
+def _islands(claims: DataFrame, slices: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(value groups in the order of the fold with starts, island (the group that began the belief) and following (begin and value of the next belief), what they cite)."""
     trace = set(TRACE) <= set(claims.columns)
     begins, more = ("begins", ["observed_at"]) if trace else ("first_at", [])
     n = slices or int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -200,33 +200,80 @@ def consolidate(claims: DataFrame, slices: int | None = None) -> DataFrame:
     rows = _neighbours(rows, last={"p_value": F.max_by("value", "eff"), "p_seen": F.max("eff")})
     single = F.col("v_cardinality").startswith("single")
     first = F.coalesce("seen", "p_seen").isNull()
-    rows = rows.withColumn("starts", first | (single & ~F.coalesce("before", "p_value").eqNullSafe(F.col("value"))))
+    rows = rows.withColumn("first", first).withColumn("starts", first | (single & ~F.coalesce("before", "p_value").eqNullSafe(F.col("value"))))
     mark = F.when(F.col("starts"), F.col("eff"))
-    nxt = F.when(F.col("starts"), F.struct(F.col(begins).alias("at"), "value"))
-    rows = rows.select("slice", *KEY, "eff", "value", begins, "claims", "confidence", "tier", "starts", *more).withColumns(
-        {"island": F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "next": F.first(nxt, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))}
+    rows = rows.select("slice", *KEY, "eff", "value", F.col(begins).alias("begins"), "claims", "confidence", "tier", "first", "starts", *more).withColumns(
+        {"island": F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "next": F.first(F.when(F.col("starts"), F.struct(F.col("begins").alias("at"), "value")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))}
     )
-    rows = _neighbours(rows, last={"p_island": F.max_by("island", "eff")}, first={"n_next": F.min_by(nxt, F.when(F.col("starts"), F.col("eff")))})
-    following = F.coalesce("next", "n_next")
+    started = F.when(F.col("starts"), F.struct(F.col("begins").alias("at"), "value"))
+    rows = _neighbours(rows, last={"p_island": F.max_by("island", "eff")}, first={"n_next": F.min_by(started, F.when(F.col("starts"), F.col("eff")))})
+    return rows.withColumn("island", F.coalesce("island", "p_island")).withColumn("following", F.coalesce("next", "n_next")), cited
+
+
+def consolidate(claims: DataFrame, slices: int | None = None) -> DataFrame:
+    """Beliefs: key, value, valid_from, valid_to, claims, confidence, tier, contradicts (the value that replaced it).
+
+    Conversations count in the order of their last claim, groups inside by their first. A group with the value of the
+    active belief joins it; another value closes it and opens the next, unless the predicate allows several at once.
+    Runs in slices like the history, so a hot key is no hot task.
+
+    Of traced() claims a belief begins at the first evidence of its first group, not at the first extraction, and has
+    observed_at, claim_ids and evidence_ids of all its groups, each id once, in their order.
+    """
+    rows, cited = _islands(claims, slices)
+    following = F.col("following")
     united, names = [], []
-    if trace:
+    if cited is not None:
         rows = rows.join(cited, F.col("eff.first_id") == F.col("cites"))
         listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("eff", "cited"))), lambda g: g["cited"]))  # what one belief cites
         united = [F.max("observed_at").alias("observed_at"), F.array_distinct(listed["id"]).alias("claim_ids"), F.array_distinct(F.flatten(listed["evidence_message_ids"])).alias("evidence_ids")]
         names = ["observed_at", "claim_ids", "evidence_ids"]
     return (
-        rows.groupBy(*KEY, F.coalesce("island", "p_island").alias("island"))
+        rows.groupBy(*KEY, "island")
         .agg(
-            F.min_by("value", "eff").alias("value"), F.min_by(begins, "eff").alias("valid_from"), F.min_by(following["at"], "eff").alias("valid_to"), F.min_by(following["value"], "eff").alias("contradicts"),
+            F.min_by("value", "eff").alias("value"), F.min_by("begins", "eff").alias("valid_from"), F.min_by(following["at"], "eff").alias("valid_to"), F.min_by(following["value"], "eff").alias("contradicts"),
             F.sum("claims").alias("claims"), F.round(F.sum("confidence") / F.sum("claims"), 6).alias("confidence"), F.max("tier").alias("tier"), *united,
         )
         .select(*KEY, F.col("island.first_id").alias("first_claim"), "value", "valid_from", "valid_to", "claims", "confidence", "tier", "contradicts", *names)
     )
 
 
+def audit(claims: DataFrame, slices: int | None = None) -> DataFrame:
+    """One row per transition of the fold: belief (its first claim), group (the group's first claim), step, previous_status, new_status, valid_to, claims, mean.
+
+    A group begins a belief (insert, no status before) or is merged into it (supersede: the belief so far gives way to one that
+    holds the group too, valid_to unchanged). A belief that another value replaces is closed where that one begins.
+    claims and mean are those of the group, for a close those of the belief's last group.
+    """
+    rows, _ = _islands(claims, slices)
+    mean = F.round(F.col("confidence") / F.col("claims"), 6).alias("mean")
+    none = F.lit(None).cast("string")
+    own = rows.select(
+        *KEY, F.col("island.first_id").alias("belief"), F.col("eff.first_id").alias("group"), F.when(F.col("starts"), "insert").otherwise("supersede").alias("step"),
+        F.when(F.col("starts"), none).otherwise("candidate").alias("previous_status"), F.when(F.col("starts"), "candidate").otherwise("superseded").alias("new_status"),
+        F.lit(None).cast(rows.schema["begins"].dataType).alias("valid_to"), "claims", mean,
+    )
+    # the last group of a belief knows where the next one begins
+    last = rows.groupBy(*KEY, "island").agg(F.max_by(F.struct("following", "claims", "confidence"), "eff").alias("x")).where("x.following is not null")
+    closed = last.select(
+        *KEY, F.col("island.first_id").alias("belief"), F.col("island.first_id").alias("group"), F.lit("close").alias("step"), F.lit("candidate").alias("previous_status"), F.lit("superseded").alias("new_status"),
+        F.col("x.following.at").alias("valid_to"), F.col("x.claims").alias("claims"), F.round(F.col("x.confidence") / F.col("x.claims"), 6).alias("mean"),
+    )
+    return own.unionByName(closed)
+
+
+def periods_apart(a_from: Column, a_to: Column, b_from: Column, b_to: Column) -> Column:
+    """Whether one of two periods ends before the other begins; an open period (null end) ends before none."""
+    return F.coalesce(a_to <= b_from, F.lit(False)) | F.coalesce(b_to <= a_from, F.lit(False))
+
+
 def contradictions(beliefs: DataFrame) -> DataFrame:
-    """Pairs of successive values of a key and whether their periods are apart, which resolves them."""
-    return beliefs.where("contradicts is not null").select(*KEY, "value", "contradicts", F.col("valid_to").alias("at"), (F.col("valid_from") < F.col("valid_to")).alias("apart"))
+    """Pairs of successive values of a key and whether their periods are apart, which resolves them.
+
+    A belief is closed where its successor begins, so that one's begin is this one's end; only a later contradiction may end it.
+    """
+    apart = periods_apart(F.col("valid_from"), F.col("valid_to"), F.col("valid_to"), F.lit(None).cast(beliefs.schema["valid_to"].dataType))
+    return beliefs.where("contradicts is not null").select(*KEY, "value", "contradicts", F.col("valid_to").alias("at"), apart.alias("apart"))
 
 
 def orphaned(beliefs: DataFrame, active_claims: DataFrame) -> DataFrame:
@@ -244,6 +291,29 @@ def orphan_causes(lost: DataFrame, claims: DataFrame, segments: DataFrame) -> Da
     return facts.select("belief_id", F.when(F.col("gone"), "reclassified").when(F.col("off"), "deactivated").otherwise("reextraction").alias("cause"))
 
 
+def orphan_decisions(beliefs: DataFrame, claims: DataFrame, segments: DataFrame) -> DataFrame:
+    """belief_id, lost, kept, cause, decision of current beliefs that cite claims no longer active.
+
+    Only after a reclassification the belief is made anew of the claims that are left: its value holds (supersede) or another
+    replaces it and the contradiction stays open (contradict). Without any claim left, and for other causes, it is rejected.
+    """
+    active = active_claims(claims, segments).select(F.col("id").alias("claim_id"), F.lit(1).alias("live")).distinct()
+    current = beliefs.where("valid_to is null and status in ('candidate', 'provisional', 'accepted')")
+    cited = current.select(F.col("id").alias("belief_id"), F.col("object_text").alias("held"), "cardinality_class", F.posexplode(F.array_distinct("claim_ids")).alias("pos", "claim_id"))
+    s = segments.select(F.col("id").alias("segment_id"), F.col("invalidated_at").isNotNull().alias("gone"), "is_active")
+    known = claims.select(F.col("id").alias("claim_id"), "segment_id", F.struct("object_text").alias("object")).join(s, "segment_id", "left").drop("segment_id")
+    rows = cited.join(active, "claim_id", "left").join(known, "claim_id", "left")
+    lost = F.col("live").isNull()
+    facts = rows.groupBy("belief_id", "held", "cardinality_class").agg(
+        F.count(F.when(lost, 1)).alias("lost"), F.count("live").alias("kept"), F.bool_or(lost & F.col("gone")).alias("gone"), F.bool_or(lost & ~F.col("is_active") & ~F.col("gone")).alias("off"),
+        F.min_by("object", F.when(~lost, F.col("pos")))["object_text"].alias("left_text"),
+    ).where("lost > 0")
+    same = F.col("cardinality_class").isin("multi_current", "event") | (normalize_subject(F.coalesce("held", F.lit(""))) == normalize_subject(F.coalesce("left_text", F.lit(""))))
+    cause = F.when(F.col("gone"), "reclassified").when(F.col("off"), "deactivated").otherwise("reextraction")
+    decision = F.when((cause != "reclassified") | (F.col("kept") == 0), "reject").when(same, "supersede").otherwise("contradict")
+    return facts.select("belief_id", "lost", "kept", cause.alias("cause"), decision.alias("decision"))
+
+
 def confidence_stats(claims: DataFrame, keys: list[str]) -> DataFrame:
     """mean, max, min, count and population deviation of confidence."""
     c = "confidence"
@@ -251,8 +321,6 @@ def confidence_stats(claims: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def evidence_interval(claims: DataFrame, messages: DataFrame) -> DataFrame:
-    """id, first_at, last_at: the earliest and latest delivery among a claim's evidence."""
-    m = messages.groupBy(F.col("id").alias("m_id")).agg(F.min("imported_at").alias("at"))
+    """id, first_us, last_us: the earliest and latest time among a claim's evidence, when written where that is an instant, else when delivered."""
     one = claims.select("id", F.explode(F.array_distinct("evidence_message_ids")).alias("m_id"))
-    return one.join(m, "m_id").groupBy("id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
-
+    return one.join(export_times(claims, messages), "m_id").groupBy("id").agg(F.min("at").alias("first_us"), F.max("at").alias("last_us"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import excerpt, has_content_key, opened_id
+from evidex.functions.times import epoch_us, export_us
 from evidex.operators.relational import distribution_l1, secure_view
 
 
@@ -29,10 +30,11 @@ def review_queue(beliefs: DataFrame, links: DataFrame, lost_claims: DataFrame) -
 
 
 def target_display(claims: DataFrame, messages: DataFrame, limit: int = 160) -> DataFrame:
-    """id, evidence, first_at, last_at, excerpt (of the earliest evidence) of each claim."""
-    m = messages.select(F.col("id").alias("m_id"), "imported_at", excerpt(F.col("content_text"), limit).alias("text"))
+    """id, evidence, first_us, last_us, excerpt (of the earliest evidence) of each claim. Times as in claims.evidence_interval()."""
+    at = F.coalesce(export_us(F.col("created_at")), epoch_us("imported_at"))
+    m = messages.select(F.col("id").alias("m_id"), at.alias("at"), excerpt(F.col("content_text"), limit).alias("text"))
     rows = claims.select("id", F.explode(F.array_distinct("evidence_message_ids")).alias("m_id")).join(m, "m_id")
-    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("evidence"), F.min("imported_at").alias("first_at"), F.max("imported_at").alias("last_at"), F.min_by("text", F.struct("imported_at", "m_id")).alias("excerpt"))
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("evidence"), F.min("at").alias("first_us"), F.max("at").alias("last_us"), F.min_by("text", F.struct("at", "m_id")).alias("excerpt"))
 
 
 def tag_counts(rows: DataFrame, tags: str, state: str) -> DataFrame:

@@ -78,24 +78,33 @@ _PROMPT_SQL = "case when lower(coalesce(role, '')) = 'tool' then 60 else coalesc
 _VOCABULARY_SQL = "(values " + ", ".join(f"('{p}', '{st}', '{k}', '{r}')" for p, st, _, k, _, r in C.VOCABULARY) + ") v(predicate, stability, kind, required)"
 
 _KEYS_SQL = "subject_normalized, predicate, group_object_key"
+_US_SQL = r"""coalesce(case when regexp_matches(created_at, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$') then epoch_us(try_cast(created_at as timestamptz)) end,
+  case when regexp_matches(created_at, '^\d{9,10}(\.\d{1,6})?$') then cast(cast(created_at as decimal(20, 6)) * 1000000 as bigint) end, epoch_us(imported_at))"""
+_SUBJECT_SQL = r"regexp_replace(trim(regexp_replace(lower({}), '\s+', ' ', 'g')), '[.,;:!?]+$', '')"
+_ACTIVE_CLAIMS_SQL = """(select * from claims where conversation_id is not null and segment_id in (
+  select id from segments where is_active and source_kind in ('chatgpt', 'claude', 'gemini') and conversation_id is not null))"""
 _CONSOLIDATED_SQL = f"""
 v as (select * from (values {", ".join(f"('{p}', '{c}', '{k}', '{g}')" for p, _, c, k, g, _ in C.VOCABULARY)}) t(p, card, kind, grp)),
+t as (select id as mid, min({_US_SQL}) as at from messages group by id),
+ev as (select a.id as cid, min("at") as e0, max("at") as e1 from (select id, unnest(evidence_message_ids) as e from claims) a join t on mid = e group by 1),
 c as (
-  select id, conversation_id, subject_normalized, predicate, card, extracted_at, confidence, privacy_tier,
-    case when card = 'single_current' then '' when kind = 'text' then trim(regexp_replace(lower(coalesce(object_text, '')), '\\s+', ' ', 'g'))
-      else array_to_string([coalesce(json_extract_string(object_json, '$.' || k), '') for k in string_split(grp, ',') if k <> ''], chr(31)) end as group_object_key,
-    case when object_text is not null then 'text:' || trim(regexp_replace(lower(object_text), '\\s+', ' ', 'g')) else 'json:{{' || array_to_string(['"' || k || '":' || json_extract(object_json, '$.' || k)::varchar for k in list_sort(json_keys(object_json))], ',') || '}}' end as value
-  from claims join v on v.p = claims.predicate),
-l as (select conversation_id as lc, max(extracted_at) as last_at from claims group by 1),
+  select claims.id, conversation_id, subject_normalized, predicate, card, extracted_at, confidence, privacy_tier, evidence_message_ids as cited, e0, e1,
+    case when card = 'single_current' then '' when object_text is not null then {_SUBJECT_SQL.format('object_text')}
+      else trim(regexp_replace(lower(array_to_string([coalesce(json_extract_string(object_json, '$.' || k), '') for k in string_split(grp, ',') if k <> ''], chr(31))), '\\s+', ' ', 'g')) end as group_object_key,
+    case when object_text is not null then 'text:' || {_SUBJECT_SQL.format('object_text')} else 'json:{{' || array_to_string(['"' || k || '":' || json_extract(object_json, '$.' || k)::varchar for k in list_sort(json_keys(object_json))], ',') || '}}' end as value
+  from {_ACTIVE_CLAIMS_SQL} claims join v on v.p = claims.predicate left join ev on ev.cid = claims.id),
+l as (select conversation_id as lc, max(extracted_at) as last_at from {_ACTIVE_CLAIMS_SQL} group by 1),
 g as (
-  select conversation_id, {_KEYS_SQL}, value, card, min(extracted_at) as first_at, min(id) as first_id, count(*) as n, sum(confidence) as conf, max(privacy_tier) as tier from c group by 1, 2, 3, 4, 5, 6),
+  select conversation_id, {_KEYS_SQL}, value, card, min(extracted_at) as first_at, first(id order by extracted_at, id) as first_id, min(e0) as begins, max(e1) as observed, count(*) as n, sum(confidence) as conf, max(privacy_tier) as tier,
+    list(id order by extracted_at, id) as ids, flatten(list(cited)) as cited from c group by 1, 2, 3, 4, 5, 6),
 o as (
   select g.*, row_number() over w as rn, lag(value) over w as lv from g join l on lc = conversation_id
   window w as (partition by {_KEYS_SQL} order by last_at, conversation_id, first_at, first_id)),
 i as (select *, sum(case when rn = 1 or (card like 'single%' and lv is distinct from value) then 1 else 0 end) over (partition by {_KEYS_SQL} order by rn) as island from o),
 b as (
-  select {_KEYS_SQL}, island, first(first_id order by rn) as first_claim, first(value order by rn) as value, first(first_at order by rn) as valid_from, cast(sum(n) as bigint) as claims,
-    round(sum(conf) / sum(n), 6) as confidence, max(tier) as tier from i group by {_KEYS_SQL}, island),
+  select {_KEYS_SQL}, island, first(first_id order by rn) as first_claim, first(value order by rn) as value, first(begins order by rn) as valid_from, max(observed) as observed_at, cast(sum(n) as bigint) as claims,
+    round(sum(conf) / sum(n), 6) as confidence, max(tier) as tier, array_to_string(flatten(list(ids order by rn)), ',') as claim_ids, array_to_string(list_sort(list_distinct(flatten(list(cited)))), ',') as evidence_ids,
+    last(n order by rn) as last_n, last(conf order by rn) as last_conf from i group by {_KEYS_SQL}, island),
 d as (select *, lead(valid_from) over w as valid_to, lead(value) over w as contradicts from b window w as (partition by {_KEYS_SQL} order by island))""".replace("\\\\", "\\")
 
 # ---- scans, filters, projections ----
@@ -205,7 +214,7 @@ def belief_claims_known(spark, d):
     return b.join(k, "c", "left").groupBy("id").agg(F.count_distinct("c").alias("cited"), F.count_distinct("k").alias("known"))
 
 
-@query("select id, min(imported_at) as first_at, max(imported_at) as last_at from (select id, unnest(list_distinct(evidence_message_ids)) as e from claims) c join (select id as m, imported_at from messages) on m = e group by id")
+@query(f'select id, min("at") as first_us, max("at") as last_us from (select id, unnest(list_distinct(evidence_message_ids)) as e from claims) c join (select id as m, min({_US_SQL}) as at from messages group by id) on m = e group by id')
 def evidence_interval(spark, d):
     return C.evidence_interval(load(spark, d, "claims"), load(spark, d, "messages"))
 
@@ -359,7 +368,7 @@ def title_slugs(spark, d):
     return load(spark, d, "conversations").where("title is not null").select("id", T.slugify(F.col("title")).alias("slug"))
 
 
-@query("select id, case when length(content_text) > 80 then rtrim(substr(content_text, 1, 80), ' ') || '…' else content_text end as excerpt from messages where content_text is not null")
+@query("select id, case when length(content_text) > 80 then regexp_replace(substr(content_text, 1, 80), '\\s+$', '') || '…' else content_text end as excerpt from messages where content_text is not null")
 def excerpts(spark, d):
     return load(spark, d, "messages").where("content_text is not null").select("id", T.excerpt(F.col("content_text"), 80).alias("excerpt"))
 
@@ -686,15 +695,29 @@ def extraction_chunks(spark, d):
     return C.chunks(s.join(m, "e").select("segment_id", "at", F.col("n_chars").cast("long").alias("n_chars")), 4, 500)
 
 
-@query(f"with {_CONSOLIDATED_SQL} select {_KEYS_SQL}, first_claim, value, epoch_us(valid_from) as valid_from, epoch_us(valid_to) as valid_to, claims, confidence, tier, contradicts from d")
+def _evidence_claims(spark, d):
+    c = C.active_claims(load(spark, d, "claims"), load(spark, d, "segments"))
+    return C.traced(c, C.export_times(c, load(spark, d, "messages")))
+
+
+@query(f"with {_CONSOLIDATED_SQL} select {_KEYS_SQL}, first_claim, value, valid_from, valid_to, claims, confidence, tier, contradicts, observed_at, claim_ids, evidence_ids from d")
 def consolidated_beliefs(spark, d):
-    b = C.consolidate(load(spark, d, "claims"))
-    return b.withColumns({c: epoch_us(c) for c in ("valid_from", "valid_to")})
+    b = C.consolidate(_evidence_claims(spark, d))
+    return b.withColumn("claim_ids", F.array_join("claim_ids", ",")).withColumn("evidence_ids", F.array_join(F.array_sort("evidence_ids"), ","))
 
 
-@query(f"with {_CONSOLIDATED_SQL} select {_KEYS_SQL}, value, contradicts, epoch_us(valid_to) as at, valid_from < valid_to as apart from d where contradicts is not null")
+@query(f"""with {_CONSOLIDATED_SQL}, p as (select *, lead(valid_from) over (partition by {_KEYS_SQL} order by island) as next_from from d)
+select {_KEYS_SQL}, value, contradicts, valid_to as at, coalesce(valid_to <= next_from, false) as apart from p where contradicts is not null""")
 def belief_contradictions(spark, d):
-    return C.contradictions(C.consolidate(load(spark, d, "claims"))).withColumn("at", epoch_us("at"))
+    return C.contradictions(C.consolidate(_evidence_claims(spark, d)))
+
+
+@query(f"""with {_CONSOLIDATED_SQL}, f as (select i.*, first(first_id) over (partition by {_KEYS_SQL}, island order by rn) as belief, rn = min(rn) over (partition by {_KEYS_SQL}, island) as starts from i)
+select {_KEYS_SQL}, belief, first_id as group, case when starts then 'insert' else 'supersede' end as step, case when starts then null else 'candidate' end as previous_status,
+  case when starts then 'candidate' else 'superseded' end as new_status, cast(null as bigint) as valid_to, n as claims, round(conf / n, 6) as mean from f
+union all select {_KEYS_SQL}, first_claim, first_claim, 'close', 'candidate', 'superseded', valid_to, last_n, round(last_conf / last_n, 6) from d where contradicts is not null""".replace("as group,", 'as "group",'))
+def belief_audit(spark, d):
+    return C.audit(_evidence_claims(spark, d))
 
 
 def _traced_beliefs(spark, d):
@@ -717,6 +740,18 @@ def traced_transitions(spark, d):
     return V.transitions(_traced_beliefs(spark, d)).withColumn("at", epoch_us("at"))
 
 
+@query(f"""
+with act as (select distinct id from {_ACTIVE_CLAIMS_SQL}),
+r as (select b.id as belief_id, object_text as held, cardinality_class as card, c, list_position(claim_ids, c) as pos from (select *, unnest(list_distinct(claim_ids)) as c from beliefs where valid_to is null and status in ('candidate', 'provisional', 'accepted')) b),
+x as (select r.*, act.id is null as lost, s.invalidated_at is not null as gone, s.is_active, k.object_text as text from r left join act on act.id = r.c left join claims k on k.id = r.c left join segments s on s.id = k.segment_id),
+y as (select belief_id, any_value(held) as held, any_value(card) as card, count(*) filter (where lost) as lost, count(*) filter (where not lost) as kept, coalesce(bool_or(lost and gone), false) as gone, coalesce(bool_or(lost and not is_active and not gone), false) as off,
+  (list(text order by pos) filter (where not lost))[1] as left_text from x group by belief_id having count(*) filter (where lost) > 0)
+select belief_id, lost, kept, case when gone then 'reclassified' when off then 'deactivated' else 'reextraction' end as cause,
+  case when not gone or kept = 0 then 'reject' when card in ('multi_current', 'event') or {_SUBJECT_SQL.format("coalesce(held, '')")} = {_SUBJECT_SQL.format("coalesce(left_text, '')")} then 'supersede' else 'contradict' end as decision from y""")
+def orphan_decisions(spark, d):
+    return C.orphan_decisions(load(spark, d, "beliefs"), load(spark, d, "claims"), load(spark, d, "segments"))
+
+
 @query("""
 select belief_id, count(*) filter (where k.id is null) as lost, count(k.id) as left from (select id as belief_id, unnest(list_distinct(claim_ids)) as c from beliefs) b
 left join (select id from claims where confidence >= 0.2) k on k.id = b.c group by belief_id having count(*) filter (where k.id is null) > 0""")
@@ -743,10 +778,10 @@ def review_priorities(spark, d):
     return V.review_queue(b, links, load(spark, d, "claims").where("confidence < 0.1"))
 
 
-@query("""
-select c.id, count(*) as evidence, min(m.imported_at) as first_at, max(m.imported_at) as last_at,
-  first(case when length(content_text) > 160 then rtrim(substr(content_text, 1, 160), ' ') || '…' else content_text end order by m.imported_at, m.id) as excerpt
-from (select id, unnest(list_distinct(evidence_message_ids)) as e from claims) c join messages m on m.id = c.e group by c.id""")
+@query(f"""
+select c.id, count(*) as evidence, min("at") as first_us, max("at") as last_us,
+  first(case when length(content_text) > 160 then regexp_replace(substr(content_text, 1, 160), '[\\s\\x0b\\x{{85}}\\x{{a0}}]+$', '') || '…' else content_text end order by "at", m.id) as excerpt
+from (select id, unnest(list_distinct(evidence_message_ids)) as e from claims) c join (select id, content_text, {_US_SQL} as at from messages) m on m.id = c.e group by c.id""")
 def claim_displays(spark, d):
     return V.target_display(load(spark, d, "claims"), load(spark, d, "messages"))
 
@@ -758,10 +793,10 @@ def tag_counts(spark, d):
     return V.tag_counts(load(spark, d, "beliefs"), "claim_ids", "status")
 
 
-@query(f"""with {_CONSOLIDATED_SQL} select {_KEYS_SQL}, value, 'insert' as step, epoch_us(valid_from) as at from d
-union all select {_KEYS_SQL}, value, 'close', epoch_us(valid_to) from d where valid_to is not null""")
+@query(f"""with {_CONSOLIDATED_SQL} select {_KEYS_SQL}, value, 'insert' as step, valid_from as at from d
+union all select {_KEYS_SQL}, value, 'close', valid_to from d where valid_to is not null""")
 def belief_transitions(spark, d):
-    return V.transitions(C.consolidate(load(spark, d, "claims"))).withColumn("at", epoch_us("at"))
+    return V.transitions(C.consolidate(_evidence_claims(spark, d)))
 
 
 @query("""
