@@ -223,6 +223,8 @@ SECRETS = [
     r"(?i)\b(?:api[_-]?key|secret|token|password|passwd|pwd)\b\s*[:=]\s*\S+",
     r"\bAKIA[0-9A-Z]{16}\b",
     r"\bgh[pousr]_[A-Za-z0-9]{20,}\b",
+    r"\bxox[abprs]-[A-Za-z0-9-]+",
+    r"\bglpat-[A-Za-z0-9-]+",
     r"(?i)\bbearer\s+[A-Za-z0-9._~+/-]{12,}=*",
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
 ]

@@ -120,6 +120,56 @@ def chunks(segment_messages: DataFrame, most: int = 12, chars: int = 6000) -> Da
     return folded.select("segment_id", F.inline(F.aggregate("items", start, step, lambda a: a["out"])))
 
 
+def halves(parts: DataFrame) -> DataFrame:
+    """key, half (0, 1), items, text: each part (key, items, text) split in two, by its items, or by the text of its only one.
+
+    A part without items, or of one with less than two characters, gives no halves.
+    """
+    n, chars = F.size("items"), F.length(F.coalesce("text", F.lit("")))
+    cut = F.when(n > 1, F.greatest(F.lit(1), F.floor(n / 2)).cast("int"))
+    at = F.floor(chars / 2).cast("int")
+    half = lambda h: F.struct(
+        F.lit(h).alias("half"), F.when(n > 1, F.slice("items", 1, cut) if h == 0 else F.slice("items", cut + 1, n)).otherwise(F.col("items")).alias("items"),
+        F.when(n == 1, F.substring(F.col("text"), F.lit(1), at) if h == 0 else F.substring(F.col("text"), at + 1, chars)).alias("text"),
+    )
+    return parts.where((n > 1) | ((n == 1) & (chars >= 2))).select("key", F.inline(F.array(half(0), half(1))))
+
+
+# The keys of a claim in a payload, and the stability classes.
+PAYLOAD_KEYS = ["subject_text", "predicate", "object_text", "object_json", "stability_class", "confidence", "evidence_message_ids", "rationale"]
+STABILITY = ["identity", "preference", "project_status", "goal", "task", "mood", "relationship"]
+
+
+def payload_defects(payloads: DataFrame, relaxed: bool = False) -> DataFrame:
+    """key, defect of payloads (key, payload): the first defect fails a payload as a whole, null if there is none.
+
+    A payload is an object with only the key claims, a list of objects with exactly PAYLOAD_KEYS.
+    """
+    text = "array<string>"
+    outer = F.json_object_keys("payload")
+    items = F.from_json(F.get_json_object("payload", "$.claims"), text)
+    rows = payloads.select("key", "payload", F.when(outer.isNull() | (F.array_join(outer, ",") != "claims"), "must contain only claims").when(items.isNull(), "claims must be a list").alias("whole"), items.alias("items"))
+    one = rows.where("whole is null").select("key", F.posexplode("items").alias("n", "c"))
+    get = lambda k: F.get_json_object("c", f"$.{k}")
+    kind = lambda k: F.regexp_extract("c", rf'"{k}"\s*:\s*(.)', 1)  # noqa: E731 - the first character of a value tells its type
+    names = [p for p, *_ in VOCABULARY]
+    evidence = F.from_json(get("evidence_message_ids"), text)
+    number = get("confidence").try_cast("double")
+    defect = (
+        F.when(~F.coalesce(F.array_join(F.array_sort(F.json_object_keys("c")), ",") == ",".join(sorted(PAYLOAD_KEYS)), F.lit(False)), "does not match the schema")
+        .when((kind("subject_text") != '"') | (F.trim(get("subject_text")) == ""), "has empty subject_text")
+        .when((kind("predicate") != '"') | (F.lit(not relaxed) & ~get("predicate").isin(*names)), "has invalid predicate")
+        .when((kind("object_text") != "n") & ((kind("object_text") != '"') | (F.trim(get("object_text")) == "")), "has empty object_text")
+        .when(~kind("object_json").isin("n", "{"), "has invalid object_json")
+        .when((kind("stability_class") != '"') | ~get("stability_class").isin(*STABILITY), "has invalid stability_class")
+        .when(kind("confidence").isin('"', "n", "t", "f", "[", "{") | number.isNull() | ~number.between(0, 1), "has invalid confidence")
+        .when((kind("evidence_message_ids") != "[") | (F.coalesce(F.size(evidence), F.lit(0)) < 1) | F.exists(evidence, lambda x: x.isNull() | (x == "")), "has invalid evidence_message_ids")
+        .when(kind("rationale") != '"', "has invalid rationale")
+    )
+    bad = one.select("key", "n", defect.alias("d")).where("d is not null").groupBy("key").agg(F.min_by(F.concat(F.lit("claim "), F.col("n").cast("string"), F.lit(" "), F.col("d")), "n").alias("d"))
+    return rows.join(bad, "key", "left").select("key", F.coalesce("whole", "d").alias("defect"))
+
+
 def group_key() -> Column:
     """Key that keeps apart the objects of one predicate: none, the object's text normalised like a subject, or the vocabulary's JSON fields."""
     parsed = F.from_json("object_json", "map<string,string>")

@@ -100,5 +100,10 @@ def split_rates(scored: DataFrame) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, keys: list[str], points: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation, one column per point."""
-    return df.groupBy(*keys).agg(*(F.round(F.percentile(value, p), 6).alias(n) for n, p in points.items()))
+    """Exact percentiles with linear interpolation, rounded half to even to whole numbers, one column per point."""
+    return df.groupBy(*keys).agg(*(F.bround(F.percentile(value, p), 0).cast("long").alias(n) for n, p in points.items()))
+
+
+def macro_scores(scored: DataFrame) -> DataFrame:
+    """One row: parents and the mean of every per-parent metric (precision, recall, f1, pk, windowdiff)."""
+    return scored.agg(F.count(F.lit(1)).alias("parents"), *(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1", "pk", "windowdiff")))

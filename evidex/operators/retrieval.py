@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.functions.text import QUERY_TOKEN, decision_id, lexical_score, reference_value, rfc_id, words
+from evidex.functions.text import QUERY_TOKEN, collapse, decision_id, lexical_score, opaque_id, reference_value, rfc_id, words
 from evidex.session import stage
 
 
@@ -79,6 +79,87 @@ def packet(hits: DataFrame, budget: int, most: int = 50, keys: tuple[str, ...] =
     return listed.select(*keys, F.inline(F.aggregate("items", start, step, lambda a: a["out"])))
 
 
+def provenance_json() -> Column:
+    """Provenance as JSON with sorted keys and blanks after separators, as it is searched and cited."""
+    text = lambda c: F.when(c.isNull(), "null").otherwise(F.concat(F.lit('"'), c, F.lit('"')))
+    both = F.concat(F.lit('{"commit_sha": '), text(F.col("provenance.commit_sha")), F.lit(', "path": '), text(F.col("provenance.path")), F.lit("}"))
+    return F.when(F.col("provenance").isNull(), "{}").otherwise(both)
+
+
+def exact_hits(corpus: DataFrame, wanted: DataFrame, query: str, limit: int = 10, newest: int = 1000) -> DataFrame:
+    """Rows of each (tenant_id, corpus_id) that any wanted reference names: tenant_id, corpus_id, item_id, external_id, lane, score, rank.
+
+    wanted: ref_kind, ref_value, what one query names. Rows found through references() score 10 and what the query scores on
+    them; of those the newest count. Commits by hash, sources by content hash and files by path score 100. Both lanes are merged
+    by the whole part of the score, then external_id; a row that both lanes find is there twice.
+    """
+    w = F.broadcast(wanted.select(F.col("ref_kind").alias("w_kind"), reference_value(F.col("ref_kind"), F.col("ref_value")).alias("w_value")).distinct())
+    kinds = ("path", "commit_sha", "item_id", "rfc_id", "decision_id")
+    named = references(corpus).join(w.where(F.col("w_kind").isin(*kinds)), (F.col("ref_kind") == F.col("w_kind")) & (F.col("normalized") == F.col("w_value"))).select("item_id").distinct()
+    own = lambda *order: Window.partitionBy("tenant_id", "corpus_id").orderBy(*order)
+    hay = F.lower(F.concat_ws(" ", F.coalesce("content", F.lit("")), "external_id", F.coalesce("sub_kind", F.lit("")), provenance_json()))
+    tokens = tokens_of(query)
+    found = corpus.join(named, "item_id", "left_semi").withColumn("age", F.row_number().over(own(F.desc("recorded_at"), "external_id", "item_id"))).where(F.col("age") <= newest)
+    score = F.round(F.lit(10.0) + (lexical_score(hay, tokens) if tokens else F.lit(0.0)), 4)
+    cols = ["tenant_id", "corpus_id", "item_id", "external_id"]
+    lanes = found.select(*cols, F.lit("references").alias("lane"), score.cast("double").alias("score"))
+    direct = {"commit_sha": F.lower("provenance.commit_sha"), "source_hash": F.lower("content_sha256"), "path": F.lower("provenance.path")}
+    for kind, value in direct.items():
+        hit = corpus.withColumn("__v", value).join(w.where(F.col("w_kind") == kind), F.col("__v") == F.col("w_value"))
+        lanes = lanes.unionByName(hit.select(*cols, F.lit(kind).alias("lane"), F.lit(100.0).alias("score")))
+    rank = F.row_number().over(own(F.desc(F.col("score").cast("int")), F.coalesce("external_id", F.lit("")), "lane", "item_id"))
+    return lanes.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def labelled(hits: DataFrame) -> DataFrame:
+    """Hits as they are handed out: reference_id, where they come from, content, score, tier and freshness."""
+    dirty = F.col("redaction_state") == "dirty"
+    return hits.select(
+        opaque_id(F.struct("corpus_id", "item_id", "tenant_id")).alias("reference_id"), "tenant_id", "corpus_id", "source_kind", F.coalesce("sub_kind", F.lit("unknown")).alias("sub_kind"), "external_id",
+        F.coalesce("content", F.lit("")).alias("content"), "score", "privacy_tier", provenance_json().alias("provenance"), F.coalesce(dirty, F.lit(False)).alias("dirty_working_tree"),
+        F.when(F.coalesce(dirty, F.lit(False)), "dirty_working_tree").when(dirty.isNotNull(), "fresh").otherwise("unknown").alias("freshness"),
+    )
+
+
+#: Keys of a citation that are written whether they have a value or not.
+_CITED = ["tenant_id", "corpus_id", "source_kind", "sub_kind", "external_id", "reference_id", "freshness"]
+
+
+def citation_words(path: Column) -> Column:
+    """Words of a hit's citation as JSON with sorted keys: two for each of its 14 keys, more where a value holds blanks."""
+    extra = lambda c: F.size(F.split(collapse(F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"'))), " ")) - 1
+    total = F.lit(28) + extra(path)
+    for c in _CITED:
+        total = total + extra(F.col(c))
+    return total
+
+
+def build_packets(hits: DataFrame, budget: int, most: int = 50) -> DataFrame:
+    """tenant_id, corpus_id, candidate_id, reference_id, rank, cost, selected, reason: a packet of each corpus from its labelled() hits.
+
+    Hits are taken by score, then external_id, while their content and citation fit the rest of the budget (words). A reference
+    already in the packet is left out as duplicate, one that doesn't fit as over_budget; later, smaller ones may still fit.
+    """
+    keys = ["tenant_id", "corpus_id"]
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "external_id", "reference_id")
+    best = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    path = F.get_json_object("provenance", "$.path")
+    best = best.withColumn("cost", (words(F.col("content")) + citation_words(path)).cast("int"))
+    listed = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "reference_id", "cost"))).alias("items"))  # at most 50 entries
+    start = F.struct(F.array().cast("array<struct<rank:int,reference_id:string,cost:int,reason:string>>").alias("out"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("used"))
+
+    def step(acc: Column, x: Column) -> Column:
+        reason = F.when(F.array_contains(acc["seen"], x["reference_id"]), "duplicate").when(acc["used"] + x["cost"] > max(0, budget), "over_budget").otherwise("")
+        row = F.struct(x["rank"].alias("rank"), x["reference_id"].alias("reference_id"), x["cost"].alias("cost"), reason.alias("reason"))
+        took = reason == ""
+        return F.struct(
+            F.array_append(acc["out"], row).alias("out"), F.when(took, F.array_append(acc["seen"], x["reference_id"])).otherwise(acc["seen"]).alias("seen"), (acc["used"] + F.when(took, x["cost"]).otherwise(0)).alias("used")
+        )
+
+    rows = listed.select(*keys, F.inline(F.aggregate("items", start, step, lambda a: a["out"])))
+    return rows.select(*keys, F.format_string("candidate-%04d", "rank").alias("candidate_id"), "reference_id", "rank", "cost", (F.col("reason") == "").alias("selected"), "reason")
+
+
 def describe(corpus: DataFrame) -> DataFrame:
     """Per tenant and corpus: rows, latest and earliest record, external ids, sub kinds."""
     return corpus.groupBy("tenant_id", "corpus_id").agg(
@@ -95,6 +176,12 @@ def manifest(corpus: DataFrame) -> DataFrame:
     return sums.select("tenant_id", "corpus_id", "items", F.sha2(F.concat_ws("|", "items", "s1", "s13", "s25", "s37"), 256).alias("digest"))
 
 
+def changed_corpora(before: DataFrame, now: DataFrame) -> DataFrame:
+    """tenant_id, corpus_id of the manifests of now whose digest differs from before, or that are new: what has to be projected again."""
+    keys = ["tenant_id", "corpus_id", "digest"]
+    return now.select(*keys).join(before.select(*keys), keys, "left_anti").select("tenant_id", "corpus_id")
+
+
 def freshness(rows: DataFrame, dirty: str, projected: str, payload: str) -> Column:
     """Freshness label: a dirty tree wins, then the payload's label, then the projection's, then fresh if dirtiness is known."""
     known = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != "unknown"), F.col(c))

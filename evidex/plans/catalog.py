@@ -265,7 +265,7 @@ def zone_counts(spark, d):
     )
 
 
-@query("select source_kind, round(quantile_cont(n, 0.1), 6) as p10, round(quantile_cont(n, 0.5), 6) as p50, round(quantile_cont(n, 0.9), 6) as p90 from (select source_kind, length(content_text) as n from messages where content_text is not null) group by source_kind")
+@query("select source_kind, cast(round_even(quantile_cont(n, 0.1), 0) as bigint) as p10, cast(round_even(quantile_cont(n, 0.5), 0) as bigint) as p50, cast(round_even(quantile_cont(n, 0.9), 0) as bigint) as p90 from (select source_kind, length(content_text) as n from messages where content_text is not null) group by source_kind")
 def length_percentiles(spark, d):
     m = load(spark, d, "messages").where("content_text is not null").select("source_kind", F.length("content_text").alias("n"))
     return E.percentiles(m, "n", ["source_kind"], {"p10": 0.1, "p50": 0.5, "p90": 0.9})

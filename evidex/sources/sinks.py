@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,17 @@ def audit_row(df: DataFrame, source: str, *parts: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).alias("s")).select(F.lit(source).alias("source"), "rows", F.sha2(F.concat_ws("|", F.lit(source), "rows", "s"), 256).alias("signature"))
 
 
+def input_signature(*parts: str) -> str:
+    """SHA-256 over an importer's input identifiers (paths, hashes), separated by NUL."""
+    return hashlib.sha256("\0".join(parts).encode()).hexdigest()
+
+
+def refresh(df: DataFrame, path: str) -> DataFrame:
+    """A materialized view: df recomputed, written over what was at path, and read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_once(rows: DataFrame, path: str, keys: list[str], digest: str | None = None) -> None:
     """Append the rows whose key the table at path lacks. Raises if a key comes with another content hash."""
     spark = rows.sparkSession
