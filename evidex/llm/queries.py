@@ -117,8 +117,18 @@ j as (
   left join (select distinct id from conversations) h on h.id = u.conversation_id left join c on c.conversation_id = u.conversation_id)"""
 
 
+_EXACT_NEIGHBOURS = """
+with ok as (select cache_id, embedding_model_version as v, embedding::double[] as e from embedding_cache where cache_id is not null and embedding_model_version is not null and len(embedding) = embedding_dimension
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+q as (select * from ok where cache_id in (select cache_id from probe_vectors)),
+s as (select q.cache_id as a, o.cache_id as b, list_cosine_similarity(q.e, o.e) as sim from q join ok o on o.v = q.v and len(o.e) = len(q.e) and o.cache_id <> q.cache_id),
+r as (select a, b from s qualify row_number() over (partition by a order by sim desc, b) <= 10)
+select distinct least(a, b) as cache_id_a, greatest(a, b) as cache_id_b from r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _EXACT_NEIGHBOURS,
         "p5_found": f"with {_VERDICTS} select conversation_id, defect from j where defect is not null",
         "p5_dialogues": f"with {_VERDICTS} select m.conversation_id, q - lo as turn, speaker, content_text from m join j on j.conversation_id = m.conversation_id where defect is null",
     }
