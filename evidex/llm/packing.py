@@ -2,8 +2,9 @@
 
 Hierarchical residual packing: each partition packs its items best fit, largest
 first, and emits the containers that are nearly full; the others go on as items
-to fewer tasks and are merged best fit again, round by round. A task gets a
-bounded number of containers, so the last rounds don't end in a single task.
+to fewer tasks and are merged best fit again, round by round, until a round saves
+next to none. A task gets a bounded number of containers, so the last rounds
+don't end in a single task.
 
 Only a text larger than the capacity is cut, into full containers and a rest
 that is packed like any other item.
@@ -28,7 +29,8 @@ from evidex.session import stage
 FULL = 0.995
 #: Containers a task of a merging round gets, about.
 PER_TASK = 20_000
-ROUNDS = 4
+#: Share of its containers a round must save for another one to follow. In a single task, where no other dealing exists, any one does.
+SAVES = 0.001
 
 _MEMBER = "struct<doc_id: bigint, piece: int, first_token: bigint, tokens: bigint>"
 _BIN = f"container_kind string, capacity int, load bigint, members array<{_MEMBER}>"
@@ -98,26 +100,28 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _rows(kind, capacity, grouped.values())
 
 
-def pack(sizes: DataFrame, capacities: DataFrame, full: float = FULL, rounds: int = ROUNDS) -> DataFrame:
+def pack(sizes: DataFrame, capacities: DataFrame, full: float = FULL, saves: float = SAVES) -> DataFrame:
     """container_kind, capacity, container_id, load, members of all containers.
 
     sizes: doc_id, n_tokens. capacities: container_kind, capacity_tokens (a few rows).
     """
-    spark = sizes.sparkSession
     caps = sorted((r[0], int(r[1])) for r in capacities.where("capacity_tokens >= 1 and container_kind is not null").select("container_kind", "capacity_tokens").distinct().collect())
     bins = stage(sizes.where("n_tokens is not null").select("doc_id", "n_tokens").mapInPandas(_first(caps), _BIN), "bins")
-    done = [bins.where(F.col("load") >= full * F.col("capacity"))]
-    rest, before = bins.where(F.col("load") < full * F.col("capacity")), None
-    for _ in range(rounds):
-        n = rest.count()
+    nearly = F.col("load") >= full * F.col("capacity")
+    done = [bins.where(nearly)]
+    rest = bins.where(~nearly)
+    n, tasks = rest.count(), 0
+    while n > 1:
         tasks = max(1, -(-n // PER_TASK))
-        if n <= 1 or n == before and tasks == 1:
-            break
-        # loads are dealt out evenly, so that small ones meet large ones in every task
+        # loads are dealt out evenly and anew in each round, so that small ones meet other large ones in every task
         dealt = rest.repartition(tasks, F.xxhash64(F.col("members")[0]["doc_id"], F.col("members")[0]["piece"], F.lit(n))) if tasks > 1 else rest.coalesce(1)
         bins = stage(dealt.mapInPandas(_merge, _BIN), "bins")
-        done.append(bins.where(F.col("load") >= full * F.col("capacity")))
-        rest, before = bins.where(F.col("load") < full * F.col("capacity")), n
+        done.append(bins.where(nearly))
+        rest = bins.where(~nearly)
+        total, left = bins.count(), rest.count()
+        saved, n = n - total, left
+        if saved < 1 or tasks > 1 and saved < saves * total:
+            break
     out = rest
     for d in done:
         out = out.unionByName(d)

@@ -18,7 +18,7 @@ def test_query(spark, sf, name):
         assert df.columns == COLUMNS[name] and len(set(rows)) == len(rows)
     if name in Q.oracle_sql():
         con = duckdb.connect()
-        for t in ("messages", "conversations"):
+        for t in ("messages", "conversations", "embedding_cache", "probe_vectors"):
             con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
         r = con.execute(Q.oracle_sql()[name])
         have = [c[0] for c in r.description]

@@ -75,3 +75,13 @@ def test_sizes(spark):
     assert got[1] == 3 and got[3] == 0 and set(got) == {1, 3, 4, 5}
     enc = K.encoding()
     assert enc.decode(enc.encode_ordinary("ß日本語 🙂")) == "ß日本語 🙂"
+
+
+def test_rounds_go_on_while_they_save(spark, monkeypatch):
+    """Many small tasks leave underfull containers that later rounds merge; close to the fewest possible remain."""
+    monkeypatch.setattr(P, "PER_TASK", 50)
+    rng = random.Random(3)
+    df = spark.createDataFrame([(n, rng.randrange(1, 40)) for n in range(6000)], "doc_id long, n_tokens long").repartition(24)
+    c = P.pack(df, spark.createDataFrame([("k", 100)], "container_kind string, capacity_tokens int"))
+    r = P.fill(c).collect()[0]
+    assert r["containers"] <= 1.02 * r["fewest"] + 1
