@@ -1,11 +1,14 @@
 """P3: the most similar vectors for every query vector.
 
 A forest of random-projection trees is fitted on a bounded sample; every vector
-is indexed. A query descends all trees through one shared priority queue,
-nearest split plane first, and notes the leaves it visits. Queries travel in
-blocks of bounded size to the vectors, which never move: each partition places
-its vectors in the trees, compares them with the queries that visit their leaf,
-and keeps the best of each query. The best are reranked by exact cosine.
+is indexed. A query takes the leaves of all trees in the order of one shared
+priority queue, nearest split plane first, and notes those it visits. Up to a
+fixed number of queries are sent to the vectors, which then never move: each
+partition places its vectors in the trees, compares them with the queries that
+visit their leaf, and keeps the best of each query. More queries than that, up to
+every vector, meet the vectors in a join on the leaf; a leaf that holds many
+vectors is split into parts to each of which its queries are sent. The best are
+reranked by exact cosine.
 
 Edge cases: vectors that are null, of another length than stated, with a null
 or non-finite element, or all zero are no candidates and as queries have no
@@ -16,7 +19,6 @@ give fewer rows; empty tables give no rows.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +33,10 @@ from evidex.session import stage
 #: Vectors of each model version the trees are fitted on, at most.
 SAMPLE = 20_000
 TREES, LEAF, VISITS = 10, 192, 64
-#: Queries sent to the vectors at once, which bounds what is broadcast.
-BLOCK = 8192
+#: Queries that are broadcast, at most; more are joined with the vectors on the leaves, of which they then visit fewer.
+BLOCK, JOINED_VISITS = 8192, 24
+#: Vectors of a leaf that are compared in one task of the join.
+PART = 4096
 
 
 @dataclass
@@ -60,22 +64,26 @@ class Forest:
         return node - (1 << self.levels)
 
     def visits(self, unit: np.ndarray, most: int) -> np.ndarray:
-        """tree * leaves + leaf of the leaves nearest to each query, of all trees through one queue; -1 where there are fewer."""
+        """tree * leaves + leaf of the leaves nearest to each query, of all trees through one queue; -1 where there are fewer.
+
+        A leaf's priority is the largest distance to a split plane on whose other side it lies. The queue holds all leaves at
+        once: priorities are worked out level by level for a batch of queries, and the smallest are taken.
+        """
         p, levels, size = self.project(unit), self.levels, 1 << self.levels
+        trees = p.shape[1]
         out = np.full((len(unit), most), -1, dtype=np.int32)
-        for q in range(len(unit)):
-            queue: list[tuple[float, int, int, int]] = [(0.0, t, 0, 1) for t in range(p.shape[1])]
-            n = 0
-            while queue and n < most:
-                far, t, level, node = heapq.heappop(queue)
-                row, cut = p[q, t], self.thresholds[t]
-                while level < levels:
-                    margin = float(row[level] - cut[node])
-                    right = margin > 0
-                    heapq.heappush(queue, (max(far, abs(margin)), t, level + 1, 2 * node + (not right)))
-                    node, level = 2 * node + right, level + 1
-                out[q, n] = t * size + node - size
-                n += 1
+        step = max(1, 4_000_000 // (trees * size))
+        take = min(most, trees * size)
+        for a in range(0, len(unit), step):
+            q = p[a : a + step]
+            far = np.zeros((len(q), trees, 1), dtype=np.float32)
+            for level in range(levels):
+                margin = q[:, :, level, None] - self.thresholds[None, :, 1 << level : 2 << level]
+                far = np.stack([np.maximum(far, margin), np.maximum(far, -margin)], axis=3).reshape(len(q), trees, -1)
+            far = far.reshape(len(q), -1)
+            near = np.argpartition(far, take - 1, axis=1)[:, :take] if take < far.shape[1] else np.broadcast_to(np.arange(take), far.shape)
+            order = np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable")
+            out[a : a + step, :take] = np.take_along_axis(near, order, axis=1)
         return out
 
 
@@ -200,10 +208,10 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, **grown: int) -> dict[str, For
     return {key: grow(units, population[key], **grown) for key, (_, units) in drawn.items() if len(units) > 1}
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, forests: dict[str, Forest] | None = None, visits: int = VISITS, block: int = BLOCK) -> DataFrame:
-    """query_id, cache_id, similarity: the k vectors most similar to each query. queries has the columns of vectors.
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, forests: dict[str, Forest] | None = None, visits: int = VISITS, block: int = BLOCK, part: int = PART) -> DataFrame:
+    """query_id, cache_id, similarity, rank: the k vectors most similar to each query. queries has the columns of vectors.
 
-    Queries are written out with the leaves they visit, then sent to all vectors block by block.
+    Queries are written out with the leaves they visit. Up to block of them are broadcast, more are joined on the leaves.
     """
     spark = vectors.sparkSession
     forests = fit(vectors) if forests is None else forests
@@ -218,41 +226,90 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, forests: dic
                 )
 
     asked = stage(queries.select(*_COLUMNS).mapInArrow(visited, "query_id string, key string, unit array<float>, visits array<int>"), "queries")
-    n = asked.count()
-    blocks = max(1, -(-n // block))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    out = None
-    for b in range(blocks):
-        table = asked.where(number == b).toArrow()
-        sent = {}
-        keys = np.array(table.column("key").to_pylist(), dtype=object)
-        for key in sorted(set(keys)):
-            t = table.filter(pa.array(keys == key))
-            sent[key] = (
-                np.array(t.column("query_id").to_pylist(), dtype=object),
-                np.array(t.column("unit").combine_chunks().flatten()).reshape(t.num_rows, -1),
-                np.array(t.column("visits").combine_chunks().flatten()).reshape(t.num_rows, -1),
+    out = _sent(vectors, asked, trees, k) if asked.count() <= block else _joined(vectors, asked, trees, k, part)
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "cache_id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "cache_id", "similarity", "rank")
+
+
+def _sent(vectors: DataFrame, asked: DataFrame, trees, k: int) -> DataFrame:
+    """query_id, cache_id, similarity: the best of each partition of vectors for a bounded number of queries, which are broadcast."""
+    table = asked.toArrow()
+    sent = {}
+    keys = np.array(table.column("key").to_pylist(), dtype=object)
+    for key in sorted(set(keys)):
+        t = table.filter(pa.array(keys == key))
+        sent[key] = (
+            np.array(t.column("query_id").to_pylist(), dtype=object),
+            np.array(t.column("unit").combine_chunks().flatten()).reshape(t.num_rows, -1),
+            np.array(t.column("visits").combine_chunks().flatten()).reshape(t.num_rows, -1),
+        )
+    shared = vectors.sparkSession.sparkContext.broadcast(sent)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (ids, units) in usable(batches).items():
+            if key not in shared.value:
+                continue
+            order = np.argsort(ids.astype(str), kind="stable")
+            ids, units = ids[order], units[order]
+            q_ids, q_units, q_visits = shared.value[key]
+            q, i = _compare(units, trees.value[key], q_units, q_visits, k + 1)
+            sims = np.einsum("ij,ij->i", q_units[q].astype(np.float64), units[i].astype(np.float64))
+            other = q_ids[q] != ids[i]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q_ids[q][other], pa.string()), pa.array(ids[i][other], pa.string()), pa.array(sims[other], pa.float64())], names=["query_id", "cache_id", "similarity"]
             )
-        shared = spark.sparkContext.broadcast(sent)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for key, (ids, units) in usable(batches).items():
-                if key not in shared.value:
-                    continue
-                order = np.argsort(ids.astype(str), kind="stable")
-                ids, units = ids[order], units[order]
-                q_ids, q_units, q_visits = shared.value[key]
-                q, i = _compare(units, trees.value[key], q_units, q_visits, k + 1)
-                sims = np.einsum("ij,ij->i", q_units[q].astype(np.float64), units[i].astype(np.float64))
-                other = q_ids[q] != ids[i]
+
+    return vectors.select(*_COLUMNS).mapInArrow(search, _FOUND)
+
+
+def _joined(vectors: DataFrame, asked: DataFrame, trees, k: int, part: int) -> DataFrame:
+    """query_id, cache_id, similarity: the best of each part of a leaf for the queries that visit it, by a join on the leaf."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (ids, units) in usable(batches).items():
+            if (forest := trees.value.get(key)) is not None:
+                leaves = forest.leaves(units) + np.arange(forest.thresholds.shape[0]) * (1 << forest.levels)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[q][other], pa.string()), pa.array(ids[i][other], pa.string()), pa.array(sims[other], pa.float64())], names=["query_id", "cache_id", "similarity"]
+                    [pa.array(ids, pa.string()), pa.array([key] * len(ids)), pa.array(list(units), pa.list_(pa.float32())), pa.array(list(leaves.astype(np.int32)), pa.list_(pa.int32()))], names=["cache_id", "key", "unit", "leaves"]
                 )
 
-        part = vectors.select(*_COLUMNS).mapInArrow(search, _FOUND)
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "cache_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "cache_id", "similarity", "rank")
+    # the index: every vector with its leaf in each tree, stored once
+    index = stage(vectors.select(*_COLUMNS).mapInArrow(placed, "cache_id string, key string, unit array<float>, leaves array<int>"), "index")
+    sizes = index.select("key", F.explode("leaves").alias("leaf")).groupBy("key", "leaf").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    sizes = F.broadcast(sizes)  # at most TREES x SAMPLE / 2 leaves of each model version
+    items = index.select("key", "cache_id", "unit", F.explode("leaves").alias("leaf")).join(sizes, ["key", "leaf"])
+    items = items.select("key", "leaf", F.pmod(F.xxhash64("cache_id"), "parts").cast("int").alias("part"), "cache_id", "unit")
+    coming = asked.select("key", "query_id", "unit", F.explode("visits").alias("leaf")).where("leaf >= 0").join(sizes, ["key", "leaf"])
+    coming = coming.select("key", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "unit")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"query_id": pa.array([], pa.string()), "cache_id": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return none
+        matrix = lambda t: np.array(t.column("unit").combine_chunks().flatten()).reshape(t.num_rows, -1)
+        ids = np.array(left.column("cache_id").to_pylist(), dtype=object)
+        order = np.argsort(ids.astype(str), kind="stable")
+        ids, units, q_units = ids[order], matrix(left)[order], matrix(right)
+        q_ids = np.array(right.column("query_id").to_pylist(), dtype=object)
+        found = []
+        for a in range(0, len(q_ids), 512):
+            sims = q_units[a : a + 512] @ units.T
+            best = np.argsort(-sims, axis=1, kind="stable")[:, : k + 1]
+            q, i = np.repeat(np.arange(a, a + len(sims)), best.shape[1]), best.ravel()
+            exact = np.einsum("ij,ij->i", q_units[q].astype(np.float64), units[i].astype(np.float64))
+            other = q_ids[q] != ids[i]
+            found.append((q_ids[q][other], ids[i][other], exact[other]))
+        q, i, s = map(np.concatenate, zip(*found))
+        return pa.table({"query_id": pa.array(q, pa.string()), "cache_id": pa.array(i, pa.string()), "similarity": pa.array(s, pa.float64())})
+
+    by = ["key", "leaf", "part"]
+    met = items.groupBy(*by).cogroup(coming.groupBy(*by)).applyInArrow(compare, _FOUND)
+    return met.groupBy("query_id", "cache_id").agg(F.max("similarity").alias("similarity"))  # found in several trees
+
+
+def all_neighbours(vectors: DataFrame, k: int = 10, **how: int) -> DataFrame:
+    """neighbours() of every vector."""
+    return neighbours(vectors, vectors, k, **{"visits": JOINED_VISITS, **how})
 
 
 def pairs(found: DataFrame) -> DataFrame:

@@ -45,3 +45,46 @@ def test_copies_and_few_rows(spark):
     assert {tuple(r) for r in N.pairs(N.neighbours(pair, pair, k=5)).collect()} == {("c000", "c001")}
     none = table(spark, [])
     assert N.neighbours(none, none).count() == 0
+
+
+def test_every_vector_by_the_join(spark):
+    """All vectors as queries, exactly checked for every hundredth; big leaves are split without losing any pair."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16))
+    rows = [(f"a{n:04}", "v1", 16, (centres[n % 40] + 0.3 * rng.standard_normal(16)).tolist()) for n in range(4000)]
+    df = table(spark, rows)
+    forests = N.fit(df, leaf=64)
+    got = N.all_neighbours(df, k=10, forests=forests, block=100, part=50).collect()
+    assert len(got) == 40_000 and all(r["query_id"] != r["cache_id"] for r in got)
+    asked = [f"a{n:04}" for n in range(0, 4000, 100)]
+    want = brute(rows, asked, 10)
+    found = {(r["query_id"], r["cache_id"]) for r in got if r["query_id"] in set(asked)}
+    assert len(found & want) >= 0.95 * len(want)
+
+
+def test_the_queue_takes_the_nearest_leaves():
+    import heapq
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 8)).astype(np.float32)
+    f = N.grow(x, 300, trees=3, leaf=20)
+    p, size = f.project(x[:20]), 1 << f.levels
+    for q, got in enumerate(f.visits(x[:20], 12)):
+        queue, want = [(0.0, t, 0, 1) for t in range(3)], []
+        while queue and len(want) < 12:
+            far, t, level, node = heapq.heappop(queue)
+            if level == f.levels:
+                want.append(far)
+                continue
+            m = float(p[q, t, level] - f.thresholds[t, node])
+            heapq.heappush(queue, (max(far, m), t, level + 1, 2 * node))
+            heapq.heappush(queue, (max(far, -m), t, level + 1, 2 * node + 1))
+        have = []
+        for leaf in got:
+            t, node, far = leaf // size, 1, 0.0
+            for level in range(f.levels):
+                bit = (leaf % size) >> (f.levels - 1 - level) & 1
+                m = float(p[q, t, level] - f.thresholds[t, node])
+                far, node = max(far, -m if bit else m), 2 * node + bit
+            have.append(far)
+        assert np.allclose(have, want, atol=1e-5)
