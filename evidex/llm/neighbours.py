@@ -33,8 +33,10 @@ from evidex.session import stage
 #: Vectors of each model version the trees are fitted on, at most.
 SAMPLE = 20_000
 TREES, LEAF, VISITS = 10, 192, 64
-#: Queries that are broadcast, at most; more are joined with the vectors on the leaves, of which they then visit fewer.
-BLOCK, JOINED_VISITS = 8192, 24
+#: Queries that are broadcast, at most; more are joined with the vectors on the leaves.
+BLOCK = 8192
+#: Leaves a joined query visits first, to learn how similar its best vectors are at least.
+FIRST_VISITS = 8
 #: Vectors of a leaf that are compared in one task of the join.
 PART = 4096
 
@@ -263,7 +265,10 @@ def _sent(vectors: DataFrame, asked: DataFrame, trees, k: int) -> DataFrame:
 
 
 def _joined(vectors: DataFrame, asked: DataFrame, trees, k: int, part: int) -> DataFrame:
-    """query_id, cache_id, similarity: the best of each part of a leaf for the queries that visit it, by a join on the leaf."""
+    """query_id, cache_id, similarity: the best of each part of a leaf for the queries that visit it, by a join on the leaf.
+
+    Queries visit their first leaves first; from the others only what is at least as similar as the k-th of those comes back.
+    """
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, (ids, units) in usable(batches).items():
@@ -279,8 +284,9 @@ def _joined(vectors: DataFrame, asked: DataFrame, trees, k: int, part: int) -> D
     sizes = F.broadcast(sizes)  # at most TREES x SAMPLE / 2 leaves of each model version
     items = index.select("key", "cache_id", "unit", F.explode("leaves").alias("leaf")).join(sizes, ["key", "leaf"])
     items = items.select("key", "leaf", F.pmod(F.xxhash64("cache_id"), "parts").cast("int").alias("part"), "cache_id", "unit")
-    coming = asked.select("key", "query_id", "unit", F.explode("visits").alias("leaf")).where("leaf >= 0").join(sizes, ["key", "leaf"])
-    coming = coming.select("key", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "unit")
+    def at(queries: DataFrame, visits) -> DataFrame:
+        rows = queries.select("key", "query_id", "unit", "least", F.explode(visits).alias("leaf")).where("leaf >= 0").join(sizes, ["key", "leaf"])
+        return rows.select("key", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "unit", "least")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.string()), "cache_id": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
@@ -290,26 +296,35 @@ def _joined(vectors: DataFrame, asked: DataFrame, trees, k: int, part: int) -> D
         ids = np.array(left.column("cache_id").to_pylist(), dtype=object)
         order = np.argsort(ids.astype(str), kind="stable")
         ids, units, q_units = ids[order], matrix(left)[order], matrix(right)
-        q_ids = np.array(right.column("query_id").to_pylist(), dtype=object)
+        q_ids, least = np.array(right.column("query_id").to_pylist(), dtype=object), np.array(right.column("least"))
         found = []
         for a in range(0, len(q_ids), 512):
             sims = q_units[a : a + 512] @ units.T
             best = np.argsort(-sims, axis=1, kind="stable")[:, : k + 1]
             q, i = np.repeat(np.arange(a, a + len(sims)), best.shape[1]), best.ravel()
             exact = np.einsum("ij,ij->i", q_units[q].astype(np.float64), units[i].astype(np.float64))
-            other = q_ids[q] != ids[i]
+            other = (q_ids[q] != ids[i]) & (exact >= least[q])
             found.append((q_ids[q][other], ids[i][other], exact[other]))
         q, i, s = map(np.concatenate, zip(*found))
         return pa.table({"query_id": pa.array(q, pa.string()), "cache_id": pa.array(i, pa.string()), "similarity": pa.array(s, pa.float64())})
 
     by = ["key", "leaf", "part"]
-    met = items.groupBy(*by).cogroup(coming.groupBy(*by)).applyInArrow(compare, _FOUND)
-    return met.groupBy("query_id", "cache_id").agg(F.max("similarity").alias("similarity"))  # found in several trees
+
+    def meet(coming: DataFrame) -> DataFrame:
+        met = items.groupBy(*by).cogroup(coming.groupBy(*by)).applyInArrow(compare, _FOUND)
+        return met.groupBy("query_id", "cache_id").agg(F.max("similarity").alias("similarity"))  # found in several trees
+
+    first = stage(meet(at(asked.withColumn("least", F.lit(-2.0)), F.slice("visits", 1, FIRST_VISITS))), "first")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "cache_id")
+    kth = first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("similarity")).alias("kth"))
+    rest = asked.join(kth, "query_id", "left").withColumn("least", F.coalesce("kth", F.lit(-2.0)))
+    more = meet(at(rest, F.slice("visits", FIRST_VISITS + 1, F.greatest(F.size("visits") - FIRST_VISITS, F.lit(0)))))
+    return first.unionByName(more).groupBy("query_id", "cache_id").agg(F.max("similarity").alias("similarity"))
 
 
 def all_neighbours(vectors: DataFrame, k: int = 10, **how: int) -> DataFrame:
     """neighbours() of every vector."""
-    return neighbours(vectors, vectors, k, **{"visits": JOINED_VISITS, **how})
+    return neighbours(vectors, vectors, k, **how)
 
 
 def pairs(found: DataFrame) -> DataFrame:
