@@ -97,6 +97,34 @@ def sections(text: Column, level: int = 2) -> Column:
     return F.filter(F.split(F.concat(F.lit("\n"), text), rf"\n(?={'#' * level}\s)"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
 
 
+def front_fields(front: Column) -> Column:
+    """Map of the 'key: value' lines of front matter, without quotes; nested and listed values are left out."""
+    lines = F.filter(F.split(F.coalesce(front, F.lit("")), r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*:\s*\S"))
+    key = lambda x: F.regexp_extract(x, r"^([A-Za-z_][\w-]*):", 1)
+    value = lambda x: F.regexp_replace(F.regexp_extract(x, r"^[A-Za-z_][\w-]*:\s*(.*?)\s*$", 1), r"""^(["'])(.*)\1$""", "$2")
+    pairs = F.transform(lines, lambda x: F.struct(key(x).alias("k"), value(x).alias("v")))
+    keys = F.array_distinct(F.transform(pairs, lambda x: x["k"]))  # the first of repeated keys counts
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(pairs, lambda x: x["k"] == k)[0]["v"]))
+
+
+# Fixed value: the name space of stable ids.
+NAMESPACE = "e0e0e0e0-0000-4000-8000-000000000017"
+
+
+def stable_id(*parts: Column) -> Column:
+    """Name-based UUID (version 5) of the parts joined by '::'."""
+    name = F.concat(F.unhex(F.lit(NAMESPACE.replace("-", ""))), F.encode(F.concat_ws("::", *parts), "UTF-8"))
+    h = F.sha1(name)
+    variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3)) + 8))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def synthetic_segments(files: DataFrame, tier: int = 2) -> DataFrame:
+    """path, section, segment_id, privacy_tier, text: Markdown bodies cut at headings of level 2, with ids that a repeated run gives again."""
+    rows = files.select("path", F.posexplode(sections(F.col("body"))).alias("section", "text"))
+    return rows.select("path", "section", stable_id(F.lit("segment"), F.col("path"), F.col("section").cast("string")).alias("segment_id"), F.lit(tier).alias("privacy_tier"), F.trim("text").alias("text"))
+
+
 # ---- build artifacts ----
 
 

@@ -20,17 +20,27 @@ _COLUMNS = [c.split()[0] for c in MESSAGE.split(", ")]
 
 
 def content_text(content) -> str | None:
-    """Text of a ChatGPT content object: string parts by line, markers for typed parts, JSON for other objects; None if empty."""
-    parts = content.get("parts") if isinstance(content, dict) else None
-    if parts is None and isinstance(content, dict):
-        parts = [content.get("text")]
+    """Text of a ChatGPT content object: string parts by line, markers for typed parts, JSON for other objects; None if empty.
+
+    Without parts only the context a model is set up with has a text.
+    """
+    if not isinstance(content, dict):
+        return None
+    parts = content.get("parts")
+    if not isinstance(parts, list):
+        if content.get("content_type") != "model_editable_context":
+            return None
+        parts = [str(v) for k in ("model_set_context", "repo_summary", "structured_context") if (v := content.get(k))]
     out = []
-    for p in parts or []:
+    for p in parts:
         if isinstance(p, str):
             out.append(p)
         elif isinstance(p, dict):
-            kind = p.get("content_type") or p.get("type")
-            out.append(f"[{kind}]" if kind else json.dumps(p, sort_keys=True, ensure_ascii=False))
+            kind = p.get("content_type")
+            if kind == "image_asset_pointer":
+                out.append(f"[{kind}: {p.get('asset_pointer') or p.get('file_id') or 'unknown'}]")
+            else:
+                out.append(f"[{kind}]" if kind else json.dumps(p, sort_keys=True, separators=(",", ":")))
     return "\n".join(out).strip() or None
 
 
@@ -112,6 +122,8 @@ def _documents(path: str, content: bytes) -> Iterator[bytes]:
                 base = name.rsplit("/", 1)[-1].lower()
                 if base.endswith(".json") and ("conversation" in base or "activity" in base):
                     yield z.read(name)
+    elif path.lower().endswith((".jsonl", ".txt")):
+        yield from (line for line in content.splitlines() if line.strip())  # a document per line
     else:
         yield content
 
@@ -141,3 +153,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, sha256 of every file below path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def manifest_digest(files: DataFrame, root: str) -> DataFrame:
+    """file_count, content_hash of a manifest() (the files of one export): SHA-256 over path, NUL, hash, NUL of each file in the order of paths below root."""
+    cut = F.substring("path", F.instr("path", root) + len(root.rstrip("/")) + 1, F.length("path"))
+    listed = F.array_sort(F.collect_list(F.struct(cut.alias("p"), "sha256")))
+    text = F.array_join(F.transform(listed, lambda x: F.concat(x["p"], F.lit("\0"), x["sha256"], F.lit("\0"))), "")
+    return files.agg(F.count(F.lit(1)).alias("file_count"), F.sha2(text, 256).alias("content_hash"))

@@ -89,3 +89,36 @@ def test_topics_contract_and_sinks(spark, tmp_path):
         pass
     assert sinks.audit_row(rows, "s", "id").first()["signature"] == sinks.audit_row(rows.orderBy(F.desc("id")), "s", "id").first()["signature"]
     assert "| id |" in sinks.report_markdown(rows, "t")
+
+
+def test_content_of_exports():
+    assert X.content_text({"parts": ["a", {"content_type": "image_asset_pointer", "file_id": "f"}, {"content_type": "image_asset_pointer"}, {"content_type": "audio"}, {"b": 1, "a": "ä"}]}) == "a\n[image_asset_pointer: f]\n[image_asset_pointer: unknown]\n[audio]\n{\"a\":\"\\u00e4\",\"b\":1}"
+    assert X.content_text({"content_type": "model_editable_context", "model_set_context": "m", "repo_summary": None, "structured_context": "s"}) == "m\ns"
+    assert X.content_text({"content_type": "code", "text": "x"}) is None and X.content_text({"parts": [" "]}) is None and X.content_text(None) is None
+
+
+def test_manifest_digest_and_signature(spark, tmp_path):
+    import hashlib
+
+    for name, text in (("b.json", "two"), ("a.json", "one")):
+        (tmp_path / name).write_text(text)
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = h(f"a.json\0{h('one')}\0b.json\0{h('two')}\0")
+    r = X.manifest_digest(X.manifest(spark, str(tmp_path)), str(tmp_path)).first()
+    assert (r["file_count"], r["content_hash"]) == (2, want)
+    from evidex.sources import sinks
+
+    assert sinks.input_signature("root", "x") == h("root\0x")
+
+
+def test_stable_ids_are_name_based_uuids(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from evidex.sources import artifacts as A
+
+    df = spark.createDataFrame([("a.md", "x\n## B\ny", "k: 'v'\nk: w\nlist:\n  - a"), ("é.md", "", None)], "path string, body string, front string")
+    got = {(r["path"], r["section"]): (r["segment_id"], r["privacy_tier"]) for r in A.synthetic_segments(df).collect()}
+    assert got == {("a.md", n): (str(uuid.uuid5(uuid.UUID(A.NAMESPACE), f"segment::a.md::{n}")), 2) for n in (0, 1)}
+    assert [r["m"] for r in df.select(A.front_fields(F.col("front")).alias("m")).collect()] == [{"k": "v"}, {}]
