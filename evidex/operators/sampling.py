@@ -164,3 +164,23 @@ def update_from(rows: DataFrame, source: DataFrame, key: str, source_key: str, a
     joined = rows.join(s, rows[key] == s[f"src_{source_key}"], "left")
     hit = F.col(f"src_{source_key}").isNotNull()
     return joined.select(*(F.when(hit, assign[c]).otherwise(F.col(c)).alias(c) if c in assign else F.col(c) for c in rows.columns))
+
+
+def stale(rows: DataFrame, status: str, waiting: str, at: str, as_of: datetime, seconds: int) -> DataFrame:
+    """Rows in the waiting status since more than seconds before as_of."""
+    return rows.where((F.col(status) == waiting) & (F.col(at) < F.lit(as_of) - F.make_interval(secs=F.lit(seconds))))
+
+
+def only_latest(rows: DataFrame, keys: list[str], order: list[str], status: str, current: str, old: str) -> DataFrame:
+    """rows whose status is rewritten so that of each key only the latest row in the status current keeps it; a window per key, whose rows are few."""
+    n = F.row_number().over(Window.partitionBy(*keys, F.col(status) == current).orderBy(*(F.desc(c) for c in order)))
+    return rows.withColumn("__n", n).withColumn(status, F.when((F.col(status) == current) & (F.col("__n") > 1), old).otherwise(F.col(status))).drop("__n")
+
+
+def parent_mismatches(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str, same: list[str]) -> DataFrame:
+    """child rows' id and the first of the columns same in which they differ from their parent (null equals null), or 'unknown parent'."""
+    p = parents.select(F.col(parent_key).alias("__p"), *(F.col(c).alias(f"__{c}") for c in same))
+    reason = F.when(F.col("__p").isNull(), "unknown parent")
+    for c in same:
+        reason = reason.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), c)
+    return children.join(p, F.col(child_key) == F.col("__p"), "left").select("id", reason.alias("reason")).where("reason is not null")

@@ -398,3 +398,24 @@ l as (select tenant_id, corpus_id, item_id, rank, cast(greatest(1, len(string_sp
 r as (select tenant_id, corpus_id, item_id, rank, cost, cost <= 300 as included, case when cost <= 300 then cost else 0 end as used from l where rank = 1
   union all select l.tenant_id, l.corpus_id, l.item_id, l.rank, l.cost, r.used + l.cost <= 300, r.used + case when r.used + l.cost <= 300 then l.cost else 0 end from r join l on l.tenant_id = r.tenant_id and l.corpus_id = r.corpus_id and l.rank = r.rank + 1)
 select tenant_id, corpus_id, item_id, cast(rank as integer) as rank, cost, included from r"""
+catalog._SQL["boundary_scores"] = f"""{_BOUNDS_SQL.replace('with f as', 'with recursive f as', 1)},
+t as (select conversation_id, 0 as i, e as free, 0 as hits from m
+  union all select t.conversation_id, i + 1, case when hit is null then free else list_filter(free, lambda x: x <> hit) end, hits + (hit is not null)::int
+  from t join m on m.conversation_id = t.conversation_id, lateral (select list_filter(t.free, lambda x: abs(x - m.p[t.i + 1]) <= 1)[1] as hit) where i < len(m.p)),
+r as (select m.*, case when len(e) = 0 and len(p) = 0 then 1.0 when len(p) = 0 then 0.0 else tp / len(p) end as pr, case when len(e) = 0 and len(p) = 0 then 1.0 when len(e) = 0 then 0.0 else tp / len(e) end as re, t.hits,
+  case when n < 2 or n <= k then 0.0 else len(list_filter(range(cast(n - k as bigint)), lambda s: ({_COUNT_IN.format('e')} = 0) <> ({_COUNT_IN.format('p')} = 0))) / (n - k) end as pk,
+  case when n < 2 or n <= k then 0.0 else len(list_filter(range(cast(n - k as bigint)), lambda s: {_COUNT_IN.format('e')} <> {_COUNT_IN.format('p')})) / (n - k) end as wd from m join t on t.conversation_id = m.conversation_id and t.i = len(m.p))
+select conversation_id, round(pr, 6) as precision, round(re, 6) as recall, round(case when len(e) = 0 and len(p) = 0 then 1.0 when pr + re = 0 then 0.0 else 2 * pr * re / (pr + re) end, 6) as f1, hits as within_1, round(pk, 6) as pk, round(wd, 6) as windowdiff from r"""
+_FRAGMENT_SQL = r"trim(regexp_replace(replace(lower(content_text), 'ß', 'ss'), '[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+', ' ', 'g'))"
+catalog._SQL["fragmentation"] = rf"""
+with s as (select conversation_id, sequence_index, {catalog._TOKENS_SQL} as tokens, {_FRAGMENT_SQL} as t from segments where is_active),
+n as (select *, lead(tokens) over w as next_tokens, lead(t) over w as u from s window w as (partition by conversation_id order by sequence_index)),
+x as (select *, list_distinct(string_split(t, ' ')) as a, list_distinct(string_split(u, ' ')) as b from n)
+select count(*) as segments, round(avg((tokens < 50)::int), 6) as sub_50_rate, round(avg((tokens < 100)::int), 6) as sub_100_rate, round(avg((tokens < 200)::int), 6) as sub_200_rate, count(next_tokens) as pairs,
+  coalesce(round(avg((tokens < 100 and next_tokens < 100)::int) filter (where next_tokens is not null), 6), 0) as tiny_pair_rate,
+  coalesce(round(avg(coalesce(t = u or (t <> '' and u <> '' and len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.9), false)::int) filter (where next_tokens is not null), 6), 0) as duplicate_pair_rate from x"""
+_WHITE = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+catalog._SQL["embeddable_segments"] = rf"""
+with l as (select id, content_text, list_filter(string_split_regex(content_text, '\r\n|[\n\r\x0b\f\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: not regexp_matches(x, '{T.MARKER}')) as lines from segments),
+j as (select id, content_text, array_to_string(list_transform(lines, lambda x: regexp_replace(x, '{_WHITE}+$', '')), chr(10)) as t from l)
+select id, length(regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WHITE}+|{_WHITE}+$', '', 'g')) as chars, length({_FRAGMENT_SQL}) as fragment_chars from j"""

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from evidex.plans import catalog, imports, problems, serving  # noqa: F401 - imports and serving add their queries to the catalogue
+from evidex.plans import catalog, derivation, imports, problems, serving  # noqa: F401 - derivation, imports and serving add their queries to the catalogue
 
 QUERIES = {**problems.queries(), **catalog.queries()}
 SQL = {**problems.oracle_sql(), **catalog.oracle_sql()}
