@@ -7,9 +7,11 @@ is over values: each is a vector of its tokens weighted by rarity, and the
 cosine of two values counts similar tokens by their n-gram cosine. Of each
 value's partners the most similar are kept. A pair's similarity is the mean of
 its cosine and, counted twice, of how well the tokens agree one by one, which tells namesakes
-apart. Average-linkage clustering groups the spellings; it runs as rounds of
-merging mutually nearest clusters over the whole edge table, which gives the
-same tree as merging one pair at a time, so no group has to fit into a task.
+apart. Average-linkage clustering groups the spellings. It merges all pairs of
+mutually nearest clusters round by round, which gives the same tree as merging
+one pair at a time: within a task for each connected component of a bounded
+number of pairs, and over the whole edge table for those that are larger, so no
+group has to fit into a task.
 
 An n-gram or token that many items share is split into parts of bounded size,
 so no feature is one task.
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,8 @@ LINKAGE = 0.52
 TWO_EDITS = 0.5
 #: Items of a feature that are joined in one part.
 SPLIT = 2000
+#: Pairs of a connected component that are clustered within a task.
+LOCAL_PAIRS = 20_000
 
 # Words that make no difference between names.
 TITLES = "dr prof professor mr mrs ms miss mme mlle herr frau sir dipl ing phd md jr sr señor señora sig".split()
@@ -314,8 +319,84 @@ def linked(subjects: DataFrame) -> DataFrame:
     return kept.select("a", "b", "cosine", ((F.col("cosine") + 2 * F.col("agreed")) / 3).alias("similarity"))
 
 
-def average_linkage(edges: DataFrame, least: float = LINKAGE) -> DataFrame:
-    """value, cluster: groups of average linkage over edges (a, b, similarity, a < b); pairs without edge have similarity 0.
+def components(edges: DataFrame) -> DataFrame:
+    """value, component: the least value of its connected component, for every end of edges (a, b).
+
+    Labels spread over the edges and jump to the label of the label; each round is stored, nothing comes to the driver but
+    whether a label changed.
+    """
+    ends = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "ends")
+    labels = stage(ends.groupBy("a").agg(F.min("b").alias("c")).select(F.col("a").alias("value"), F.least("a", "c").alias("c"), F.lit(True).alias("moved")), "labels")
+    while True:
+        seen = ends.join(labels.select(F.col("value").alias("b"), "c"), "b").select(F.col("a").alias("value"), "c")
+        jump = labels.select("value", F.col("c").alias("at")).join(labels.select(F.col("value").alias("at"), "c"), "at").select("value", "c")
+        least = seen.union(jump).groupBy("value").agg(F.min("c").alias("least"))
+        new = labels.select("value", "c").join(least, "value").select("value", F.least("c", "least").alias("c"), (F.col("least") < F.col("c")).alias("moved"))
+        labels = stage(new, "labels")
+        if labels.where("moved").isEmpty():
+            return labels.select("value", F.col("c").alias("component"))
+
+
+def _tie(a: str, b: str) -> int:
+    """What F.xxhash64 gives for a pair."""
+    h = xxhash.xxh64_intdigest(b.encode(), seed=xxhash.xxh64_intdigest(a.encode(), seed=42))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def merged_clusters(edges: list[tuple[str, str, float]], least: float) -> dict[str, str]:
+    """value -> cluster by the rounds of _linkage_rounds(), for the edges of one component."""
+    total = {(a, b): s for a, b, s in edges}
+    members = {v: [v] for e in edges for v in e[:2]}
+    while True:
+        best: dict[str, tuple] = {}
+        for (a, b), t in total.items():
+            avg = round(t / (len(members[a]) * len(members[b])), 9)
+            if avg >= least:
+                key = (avg, _tie(a, b), a, b)
+                for end in (a, b):
+                    if end not in best or key > best[end]:
+                        best[end] = key
+        into = {k[3]: k[2] for end, k in best.items() if end == k[2] and best[k[3]] == k}
+        if not into:
+            return {v: c for c, vs in members.items() for v in vs}
+        for old, new in into.items():
+            members[new] += members.pop(old)
+        moved: dict[tuple[str, str], float] = {}
+        for (a, b), t in total.items():
+            a, b = into.get(a, a), into.get(b, b)
+            if a != b:
+                moved[min(a, b), max(a, b)] = moved.get((min(a, b), max(a, b)), 0.0) + t
+        total = moved
+
+
+def average_linkage(edges: DataFrame, least: float = LINKAGE, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
+    """value, cluster: groups of average linkage over edges (a, b, similarity, a < b); pairs without edge have similarity 0."""
+    edges = stage(edges.select("a", "b", "similarity"), "edges")
+    of = edges.join(components(edges).withColumnRenamed("value", "a"), "a")
+    sizes = of.groupBy("component").agg(F.count(F.lit(1)).alias("pairs"))
+    of = stage(of.join(sizes, "component"), "components")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for p in batches:
+            out: dict[str, str] = {}
+            for c, a, b, s in zip(p["component"], p["a"], p["b"], p["similarity"]):
+                if c != at and held:
+                    out |= merged_clusters(held, least)
+                    held = []
+                at = c
+                held.append((a, b, s))
+            yield pd.DataFrame(list(out.items()), columns=["value", "cluster"])
+        yield pd.DataFrame(list(merged_clusters(held, least).items()), columns=["value", "cluster"])
+
+    small = of.where(F.col("pairs") <= local_pairs).repartition("component").sortWithinPartitions("component")
+    clusters = small.select("component", "a", "b", "similarity").mapInPandas(run, "value string, cluster string")
+    large = of.where(F.col("pairs") > local_pairs)
+    return clusters if large.isEmpty() else clusters.unionByName(_linkage_rounds(large, least))
+
+
+def _linkage_rounds(edges: DataFrame, least: float) -> DataFrame:
+    """average_linkage() as rounds over the whole edge table.
 
     Each round merges all pairs of clusters that are each other's nearest. Average linkage is reducible, so this
     gives the groups of merging the nearest pair at a time.

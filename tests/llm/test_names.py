@@ -84,3 +84,26 @@ def test_every_link_has_a_cosine_and_the_best_partners_are_kept(spark):
 @pytest.mark.parametrize(("a", "b", "two"), [("datsetoran", "dastetorann", True), ("kolemesel", "kolmesell", True), ("kolemesel", "kalemasel", True), ("kolemesel", "kalimasel", False)])
 def test_two_edits(a, b, two):
     assert N._two_edits(a, b) == N._two_edits(b, a) == two
+
+
+def test_large_components_are_clustered_alike(spark):
+    import random
+
+    rng = random.Random(11)
+    edges = [(f"n{a:02}", f"n{b:02}", rng.choice([0.3, 0.5, 0.6, 0.9])) for a in range(40) for b in range(a + 1, 40) if rng.random() < (0.4 if a // 10 == b // 10 else 0.02)]
+    df = spark.createDataFrame(edges, "a string, b string, similarity double")
+
+    def groups(local):
+        out = {}
+        for r in N.average_linkage(df, 0.45, local_pairs=local).collect():
+            out.setdefault(r["cluster"], set()).add(r["value"])
+        return {frozenset(c) for c in out.values()}
+
+    assert groups(10_000) == groups(0) and len(groups(0)) > 3  # many ties: the hash of the pair decides in both
+    assert N.average_linkage(df.limit(0)).count() == 0
+
+
+def test_components(spark):
+    chain = [(f"c{n:03}", f"c{n + 1:03}") for n in range(60)] + [("x", "y"), ("c000", "c005")]
+    got = {r["value"]: r["component"] for r in N.components(spark.createDataFrame(chain, "a string, b string")).collect()}
+    assert set(got.values()) == {"c000", "x"} and got["c060"] == "c000" and got["y"] == "x" and len(got) == 63
