@@ -246,8 +246,8 @@ def _islands(claims: DataFrame, slices: int | None = None) -> tuple[DataFrame, D
     cited = rows.select(F.col("first_id").alias("cites"), "cited") if trace else None  # joined at the end, not carried through the steps
     rows = rows.drop("cited")
     w = Window.partitionBy("slice", *KEY).orderBy("eff")
+    rows = _neighbours(rows, last={"p_value": F.max_by("value", "eff"), "p_seen": F.max("eff")}, stored=True)
     rows = rows.withColumns({"before": F.lag("value").over(w), "seen": F.lag("eff").over(w)})
-    rows = _neighbours(rows, last={"p_value": F.max_by("value", "eff"), "p_seen": F.max("eff")})
     single = F.col("v_cardinality").startswith("single")
     first = F.coalesce("seen", "p_seen").isNull()
     rows = rows.withColumn("first", first).withColumn("starts", first | (single & ~F.coalesce("before", "p_value").eqNullSafe(F.col("value"))))
