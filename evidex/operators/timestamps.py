@@ -211,7 +211,7 @@ def normalise(feeds: list[DataFrame], path: str | None = None, skip_canonical: b
         one = entries.resolve(feed.where(F.col("raw").isNotNull() & ~canonical)).select("record_table", "record_id", "utc_us")
         if not skip_canonical:
             plain = feed.where(F.col("raw").isNull() | canonical).select(
-                "record_table", "record_id", F.unix_micros(F.try_to_timestamp(F.substring("raw", 1, 26), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))).alias("utc_us")
+                "record_table", "record_id", F.unix_micros(F.col("raw").try_cast("timestamp")).alias("utc_us")  # it names its zone
             )
             one = one.unionByName(plain)
         out = one if out is None else out.unionByName(one)
