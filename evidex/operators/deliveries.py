@@ -44,21 +44,18 @@ class SeenState:
 
 def _keyed(messages: DataFrame) -> DataFrame:
     key = identity(F.col("external_id"))
-    return (
-        messages.select("id", "source_id", "imported_at", key.alias("key"))
-        .where(F.col("key").isNotNull() & F.col("source_id").isNotNull())
-        .withColumn("producer", F.nullif(F.regexp_extract("key", SEQUENCE, 1), F.lit("")))
-        .withColumn("number", F.when(F.col("producer").isNotNull(), F.regexp_extract("key", SEQUENCE, 2).cast("long")))
-    )
+    return messages.select("id", "source_id", "imported_at", key.alias("key")).where(F.col("key").isNotNull() & F.col("source_id").isNotNull())
 
 
-def _first_deliveries(rows: DataFrame, by: list[str]) -> DataFrame:
-    """One row per key with its first delivery and number of deliveries; combined before the shuffle."""
-    return (
-        rows.groupBy(*by)
-        .agg(F.min(F.struct("imported_at", "id")).alias("first"), F.count(F.lit(1)).alias("deliveries"))
-        .select(*by, "deliveries", F.col("first.id").alias("kept_id"))
-    )
+def _first_deliveries(rows: DataFrame) -> DataFrame:
+    """source_id, key, deliveries, kept_id (of the first delivery), producer, number of each key; combined before the shuffle.
+
+    Only canonical numbers make a sequence, so equal numbers of a producer mean equal keys.
+    """
+    firsts = rows.groupBy("source_id", "key").agg(F.min(F.struct("imported_at", "id")).alias("first"), F.count(F.lit(1)).alias("deliveries"))
+    producer = F.nullif(F.regexp_extract("key", SEQUENCE, 1), F.lit(""))
+    firsts = firsts.select("source_id", "key", "deliveries", F.col("first.id").alias("kept_id"), producer.alias("producer"))
+    return firsts.withColumn("number", F.when(F.col("producer").isNotNull(), F.regexp_extract("key", SEQUENCE, 2).cast("long")))
 
 
 def merge_ranges(numbers: DataFrame) -> DataFrame:
@@ -92,14 +89,19 @@ def merge_ranges(numbers: DataFrame) -> DataFrame:
     return done.unionByName(islands(rows, ["source_id", "producer"]))
 
 
-def _uncovered(firsts: DataFrame, ranges: DataFrame) -> DataFrame:
-    """firsts whose number no range of its producer covers; ranges are cut at block borders, so the join is an equi-join."""
-    cut = ranges.withColumn(
+def _seen(firsts: DataFrame, seen: SeenState) -> DataFrame:
+    """firsts with known: whether a range of the producer covers the number, or else an earlier key is the same.
+
+    Ranges are cut at block borders, so that they are met in an equi-join.
+    """
+    cut = seen.ranges.withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK)))
     ).select(F.col("source_id").alias("s"), F.col("producer").alias("p"), F.col("block").alias("b"), "lo", "hi")
-    at = F.floor(F.col("number") / BLOCK)
-    on = (F.col("source_id") == F.col("s")) & (F.col("producer") == F.col("p")) & (at == F.col("b"))
-    return firsts.join(cut, on & F.col("number").between(F.col("lo"), F.col("hi")), "left_anti")
+    on = (F.col("source_id") == F.col("s")) & (F.col("producer") == F.col("p")) & (F.floor(F.col("number") / BLOCK) == F.col("b"))
+    numbered = firsts.where("producer is not null").join(cut, on & F.col("number").between(F.col("lo"), F.col("hi")), "left")
+    keys = seen.keys.select("source_id", "key", F.lit(True).alias("there"))
+    named = firsts.where("producer is null").join(keys, ["source_id", "key"], "left")
+    return numbered.select(firsts.columns + [F.col("lo").isNotNull().alias("known")]).unionByName(named.select(firsts.columns + [F.col("there").isNotNull().alias("known")]))
 
 
 def deliver(messages: DataFrame, seen: SeenState | None = None, new_keys_only: bool = False) -> tuple[DataFrame, SeenState]:
@@ -113,32 +115,14 @@ def deliver(messages: DataFrame, seen: SeenState | None = None, new_keys_only: b
 
 
 def _deliver(rows: DataFrame, seen: SeenState | None, new_keys_only: bool) -> tuple[DataFrame, SeenState]:
-    """deliver() on _keyed() rows."""
-    numbered = rows.where(F.col("producer").isNotNull())
-    named = rows.where(F.col("producer").isNull())
-    by_number = _first_deliveries(numbered, ["source_id", "producer", "number"])
-    by_name = _first_deliveries(named, ["source_id", "key"])
-
-    fresh_number = _uncovered(by_number, seen.ranges) if seen else by_number
-    fresh_name = by_name.join(seen.keys, ["source_id", "key"], "left_anti") if seen else by_name
-
-    def surplus(deliveries: DataFrame, firsts: DataFrame, fresh: DataFrame, by: list[str]) -> DataFrame:
-        if seen is None:  # without earlier state only keys delivered again matter
-            firsts, keep = firsts.where("deliveries > 1"), F.col("kept_id")
-        else:
-            firsts = firsts.drop("kept_id").join(fresh.select(*by, "kept_id"), by, "left")
-            keep = F.col("kept_id")
-        return (
-            deliveries.join(firsts.select(*by, "kept_id"), by)
-            .where(keep.isNull() | (F.col("id") != keep))
-            .select(F.col("id").alias("message_id"), "kept_id")
-        )
-
-    out = surplus(numbered, by_number, fresh_number, ["source_id", "producer", "number"]).unionByName(
-        surplus(named, by_name, fresh_name, ["source_id", "key"])
-    )
-    new = fresh_number.select("source_id", "producer", F.col("number").alias("lo"), F.col("number").alias("hi"))
-    names = fresh_name.select("source_id", "key")
+    """deliver() on _keyed() rows. The first deliveries are worked out once and stored."""
+    firsts = _first_deliveries(rows)
+    firsts = stage(_seen(firsts, seen) if seen else firsts.withColumn("known", F.lit(False)), "firsts")
+    again = firsts.where("known or deliveries > 1").select("source_id", "key", F.when(~F.col("known"), F.col("kept_id")).alias("kept_id"), "known")
+    out = rows.join(again, ["source_id", "key"]).where(F.col("known") | ~F.col("id").eqNullSafe(F.col("kept_id"))).select(F.col("id").alias("message_id"), "kept_id")
+    fresh = firsts.where("not known")
+    new = fresh.where("producer is not null").select("source_id", "producer", F.col("number").alias("lo"), F.col("number").alias("hi"))
+    names = fresh.where("producer is null").select("source_id", "key")
     if seen:
         new = seen.ranges.unionByName(new)
         names = names if new_keys_only else seen.keys.unionByName(names)
@@ -148,7 +132,7 @@ def _deliver(rows: DataFrame, seen: SeenState | None, new_keys_only: bool) -> tu
 def deliver_in_order(messages: DataFrame, epochs: int = 4) -> tuple[DataFrame, SeenState]:
     """deliver() for the deliveries of successive spans of imported_at, each against the ranges and keys of those before.
 
-    Rows of one imported_at are in one span. Keys are appended, ranges are merged and written anew after each span.
+    Rows of one imported_at are in one span. Keys are those of the stored first deliveries, ranges are merged and written anew after each span.
     """
     messages = stage(_keyed(messages), "keyed")  # each span reads it several times
     at = epoch_us("imported_at")
@@ -163,10 +147,9 @@ def deliver_in_order(messages: DataFrame, epochs: int = 4) -> tuple[DataFrame, S
         if lo is None:
             inside = inside | when.isNull()  # rows without a time count as the earliest
         surplus, after = _deliver(messages.where(inside), state, new_keys_only=True)
-        surplus, ranges, fresh = stage(surplus, "surplus"), stage(after.ranges, "ranges"), stage(after.keys, "keys")
         out = surplus if out is None else out.unionByName(surplus)
-        keys = fresh if keys is None else keys.unionByName(fresh)
-        state = SeenState(ranges, keys)
+        keys = after.keys if keys is None else keys.unionByName(after.keys)
+        state = SeenState(stage(after.ranges, "ranges"), keys)
     return out, state
 
 
