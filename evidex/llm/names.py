@@ -121,9 +121,10 @@ def shared(left: DataFrame, right: DataFrame, split: int = SPLIT) -> DataFrame:
 
     A feature of more than split items of left is joined in parts, to each of which right's items are sent.
     """
-    parts = left.groupBy("feature").agg(F.ceil(F.count(F.lit(1)) / split).cast("int").alias("parts"))
-    a = left.join(parts, "feature").select("feature", F.col("item").alias("a"), F.col("w").alias("left_w"), F.pmod(F.xxhash64("item"), "parts").cast("int").alias("part"))
-    b = right.join(parts, "feature").select("feature", F.col("item").alias("b"), F.col("w").alias("right_w"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    big = left.groupBy("feature").agg(F.ceil(F.count(F.lit(1)) / split).cast("int").alias("parts")).where("parts > 1")  # few, so the other features are shuffled once
+    count = F.coalesce("parts", F.lit(1))
+    a = left.join(big, "feature", "left").select("feature", F.col("item").alias("a"), F.col("w").alias("left_w"), F.pmod(F.xxhash64("item"), count).cast("int").alias("part"))
+    b = right.join(big, "feature", "left").select("feature", F.col("item").alias("b"), F.col("w").alias("right_w"), F.explode(F.sequence(F.lit(0), count - 1)).alias("part"))
     return a.join(b, ["feature", "part"]).drop("feature", "part")
 
 
