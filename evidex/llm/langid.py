@@ -56,41 +56,34 @@ _INLINE = re.compile(r"`[^`\n]*`|<[^<>\n]{1,200}>|^[ \t]{4,}\S[^\n]*$", re.MULTI
 #: What makes the token around it no word: digits of ids and numbers, addresses, paths, code.
 _MARK = re.compile(r"[\d@_\\={}]|://|\(\)|/\S*/|\w:\w")
 _CODE_LINE = re.compile(r"^\s*(?:[{}\[\]();]|SELECT\b|INSERT\b|UPDATE\b|FROM\b|for \w+ in |if .*:\s*$|def |class |import |return\b|rc=|\$ |>>> )[^\n]*$", re.MULTILINE)
-#: A word, or what ends a sentence.
-_PART = re.compile(r"([^\W\d_]+)|[.!?…]+(?:\s+|$)|\n+|\s\|\s|(?<=\w)[:;]\s")
-
-
-def _without_marked(text: str) -> str:
-    """text without the tokens (up to white space) that hold a mark."""
-    out, at, n = [], 0, len(text)
-    for m in _MARK.finditer(text):
-        s, e = m.span()
-        if s < at:
-            continue
-        while s > at and not text[s - 1].isspace():
-            s -= 1
-        while e < n and not text[e].isspace():
-            e += 1
-        out += [text[at:s], " "]
-        at = e
-    return "".join(out) + text[at:] if at else text
+#: Within a token: a word, or an end of the sentence.
+_PART = re.compile(r"([^\W\d_]+)|[.!?…]+$|(?<=\w)[:;]$|^\|$")
 
 
 def units(text: str | None) -> list[list[str]]:
-    """The prose of a text as sentences of lower-case words."""
+    """The prose of a text as sentences of lower-case words; tokens (up to white space) that hold a mark are left out."""
     if not text:
         return []
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n", text)
-    text = _CODE_LINE.sub("\n", text)
-    text = _without_marked(_INLINE.sub(" ", text))
-    out: list[list[str]] = [[]]
-    for word in _PART.findall(text.lower()):
-        if word:
-            out[-1].append(word)
-        elif out[-1]:
-            out.append([])
-    return out if out[-1] else out[:-1]
+    text = _INLINE.sub(" ", _CODE_LINE.sub("\n", text)).lower()
+    out: list[list[str]] = []
+    sentence: list[str] = []
+    for line in text.split("\n"):
+        for token in line.split():
+            if token.isalpha():
+                sentence.append(token)
+            elif not _MARK.search(token):
+                for word in _PART.findall(token):
+                    if word:
+                        sentence.append(word)
+                    elif sentence:
+                        out.append(sentence)
+                        sentence = []
+        if sentence:
+            out.append(sentence)
+            sentence = []
+    return out
 
 
 class ContextTree:
@@ -275,6 +268,21 @@ def fit(documents: DataFrame, per_language: int = SAMPLE_DOCS, rounds: int = 2)
     return trees
 
 
+_HELD: list[tuple[list, Scorer]] = []
+
+
+def _scorer(trees: list[tuple[int, dict]]) -> Scorer:
+    """The scorer of broadcast trees; a worker keeps it, with the words it has priced, for its next tasks."""
+    if not _HELD or _HELD[0][0] is not trees:
+        models = []
+        for order, cost in trees:
+            t = ContextTree(Counter(), order)
+            t.cost = cost
+            models.append(t)
+        _HELD[:] = [(trees, Scorer(models))]
+    return _HELD[0][1]
+
+
 PASSAGE = "doc_id bigint, passage int, lang string, confidence double, letters bigint"
 
 
@@ -283,12 +291,7 @@ def detect(documents: DataFrame, trees: list[ContextTree]) -> DataFrame:
     frozen = documents.sparkSession.sparkContext.broadcast([(t.order, t.cost) for t in trees])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = []
-        for order, cost in frozen.value:
-            t = ContextTree(Counter(), order)
-            t.cost = cost
-            models.append(t)
-        score = Scorer(models)
+        score = _scorer(frozen.value)
         for b in batches:
             rows = [(d, k, LANGUAGES[p[0]], p[1], p[2]) for d, t in zip(b["doc_id"], b["text"]) for k, p in enumerate(passages(t, score))]
             yield pd.DataFrame(rows, columns=["doc_id", "passage", "lang", "confidence", "letters"])
