@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from evidex.session import stage
 
-#: Vectors of each model version the trees are fitted on, at most.
-SAMPLE = 20_000
+#: Vectors of each model version the trees are fitted on: as many as there are, up to SAMPLE; for deeper trees PER_LEAF for each
+#: leaf, up to SAMPLE_MOST, which is enough for leaves of LEAF vectors up to some five million vectors.
+SAMPLE, SAMPLE_MOST, PER_LEAF = 20_000, 100_000, 4
 TREES, LEAF, VISITS = 10, 192, 64
 #: Queries that are broadcast, at most; more are joined with the vectors on the leaves.
 BLOCK = 8192
@@ -197,6 +198,11 @@ def _compare(units: np.ndarray, forest: Forest, queries: np.ndarray, visits: np.
     return q, i
 
 
+def sample_size(population: int, sample: int = SAMPLE, most: int = SAMPLE_MOST) -> int:
+    """Vectors of a version to fit its trees on."""
+    return max(sample, min(most, PER_LEAF * population // LEAF))
+
+
 def fit(vectors: DataFrame, sample: int = SAMPLE, **grown: int) -> dict[str, Forest]:
     """version and dimension -> forest, fitted on a bounded sample of each version chosen by a hash of the id."""
     base = vectors.select(*_COLUMNS).where(F.col("embedding_model_version").isNotNull() & (F.size("embedding") == F.col("embedding_dimension")))
@@ -204,7 +210,7 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, **grown: int) -> dict[str, For
     draw = F.pmod(F.xxhash64("cache_id"), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
     keep = F.lit(False)
     for r in counts:
-        keep = keep | ((F.col("embedding_model_version") == r[0]) & (F.col("embedding_dimension") == r[1]) & (draw < min(1.0, sample / r["count"])))
+        keep = keep | ((F.col("embedding_model_version") == r[0]) & (F.col("embedding_dimension") == r[1]) & (draw < min(1.0, sample_size(r["count"], sample) / r["count"])))
     population = {f"{r[0]}\u0000{r[1]}": r["count"] for r in counts}
     drawn = usable(base.where(keep).toArrow().to_batches())
     return {key: grow(units, population[key], **grown) for key, (_, units) in drawn.items() if len(units) > 1}
@@ -281,7 +287,7 @@ def _joined(vectors: DataFrame, asked: DataFrame, trees, k: int, part: int) -> D
     # the index: every vector with its leaf in each tree, stored once
     index = stage(vectors.select(*_COLUMNS).mapInArrow(placed, "cache_id string, key string, unit array<float>, leaves array<int>"), "index")
     sizes = index.select("key", F.explode("leaves").alias("leaf")).groupBy("key", "leaf").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
-    sizes = F.broadcast(sizes)  # at most TREES x SAMPLE / 2 leaves of each model version
+    sizes = F.broadcast(sizes)  # at most TREES x SAMPLE_MOST / 2 leaves of each model version
     items = index.select("key", "cache_id", "unit", F.explode("leaves").alias("leaf")).join(sizes, ["key", "leaf"])
     items = items.select("key", "leaf", F.pmod(F.xxhash64("cache_id"), "parts").cast("int").alias("part"), "cache_id", "unit")
     def at(queries: DataFrame, visits) -> DataFrame:

@@ -88,3 +88,9 @@ def test_the_queue_takes_the_nearest_leaves():
                 far, node = max(far, -m if bit else m), 2 * node + bit
             have.append(far)
         assert np.allclose(have, want, atol=1e-5)
+
+
+def test_the_sample_follows_the_depth_within_its_bound():
+    assert [N.sample_size(n) for n in (100, 100_000, 2_000_000, 10**9)] == [20_000, 20_000, 41_666, 100_000]
+    x = np.random.default_rng(0).standard_normal((N.sample_size(2_000_000), 8)).astype(np.float32)
+    assert N.grow(x, 2_000_000, trees=1).levels == 14  # leaves of 122 of 2,000,000 vectors
