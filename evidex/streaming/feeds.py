@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from evidex.operators.deliveries import SeenState, deliver
 from evidex.operators.timestamps import TimestampDictionary
@@ -65,15 +66,34 @@ def normalise(stream: DataFrame, home: str) -> StreamingQuery:
     return _start(stream, f"{home}/checkpoint", each)
 
 
+#: Batches after which the parts of a keyed state are put together.
+COMPACT = 16
+
+
+def current_state(spark: SparkSession, home: str, keys: list[str], order: list[str], schema: str | StructType, batch: int) -> DataFrame:
+    """The state of latest_state() after a batch: the latest row of each key over the parts since the last compaction."""
+    from evidex.operators.relational import latest_by_max
+
+    since = batch // COMPACT * COMPACT
+    parts = [f"{home}/state/{n}" for n in range(since, batch + 1) if _exists(spark, f"{home}/state/{n}")]
+    rows = spark.read.schema(schema).parquet(*parts)
+    return latest_by_max(rows, keys, order).select(rows.columns)
+
+
 def latest_state(stream: DataFrame, home: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """Keep the latest row of each key of a stream in home/state/<batch>: keyed state with one active row per key."""
+    """Keyed state with one active row per key: batch n appends the latest row of each of its keys as home/state/n.
+
+    Every COMPACT batches all parts since the last time are put together, so that a read (current_state()) touches few; what
+    other batches write grows with the batch and not with the state. A repeated batch writes the same again.
+    """
     from evidex.operators.relational import latest_by_max
 
     spark = stream.sparkSession
 
     def each(batch: DataFrame, n: int) -> None:
-        at = f"{home}/state/{n - 1}"
-        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(at)) if n and _exists(spark, at) else batch
+        rows = batch
+        if n and n % COMPACT == 0:
+            rows = rows.unionByName(current_state(spark, home, keys, order, batch.schema, n - 1))
         latest_by_max(rows, keys, order).select(batch.columns).write.mode("overwrite").parquet(f"{home}/state/{n}")
 
     return _start(stream, f"{home}/checkpoint", each)

@@ -70,3 +70,14 @@ def test_event_windows(spark, tmp_path):
         q = make(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"c{n}")).trigger(availableNow=True).start(str(tmp_path / f"o{n}"))
         q.awaitTermination()
         assert [(r["k"], r["n"]) for r in spark.read.parquet(str(tmp_path / f"o{n}")).collect()] == [("a", 2)]
+
+
+def test_keyed_state_over_a_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "COMPACT", 2)
+    schema = "k string, n int"
+    for n, rows in enumerate([[("a", 1), ("b", 5)], [("a", 3)], [("c", 1), ("a", 2)], [("b", 6)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        feeds.latest_state(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "l"), ["k"], ["n"]).awaitTermination()
+        want = {0: {"a": 1, "b": 5}, 1: {"a": 3, "b": 5}, 2: {"a": 3, "b": 5, "c": 1}, 3: {"a": 3, "b": 6, "c": 1}}[n]
+        assert {r["k"]: r["n"] for r in feeds.current_state(spark, str(tmp_path / "l"), ["k"], ["n"], schema, n).collect()} == want
+    assert {r["k"] for r in spark.read.parquet(str(tmp_path / "l/state/3")).collect()} == {"b"}
