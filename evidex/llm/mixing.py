@@ -14,7 +14,8 @@ holds most documents spreads over many tasks.
 Edge cases: sources are compared without surrounding white space and regardless
 of case; documents without a source, or of a source without target, are left
 out; a source that is absent or too small for its share is used as far as its
-cap allows and reported; null texts are no documents, empty ones have size 0 and
+cap allows and reported, and the others keep their proportions; at even_total() no
+source that is there is too small; null texts are no documents, empty ones have size 0 and
 are not used; an empty table gives shares of 0.
 """
 
@@ -46,6 +47,12 @@ def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> Data
     )
 
 
+def even_total(sizes: DataFrame, targets: DataFrame) -> int:
+    """The largest total at which every source that is there reaches its share within its cap; 0 without any."""
+    room = plan(sizes, targets).where("available > 0 and target_share > 0").select((F.col("available") * F.col("max_repeats") / F.col("target_share")).alias("room"))
+    return int(room.agg(F.min("room")).first()[0] or 0)  # one row
+
+
 def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 20, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, source_key, n_tokens, copies) of the documents used, (a report of each target)).
 

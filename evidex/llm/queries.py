@@ -83,6 +83,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p9_even_shares(spark: SparkSession, d: str) -> DataFrame:
+    """p9_shares() with the total shrunk until no source that is there is too small."""
+    sizes = stage(tokens.sizes(spread(load(spark, d, "documents").select("doc_id", "source", "text")), keep=("source",)), "sizes")
+    targets = load(spark, d, "mix_targets")
+    return mixing.mix(sizes, targets, mixing.even_total(sizes, targets))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     documents = load(spark, d, "documents")
     found = langid.detect(spread(documents.select("doc_id", "text")), langid.fit(documents))
@@ -96,7 +103,7 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        p1_found, p1_redacted, p3_found, p3_neighbours, p5_found, p5_dialogues, p6_found, p6_groups, p8_contents, p8_fill, p9_mix, p9_shares, p10_found, p10_passages,
+        p1_found, p1_redacted, p3_found, p3_neighbours, p5_found, p5_dialogues, p6_found, p6_groups, p8_contents, p8_fill, p9_mix, p9_shares, p9_even_shares, p10_found, p10_passages,
     )}
 
 

@@ -85,3 +85,17 @@ def test_rounds_go_on_while_they_save(spark, monkeypatch):
     c = P.pack(df, spark.createDataFrame([("k", 100)], "container_kind string, capacity_tokens int"))
     r = P.fill(c).collect()[0]
     assert r["containers"] <= 1.02 * r["fewest"] + 1
+
+
+def test_even_total(spark):
+    """Shrunk until the smallest source reaches its share; only an absent one is short."""
+    rng = random.Random(4)
+    docs = [(n, "big", rng.randrange(1, 200)) for n in range(4000)] + [(10_000 + n, "Small ", 50) for n in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 3), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
+    total = M.even_total(df, targets)
+    assert total == 20_000
+    r = {x["source"]: x for x in M.mix(df, targets, total)[1].collect()}
+    assert not r["big"]["too_small"] and not r["small"]["too_small"] and r["absent"]["too_small"]
+    assert abs(r["big"]["actual_share"] - 0.6 / 0.9) < 0.01 and abs(r["small"]["actual_share"] - 0.3 / 0.9) < 0.01
+    assert M.even_total(df.limit(0), targets) == 0
