@@ -163,6 +163,6 @@ def bundle_rows(spark, d):
         system.rename(fs.Path(r["path"]), fs.Path(f"{path}/{r['name']}"))
     spark.createDataFrame([([{"name": r["name"], "sha256": r["sha256"], "bytes": r["bytes"], "rows": r["rows"]} for r in listed],)], "files array<struct<name:string,sha256:string,bytes:bigint,rows:bigint>>").coalesce(1).write.json(f"{path}/manifest.json")
     rows, defects = A.read_bundle(spark, path)
-    bad = defects.agg(F.count(F.lit(1)).alias("bad"))  # one row
+    bad = defects.agg(F.count(F.lit(1)).alias("bad")).withColumn("one", F.lit(1))  # one row
     item = F.get_json_object("row", "$.item_id")
-    return rows.crossJoin(F.broadcast(bad)).where("bad = 0").select(item.alias("item_id"), "sub_kind", F.expr("substring(external_id, 1, instr(external_id, '#') - 1)").alias("external_id"))
+    return rows.withColumn("one", F.lit(1)).join(F.broadcast(bad), "one").where("bad = 0").select(item.alias("item_id"), "sub_kind", F.expr("substring(external_id, 1, instr(external_id, '#') - 1)").alias("external_id"))
