@@ -176,6 +176,13 @@ def windows_by_budget(messages: DataFrame, budget: int = 60_000) -> DataFrame:
     return packed.join(sized, ["conversation_id", "sequence_index"]).select("conversation_id", "sequence_index", F.col("segment").alias("window"), (F.col("size") > budget).alias("truncated"))
 
 
+def split_windows(windows: DataFrame, failed: DataFrame) -> DataFrame:
+    """windows (conversation_id, sequence_index, window) with part: of a window that failed (conversation_id, window) each message is a part of its own, else null."""
+    f = failed.select(F.col("conversation_id").alias("__c"), F.col("window").alias("__w")).distinct()
+    hit = windows["conversation_id"].eqNullSafe(F.col("__c")) & (windows["window"] == F.col("__w"))
+    return windows.join(f, hit, "left").select(*windows.columns, F.when(F.col("__w").isNotNull(), F.col("sequence_index")).alias("part"))
+
+
 def context_budget(configured: int, context_tokens: int) -> int:
     """The smaller of the configured characters and 60 % of the context at 2.5 characters a token; 4000 where that is none."""
     safe = int(context_tokens * 2.5 * 0.6)

@@ -369,6 +369,15 @@ def windows_default_budget(spark, d):
     return SG.windows_by_budget(catalog._ordered(spark, d))
 
 
+@query(f"""
+with w as ({catalog._SQL['windows_by_budget']}), f as (select conversation_id, "window" from w group by 1, 2 having count(*) > 8)
+select w.conversation_id, sequence_index, w."window", case when f."window" is not null then sequence_index end as part from w left join f on f.conversation_id = w.conversation_id and f."window" = w."window\"""")
+def split_failed_windows(spark, d):
+    """Windows of more than eight messages count as failed."""
+    w = SG.windows_by_budget(catalog._ordered(spark, d), 4000).drop("truncated")
+    return SG.split_windows(w, w.groupBy("conversation_id", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 8"))
+
+
 @query("select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(content_text, ''), '(?i)\\b(?:api[_-]?key|secret|token|password|passwd|pwd)\\b\\s*[:=]\\s*\\S+', '[REDACTED]', 'g'), '\\bAKIA[0-9A-Z]{16}\\b', '[REDACTED]', 'g'), '\\bgh[pousr]_[A-Za-z0-9]{20,}\\b', '[REDACTED]', 'g'), '\\bxox[abprs]-[A-Za-z0-9-]+|\\bglpat-[A-Za-z0-9-]+', '[REDACTED]', 'g') as text from messages".replace("\\\\", "\\"))
 def redacted_messages(spark, d):
     return load(spark, d, "messages").select("id", T.redact_secrets(F.coalesce("content_text", F.lit(""))).alias("text"))
