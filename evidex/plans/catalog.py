@@ -633,11 +633,11 @@ def _two_segmentations(spark, d):
 
 @query()
 def boundary_scores(spark, d):
-    e, p, n = F.col("expected"), F.col("predicted"), F.col("n")
-    s = _two_segmentations(spark, d)
-    f = E.precision_recall_f1(e, p)
-    r6 = lambda c: F.round(c, 6)
-    return s.select("conversation_id", r6(f["precision"]).alias("precision"), r6(f["recall"]).alias("recall"), r6(f["f1"]).alias("f1"), E.tolerant_matches(e, p, 1).alias("within_1"), r6(E.pk(e, p, n)).alias("pk"), r6(E.windowdiff(e, p, n)).alias("windowdiff"))
+    m = stage(_sized(spark, d), "sized")
+    lengths = m.groupBy("conversation_id").agg((F.max("sequence_index") + 1).cast("int").alias("n"))
+    s = E.boundary_metrics(E.boundary_rows(SG.message_groups(m), SG.fixed_windows(m)), lengths)
+    r6 = lambda c: F.round(c, 6).alias(c)
+    return s.select("conversation_id", r6("precision"), r6("recall"), r6("f1"), F.col("within").alias("within_1"), r6("pk"), r6("windowdiff"))
 
 
 @query()
