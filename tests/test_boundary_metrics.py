@@ -4,7 +4,7 @@ import time
 from pyspark.sql import functions as F
 
 from evidex.operators import evaluate as E
-from evidex.plans import catalog
+from evidex.plans import catalog, serving
 
 COLS = ["precision", "recall", "f1", "within", "pk", "windowdiff"]
 
@@ -37,3 +37,16 @@ def test_long_conversation(spark, tmp_path):
     (r,) = catalog.boundary_scores(spark, str(tmp_path)).collect()
     assert time.time() - began < 120
     assert tuple(r) == ("c", 1.0, 1.0, 1.0, n // 2 - 1, 0.0, 0.0)
+
+
+def test_macro_of_long_conversation(spark, tmp_path):
+    n = 20_001
+    rows = spark.range(n + 1).select(
+        F.col("id").cast("string").alias("id"), F.when(F.col("id") < n, "c").otherwise("short").alias("conversation_id"), (F.col("id") % n).cast("int").alias("sequence_index"), F.lit("user").alias("role"),
+        F.repeat(F.lit("x"), 600).alias("content_text"), F.timestamp_seconds(F.lit(0)).alias("imported_at"),
+    )
+    rows.write.parquet(str(tmp_path / "messages.parquet"))
+    began = time.time()
+    (r,) = serving.macro_boundary_scores(spark, str(tmp_path)).collect()
+    assert time.time() - began < 120
+    assert r.asDict() == {"parents": 2, "precision": 1.0, "recall": 1.0, "f1": 1.0, "pk": 0.0, "windowdiff": 0.0}
