@@ -1,11 +1,12 @@
 """P1: personal information inside free text.
 
 Candidate spans come from shapes, gazetteers and given names learned from the
-contexts of the sample. Labelers (shape, gazetteer, context before, context
-after, rarity) vote on each; expectation-maximisation over the votes of a
-bounded sample estimates how reliable every labeler is, and its posteriors train
+contexts of all texts. Labelers (shape, gazetteer, context before, context
+after, rarity) vote on each; expectation-maximisation over the votes of all
+candidates estimates how reliable every labeler is, and its posteriors train
 the span classifier that decides on every candidate. Accepted spans are replaced
-by placeholders of their type.
+by placeholders of their type. Fitting goes over every distinct text: words are
+counted as tables, and the classifier takes sums of its gradient over equal cases.
 
 Edge cases: null, blank and valueless texts give no span and stay as they are;
 texts of any length are read whole; spans never overlap, the earlier and then
@@ -18,25 +19,30 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidex.session import spread, stage
+
 KINDS = ["name", "email", "phone", "id_number", "address"]
-#: Texts the classifier is fitted on, at most.
-SAMPLE_TEXTS = 24_000
-#: A word is common if more than this share of the sample's distinct texts has it in lower case or at all.
-COMMON = 0.0008
+#: A word is common if at least this share of the distinct texts has it; one begins sentences if it begins so many for each text. Four at least.
+COMMON, STARTS = 0.0008, 1 / 6000
 FEATURES = 1 << 14
-#: A capitalised word is learned as a given name if it comes before at least so many different rare words in the sample,
-#: in this share of its uses, and this share of them is announced or followed as persons are.
+#: A capitalised word is learned as a given name if it comes before at least so many different rare words, they are at least this
+#: share of the different words it comes before, and this share of its uses is announced or followed as persons are.
 LEARN_SURNAMES, LEARN_VARIETY, LEARN_CUED = 5, 0.5, 0.4
+#: Strength of the classifier's prior that a feature says nothing; its fit ends with the step that takes less than this share off the loss.
+RIDGE, SETTLED = 0.1, 3e-5
+#: Counts a task holds before it passes them on.
+HELD = 200_000
 #: Characters the longest surname with its particles takes; and the longest end of a phone or identity number after its digits.
 _SURNAME, _TAIL = 60, 16
 
@@ -110,6 +116,8 @@ _LAST_WORDS = re.compile(r"([\w.’'-]+)[^\w]*$")
 _FIRST_WORD = re.compile(r"^[^\w]*([\w-]+)")
 _COMMA_GIVEN = re.compile(r",\s([^\W\d_]+)(?=\s*(?:[,;:.<(-]|$|\n))")
 _STARTER = re.compile(r"(?:^|[.!?]\s|\n)\W*([^\W\d_]+)")
+_WORD = re.compile(r"[^\W\d_]+")
+_PLAIN = re.compile(r"(?<!\w)[a-zß-öø-ÿ]{2,}(?!\w)")
 _RIGHT = re.compile(r"^(?:\s?[<:;]|\s-\s|,?\s(?:wants|moved|at|au|al|im|en|on|dans|a reply|and|or|unter|call|wrote)\b|\s*$|\s?\n)", re.IGNORECASE)
 
 
@@ -119,7 +127,7 @@ def _case(w: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Words common in the sample, words that begin sentences there, and an automaton of given names and street words."""
+    """Words common in the texts, words that begin sentences there, and an automaton of given names and street words."""
 
     common: set[str] = field(default_factory=set)
     starters: set[str] = field(default_factory=set)
@@ -277,8 +285,8 @@ def candidates(text: str | None, lex: Lexicon) -> list[Span]:
 def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 40) -> dict[tuple[int, ...], float]:
     """Posterior of each vote pattern of one kind by EM, labelers being independent given the truth.
 
-    Every labeler's reliability has the same prior, a tenth of the sample in favour of being right four times out of five;
-    the share of true candidates has a prior of one half, as strong as the sample, as a free share would call all of them true.
+    Every labeler's reliability has the same prior, a tenth of the candidates in favour of being right four times out of five;
+    the share of true candidates has a prior of one half, as strong as the candidates, as a free share would call all of them true.
     """
     patterns = list(counts)
     n = np.array([counts[p] for p in patterns], dtype=float)
@@ -302,7 +310,7 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 40) -> dict[
 
 @dataclass
 class Model:
-    """What the workers need: words of the sample and the classifier's weights."""
+    """What the workers need: words of the texts and the classifier's weights."""
 
     common: set[str]
     starters: set[str]
@@ -316,65 +324,122 @@ class Model:
         return [c for c in candidates(text, lex) if self.weights[c.features].sum() > 0]
 
 
-def learned_names(texts: list[str], df: Counter, least: float, known: set[str]) -> set[str]:
-    """Given names that the texts themselves teach: capitalised words before many different rare words, in the contexts of persons.
+def word_counts(text: str, into: dict[tuple[str, str, str], list[int]]) -> None:
+    """Adds what a text says of words to into: (what, word, next word) -> [uses, cued].
 
-    df: texts that hold each lower-cased word; a word of at least least texts is common.
+    df: texts that hold a word, lower-cased; plain: those that hold it in lower case; head: sentences it begins;
+    pair: its uses, capitalised, before another such word, and those in the contexts of persons.
     """
-    uses: Counter = Counter()
-    cued: Counter = Counter()
-    behind: dict[str, set[str]] = defaultdict(set)
-    plain: Counter = Counter()
-    for t in texts:
-        plain.update(set(re.findall(r"(?<!\w)[a-zß-öø-ÿ]{2,}(?!\w)", t)))
-        for m in _PAIR.finditer(t):
-            first, second = (w.lower() for w in m[0].split())
-            if first in known or first in PLACES:
-                continue
-            left = _LAST_WORDS.search(t, max(0, m.start() - 40), m.start())
-            uses[first] += 1
-            cued[first] += bool((left and left[1].lower().strip(".'-’") in CUES["name"]) or _RIGHT.match(t[m.end() : m.end() + 16]))
-            if df[second] < least:
-                behind[first].add(second)
-    return {
-        w for w, n in uses.items()
-        if len(behind[w]) >= max(LEARN_SURNAMES, LEARN_VARIETY * n) and cued[w] >= LEARN_CUED * n and plain[w] < n
-    }
-
-
-def train(texts: list[str], epochs: int = 6) -> Model:
-    """Fit lexicon, reliabilities and classifier on the given texts."""
+
+    def add(what: str, a: str, b: str = "", cued: int = 0) -> None:
+        c = into.setdefault((what, a, b), [0, 0])
+        c[0] += 1
+        c[1] += cued
+
+    for w in set(_WORD.findall(text.lower())):
+        add("df", w)
+    for w in set(_PLAIN.findall(text)):
+        add("plain", w)
+    for m in _STARTER.finditer(text):
+        add("head", m[1].lower())
+    for m in _PAIR.finditer(text):
+        first, second = (w.lower() for w in m[0].split())
+        if first in GIVEN or first in PLACES:
+            continue
+        left = _LAST_WORDS.search(text, max(0, m.start() - 40), m.start())
+        add("pair", first, second, int(bool((left and left[1].lower().strip(".'-’") in CUES["name"]) or _RIGHT.match(text[m.end() : m.end() + 16]))))
+
+
+def taught(uses, cued, rare, behind, plain):
+    """Whether a capitalised word is a given name, of columns or numbers: rare: different rare words behind it; behind: different ones at all; plain: texts with it in lower case."""
+    return (rare >= LEARN_SURNAMES) & (rare >= LEARN_VARIETY * behind) & (cued >= LEARN_CUED * uses) & (plain < uses)
+
+
+def floors(n: int) -> tuple[float, float]:
+    """Uses from which a word is common, and begins sentences, among n distinct texts."""
+    return max(4, COMMON * n), max(4, STARTS * n)
+
+
+def case_counts(texts: Iterable[str], lex: Lexicon) -> Counter:
+    """(kind, votes, features) -> candidates."""
+    return Counter((c.kind, c.votes, tuple(c.features)) for t in texts for c in candidates(t, lex))
+
+
+def loss_of(w: np.ndarray, x: np.ndarray, n: np.ndarray, true: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logistic loss and gradient over rows of features x, each n cases of which true are expected to be true."""
+    s = w[x].sum(axis=1)
+    g = n / (1 + np.exp(-np.clip(s, -500, 500))) - true
+    return float((n * np.logaddexp(0, s) - true * s).sum()), np.bincount(x.ravel(), np.repeat(g, x.shape[1]), FEATURES)
+
+
+def classifier(kinds: Iterable[str], uses: np.ndarray, loss: Callable[[np.ndarray], tuple[float, np.ndarray]]) -> np.ndarray:
+    """Weights that minimise loss and the priors, by L-BFGS scaled by how often each feature is used."""
+    if not (kinds := sorted(kinds)):
+        return np.zeros(FEATURES)
+    # what a vote means where no case is like it: the labelers' prior, as a few candidates that have only this vote
+    prior = [([_h(kind), _h(kind, k, v)], 0.5 + 0.3 * v) for kind in kinds for k in range(4) for v in (-1, 1)]
+    px, pn = np.array([f for f, _ in prior]), np.full(len(prior), 5.0)
+    pt = pn * np.array([t for _, t in prior])
+    scale = 1 / np.sqrt(0.25 * (uses + np.bincount(px.ravel(), np.repeat(pn, 2), FEATURES)) + RIDGE)
+
+    def at(u: np.ndarray) -> tuple[float, np.ndarray]:
+        w = u * scale
+        (a, ga), (b, gb) = loss(w), loss_of(w, px, pn, pt)
+        return a + b + RIDGE / 2 * float(w @ w), (ga + gb + RIDGE * w) * scale
+
+    u = np.zeros(FEATURES)
+    f, g = at(u)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        d, coef = -g, []
+        for s, y in reversed(past):
+            coef.append((s @ d) / (s @ y))
+            d = d - coef[-1] * y
+        if past:
+            d = d * (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, y), c in zip(past, reversed(coef)):
+            d = d + (c - (y @ d) / (s @ y)) * s
+        step = 1.0
+        while True:
+            f2, g2 = at(u + step * d)
+            if f2 <= f + 1e-4 * step * (g @ d) or step < 1e-6:
+                break
+            step /= 2
+        s, y, gain = step * d, g2 - g, f - f2
+        if gain > 0:
+            u, f, g = u + s, f2, g2
+        if not gain >= SETTLED * abs(f):
+            break
+        if s @ y > 0:
+            past = [*past[-9:], (s, y)]
+    return u * scale
+
+
+def train(texts: list[str]) -> Model:
+    """fit() on texts that are at hand."""
     distinct = sorted({t for t in texts if t})
-    df: Counter = Counter()
+    counts: dict[tuple[str, str, str], list[int]] = {}
     for t in distinct:
-        df.update({w for w in re.findall(r"[^\W\d_]+", t.lower())})
-    least = max(4, COMMON * len(distinct))
-    given = GIVEN | learned_names(distinct, df, least, GIVEN)
-    common = {w for w, n in df.items() if n >= least and w not in given}
-    heads = Counter(m[1].lower() for t in distinct for m in _STARTER.finditer(t))
-    starters = {w for w, n in heads.items() if n >= 4 and w not in given}
-    lex = Lexicon(common, starters, given)
-    spans = [c for t in distinct for c in candidates(t, lex)]
-    counts: dict[str, Counter] = defaultdict(Counter)
-    for c in spans:
-        counts[c.kind][c.votes] += 1
-    truth = {k: reliabilities(v) for k, v in counts.items()}
-    w = np.zeros(FEATURES)
-    if spans:
-        x = [np.array(c.features) for c in spans]
-        y = np.array([truth[c.kind][c.votes] for c in spans])
-        # what a vote means where the sample has none like it: the labelers' prior, as a few candidates that have only this vote
-        width = {c.kind: len(c.votes) for c in spans}
-        prior = [(np.array([_h(kind), _h(kind, k, v)]), 0.5 + 0.3 * v) for kind, n in width.items() for k in range(n) for v in (-1, 1)] * 5
-        x, y = x + [f for f, _ in prior], np.concatenate([y, [t for _, t in prior]])
-        rng, g2 = np.random.default_rng(7), np.full(FEATURES, 1e-2)
-        for _ in range(max(epochs, min(300, 6000 // len(x)))):  # a small sample is gone through more often
-            for i in rng.permutation(len(x)):
-                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, w[x[i]].sum()))))
-                g = p - y[i]
-                g2[x[i]] += g * g
-                w[x[i]] -= 0.3 * (g + 1e-4 * w[x[i]]) / np.sqrt(g2[x[i]])
-    return Model(common, starters, given, w)
+        word_counts(t, counts)
+    least, heads = floors(len(distinct))
+    n = lambda what, w: counts.get((what, w, ""), (0, 0))[0]
+    firsts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    for (what, a, b), (uses, cued) in counts.items():
+        if what == "pair":
+            firsts[a] = [x + y for x, y in zip(firsts[a], (uses, cued, n("df", b) < least, 1))]
+    given = GIVEN | {w for w, c in firsts.items() if taught(*c, n("plain", w))}
+    common = {a for (what, a, _), (c, _) in counts.items() if what == "df" and c >= least and a not in given}
+    starters = {a for (what, a, _), (c, _) in counts.items() if what == "head" and c >= heads and a not in given}
+    cases = case_counts(distinct, Lexicon(common, starters, given))
+    votes: dict[str, Counter] = defaultdict(Counter)
+    for (kind, v, _), c in cases.items():
+        votes[kind][v] += c
+    truth = {k: reliabilities(v) for k, v in votes.items()}
+    x = np.array([f for _, _, f in cases], dtype=int).reshape(len(cases), -1)
+    m = np.array(list(cases.values()), dtype=float)
+    true = m * np.array([truth[kind][v] for kind, v, _ in cases])
+    uses = np.bincount(x.ravel(), np.repeat(m, x.shape[1]), FEATURES) if cases else np.zeros(FEATURES)
+    return Model(common, starters, given, classifier(truth, uses, lambda w: loss_of(w, x, m, true)))
 
 
 def texts_of(messages: DataFrame, segments: DataFrame) -> DataFrame:
@@ -383,12 +448,88 @@ def texts_of(messages: DataFrame, segments: DataFrame) -> DataFrame:
     return part(messages, "messages").unionByName(part(segments, "segments")).where(F.col("text").isNotNull())
 
 
-def fit(texts: DataFrame, most: int = SAMPLE_TEXTS) -> Model:
-    """Fit on a bounded sample of about most whole texts (record_table, record_id, text), chosen by a hash of the id."""
-    n = texts.count()
-    draw = F.pmod(F.xxhash64("record_table", "record_id"), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    rows = texts.where(draw < min(1.0, most / max(n, 1))).select("text").distinct().collect()
-    return train([r["text"] for r in rows])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[tuple[str, str, str], list[int]] = {}
+
+    def rows() -> pa.RecordBatch:
+        keys, values = (zip(*counts), zip(*counts.values())) if counts else ([()] * 3, [()] * 2)
+        return pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), *(pa.array(v, pa.int64()) for v in values)], names=["what", "a", "b", "n", "cued"])
+
+    for batch in batches:
+        for t in batch.column("text").to_pylist():
+            word_counts(t, counts)
+            if len(counts) > HELD:
+                yield rows()
+                counts.clear()
+    yield rows()
+
+
+def _gradient(w: np.ndarray | None):
+    """One row per task: loss at w, and the features with a gradient; of no w: how often each feature is used."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, total = 0.0, np.zeros(FEATURES)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("features").flatten().to_numpy().reshape(b.num_rows, -1)
+            n, true = (b.column(c).to_numpy() for c in ("n", "true"))
+            a, g = (0.0, np.bincount(x.ravel(), np.repeat(n, x.shape[1]), FEATURES)) if w is None else loss_of(w, x, n, true)
+            loss, total = loss + a, total + g
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([total[at].tolist()], pa.list_(pa.float64()))], names=["loss", "at", "g"])
+
+    return run
+
+
+def _summed(examples: DataFrame, w: np.ndarray | None) -> tuple[float, np.ndarray]:
+    loss, total = 0.0, np.zeros(FEATURES)
+    for r in examples.mapInArrow(_gradient(w), "loss double, at array<int>, g array<double>").collect():
+        loss += r["loss"]
+        total[r["at"]] += r["g"]
+    return loss, total
+
+
+def fit(texts: DataFrame) -> Model:
+    """Fit lexicon, reliabilities and classifier on every distinct text (record_table, record_id, text).
+
+    The driver gets words of at least a share of the texts, names learned, counts of vote patterns and sums of features.
+    """
+    spark = texts.sparkSession
+    texts = stage(texts.select("text").where("text <> ''").distinct(), "texts")
+    least, heads = floors(texts.count())
+    counts = spread(texts).mapInArrow(_counted, "what string, a string, b string, n long, cued long")
+    counts = stage(counts.groupBy("what", "a", "b").agg(F.sum("n").alias("n"), F.sum("cued").alias("cued")), "words")
+    of = lambda what: counts.where(F.col("what") == what)
+    frequent = of("df").where(F.col("n") >= least).select(F.col("a").alias("b"), F.lit(1).alias("frequent"))
+    firsts = of("pair").select("a", "b", "n", "cued").join(F.broadcast(frequent), "b", "left").groupBy("a")
+    firsts = firsts.agg(F.sum("n").alias("uses"), F.sum("cued").alias("cued"), F.sum(F.when(F.col("frequent").isNull(), 1).otherwise(0)).alias("rare"), F.count(F.lit(1)).alias("behind"))
+    firsts = firsts.where(F.col("rare") >= LEARN_SURNAMES).join(of("plain").select("a", F.col("n").alias("plain")), "a", "left")
+    learned = firsts.where(taught(F.col("uses"), F.col("cued"), F.col("rare"), F.col("behind"), F.coalesce("plain", F.lit(0))))
+    given = GIVEN | {r["a"] for r in learned.select("a").collect()}
+    common = {r["b"] for r in frequent.collect()} - given
+    starters = {r["a"] for r in of("head").where(F.col("n") >= heads).select("a").collect()} - given
+    shared = spark.sparkContext.broadcast(Model(common, starters, given, np.zeros(0)))
+
+    def cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value.lexicon()
+        for b in batches:
+            rows = [(*k, n) for k, n in case_counts(b.column("text").to_pylist(), lex).items()]
+            kind, votes, features, n = zip(*rows) if rows else [()] * 4
+            lists = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(votes, lists), pa.array(features, lists), pa.array(n, pa.int64())], names=["kind", "votes", "features", "n"])
+
+    found = spread(texts).mapInArrow(cases, "kind string, votes array<int>, features array<int>, n long")
+    found = stage(found.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n")), "cases")
+    votes: dict[str, Counter] = defaultdict(Counter)
+    for r in found.groupBy("kind", "votes").agg(F.sum("n").alias("n")).orderBy("kind", "votes").collect():
+        votes[r["kind"]][tuple(r["votes"])] = r["n"]
+    if not votes:
+        return Model(common, starters, given, np.zeros(FEATURES))
+    truth = spark.createDataFrame([(k, list(v), float(p)) for k, c in votes.items() for v, p in reliabilities(c).items()], "kind string, votes array<int>, p double")
+    examples = found.join(F.broadcast(truth), ["kind", "votes"]).groupBy("features").agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * F.col("p")).alias("true"))
+    examples = stage(examples, "examples")
+    return Model(common, starters, given, classifier(votes, _summed(examples, None)[1], lambda w: _summed(examples, w)))
 
 
 SPAN = "record_table string, record_id string, pii_kind string, start_pos bigint, end_pos bigint"

@@ -96,3 +96,26 @@ def test_addresses_over_long_lines_and_several_lines(model):
     gap = "x " * 3000
     text = f"{gap}Send it to 281 Nakel Road, Vemorford ZZ8 5QX. {gap}Then 12 Tomor Street\nNerel, ZZ 00376, {gap}"
     assert [v for k, v in found(model, text) if k == "address"] == ["281 Nakel Road, Vemorford ZZ8 5QX", "12 Tomor Street\nNerel, ZZ 00376"]
+
+
+def test_fit_counts_every_text(spark):
+    n = 26_000
+    rare = [f"Opening{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghij"]  # each begins five texts, as few as count among so many
+    texts = [f"{w} of file {i}" for w in rare for i in range(5)] + [f"entry {i} was filed" for i in range(n)] + TEXTS * 3
+    rows = spark.createDataFrame([("messages", str(i), t) for i, t in enumerate(texts)], "record_table string, record_id string, text string")
+    fitted, here = pii.fit(rows), pii.train(texts)
+    assert {w.lower() for w in rare} <= fitted.starters
+    assert (fitted.common, fitted.starters, fitted.given) == (here.common, here.starters, here.given)
+    assert abs(fitted.weights - here.weights).max() < 0.05 and abs(here.weights).max() > 0.5
+    # a kind of case that only one text in 26,000 has is fitted too
+    assert found(fitted, TEXTS[3]) == found(here, TEXTS[3]) and found(fitted, TEXTS[3])
+
+
+def test_names_are_learned_over_tables_as_here(spark, monkeypatch):
+    cases = _corpus()
+    half = set(sorted({n.split()[0].lower() for _, n in cases})[::2])
+    monkeypatch.setattr(pii, "GIVEN", pii.GIVEN - half)
+    taught = [t.replace(f"{n.split()[0]} ", f"{n.split()[0]}q ") for t, n in cases]  # no such names in the workers' list
+    rows = spark.createDataFrame([("messages", str(i), t) for i, t in enumerate(FILLER + taught)], "record_table string, record_id string, text string")
+    learned = pii.fit(rows).given
+    assert learned == pii.train(FILLER + taught).given and len(learned) > len(pii.GIVEN) + 20
