@@ -3,21 +3,30 @@
 The metrics of two arrays are for parents of bounded size, as a window rate looks at
 every boundary for every window. boundary_metrics() works on one row per boundary,
 in blocks of positions, so a parent of any length takes work in proportion to its
-boundaries and spreads over tasks.
+boundaries and spreads over tasks. segmentation_scores() takes parents of up to WHOLE
+positions in one pass, boundaries and metrics together, and only longer ones that way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evidex.functions.text import safe_rate
-from evidex.operators.segments import BLOCK, following
+from evidex.operators.relational import latest_by_max
+from evidex.operators.segments import BLOCK, fixed_windows, following, message_groups, together
 from evidex.session import stage
 
+#: Positions up to which segmentation_scores() takes a parent in one pass of one task, some 80 MB of rows at most; the result is the same.
+WHOLE = 64 * BLOCK
+
 
 def boundaries(assigned: DataFrame) -> DataFrame:
     """conversation_id, boundaries (ascending): the first positions of all segments but the first."""
@@ -142,7 +151,7 @@ def _near(bounds: DataFrame, tolerance: int, block: int) -> DataFrame:
     rows = bounds.select(F.col("conversation_id").alias("k"), F.explode(spread).alias("block"), "at", "e", "p")
     rows = rows.withColumn("p", F.when(of(F.col("at")) == F.col("block"), F.col("p")).otherwise(0))
     kind = rows.schema["k"].dataType.simpleString()
-    tables = rows.repartition("k", "block").sortWithinPartitions("k", "block", "at").mapInArrow(_matched(tolerance, block), f"k {kind}, block long, hits array<long>, left array<long>")
+    tables = together(rows, ["k", "block"]).sortWithinPartitions("k", "block", "at").mapInArrow(_matched(tolerance, block), f"k {kind}, block long, hits array<long>, left array<long>")
     zero = F.struct(F.lit(None).cast("long").alias("block"), F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("near"))
 
     def step(acc: Column, b: Column) -> Column:
@@ -183,7 +192,11 @@ def boundary_metrics(bounds: DataFrame, lengths: DataFrame, tolerance: int = 1,
     sized = lengths.join(counts, "conversation_id", "left").fillna(0, ["ne", "np", "tp"]).withColumn("k", window_size(F.col("ne"), F.col("n")))
     sized = stage(sized.withColumn("windows", F.greatest(F.lit(0), F.col("n") - F.col("k")).cast("long")), "sized")
     found = sized.join(_near(bounds, tolerance, block), "conversation_id", "left").join(_window_counts(bounds, sized.select("conversation_id", "k", "windows"), block), "conversation_id", "left")
-    found = found.fillna(0, ["near", "split", "differ"])
+    return _rates(found.fillna(0, ["near", "split", "differ"]))
+
+
+def _rates(found: DataFrame) -> DataFrame:
+    """The metrics of rows conversation_id, n, windows, ne, np, tp, near, split, differ."""
     p, r = safe_rate(F.col("tp"), F.col("np")), safe_rate(F.col("tp"), F.col("ne"))
     pick = lambda x: F.when((F.col("ne") == 0) & (F.col("np") == 0), 1.0).otherwise(x)
     rate = lambda c: F.when(F.col("n") < 2, 0.0).otherwise(safe_rate(F.col(c), F.col("windows")))
@@ -192,6 +205,90 @@ def boundary_metrics(bounds: DataFrame, lengths: DataFrame, tolerance: int = 1,
     )
 
 
+def _starts(items: list[tuple[int, int]], target: int) -> list[int]:
+    """First positions of all segments but the first, of (position, size) in order."""
+    out, open_ = [], target + 1
+    for at, size in items:
+        if open_ + size > target:
+            out.append(at)
+            open_ = size
+        else:
+            open_ += size
+    return out[1:]
+
+
+def _counts(rows: list[tuple[int, str, int]], target: int, tolerance: int) -> tuple[int, ...]:
+    """n, windows, ne, np, tp, near, split, differ of one parent's (position, role, size) in order, the last row of a position counting."""
+    rows = [r for r, following in zip(rows, [*rows[1:], (None,)]) if r[0] != following[0]]
+    units, before = [], ""
+    for at, role, size in rows:
+        if role == "assistant" and before == "user":
+            units[-1] = (units[-1][0], units[-1][1] + size)
+        else:
+            units.append((at, size))
+        before = role
+    expected, predicted = _starts(units, target), _starts([(at, size) for at, _, size in rows], target)
+    n, ne, j, near = rows[-1][0] + 1, len(expected), 0, 0
+    for x in predicted:
+        while j < ne and expected[j] < x - tolerance:
+            j += 1
+        if j < ne and expected[j] <= x + tolerance:
+            j, near = j + 1, near + 1
+    k = max(1, min(n - 1, round(n / (ne + 1) / 2)))
+    windows, split, differ = max(0, n - k), 0, 0
+    changes: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for which, bounds in enumerate((expected, predicted)):
+        for b in bounds:
+            changes[max(0, b - k)][which] += 1
+            changes[b][which] -= 1
+    at = e = p = 0
+    for upto in [*sorted(changes), windows]:
+        length = min(upto, windows) - at
+        if length > 0:
+            split, differ, at = split + length * ((e == 0) != (p == 0)), differ + length * (e != p), at + length
+        if upto in changes:
+            e, p = e + changes[upto][0], p + changes[upto][1]
+    return n, windows, ne, len(predicted), len(set(expected) & set(predicted)), near, split, differ
+
+
+def _counted(target: int, tolerance: int, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (conversation_id, sequence_index, role, tokens) ordered so -> _counts() of every conversation."""
+    names = ["conversation_id", "n", "windows", "ne", "np", "tp", "near", "split", "differ"]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind if not i else pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(columns)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, out = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), []
+        for k, of in groupby(rows, itemgetter(0)):
+            out.append((k, *_counts([r[1:] for r in of], target, tolerance)))
+            if len(out) == 10_000:
+                yield batch(out)
+                out = []
+        yield batch(out)
+
+    return run
+
+
+def segmentation_scores(deliveries: DataFrame, target: int = 200, tolerance: int = 1, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
+    """boundary_metrics() of message_groups() (expected) and fixed_windows() (predicted).
+
+    deliveries: id, conversation_id, sequence_index, imported_at, role, tokens; of several rows of one number the last counts.
+    """
+    of = deliveries.groupBy("conversation_id").agg(F.min("sequence_index").alias("lo"), F.max("sequence_index").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    long = stage(of.where((F.col("lo") < 0) | (F.col("hi") >= whole) | (F.col("rows") > 2 * whole)).select("conversation_id"), "long")
+    rows = deliveries.join(long, "conversation_id", "left_anti").withColumn("role", F.lower(F.coalesce("role", F.lit(""))))
+    rows = together(rows, ["conversation_id"]).sortWithinPartitions("conversation_id", "sequence_index", "imported_at", "id").select("conversation_id", "sequence_index", "role", "tokens")
+    kind = rows.schema["conversation_id"].dataType
+    counts = rows.mapInArrow(_counted(target, tolerance, to_arrow_type(kind)), f"conversation_id {kind.simpleString()}, n int, windows long, ne long, np long, tp long, near long, split long, differ long")
+    if long.isEmpty():
+        return _rates(counts)
+    m = stage(latest_by_max(deliveries.join(long, "conversation_id", "left_semi"), ["conversation_id", "sequence_index"], ["imported_at", "id"]), "sized")
+    lengths = m.groupBy("conversation_id").agg((F.max("sequence_index") + 1).cast("int").alias("n"))
+    return _rates(counts).unionByName(boundary_metrics(boundary_rows(message_groups(m, target), fixed_windows(m, target)), lengths, tolerance, block))
+
+
 def near_duplicate(a: Column, b: Column, least: float = 0.9) -> Column:
     """Equal normalised texts, or token sets with a Jaccard similarity of at least 0.9."""
     ta, tb = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))

@@ -25,6 +25,15 @@ from evidex.session import stage
 BLOCK = 4096
 
 
+def together(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the rows of a key in one partition, by a hash of its own.
+
+    repartition() by the very keys of a join before it is left out of the plan, and where adaptive execution then turns that join into a
+    broadcast, its shuffle is read as its writers left it.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def by_group(df: DataFrame, keys: list[str], order: list[str], one: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """one() applied to the ordered rows of each group, many groups per batch. Groups must be of bounded size."""
 
@@ -41,7 +50,7 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], one: Callable[[pd
         if held is not None and len(held):
             yield one(held)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return together(df, keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def breaks(sizes: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +124,7 @@ def greedy(items: DataFrame, key: str, pos: str, size: str, target: int, block:
 
     entries = tables.groupBy("k").applyInPandas(chain, f"k {kind}, block long, state long, before long")
     joined = rows.join(entries, ["k", "block"], "left").fillna({"state": -1, "before": 0})
-    ready = joined.repartition("k", "block").sortWithinPartitions("k", "block", "pos")
+    ready = together(joined, ["k", "block"]).sortWithinPartitions("k", "block", "pos")
     return ready.mapInArrow(_assign(target), f"k {kind}, pos long, segment long").select(F.col("k").alias(key), F.col("pos").alias(pos), "segment")
 
 

@@ -48,11 +48,15 @@ def _ordered(spark: SparkSession, d: str) -> DataFrame:
     return R.latest_by_max(m, ["conversation_id", "sequence_index"], ["imported_at", "id"])
 
 
-def _sized(spark: SparkSession, d: str) -> DataFrame:
-    """_ordered() with estimated tokens in place of texts, which are measured before they would be shuffled."""
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    """Every delivered message with estimated tokens in place of texts, which are measured before they would be shuffled."""
     m = load(spark, d, "messages").where("conversation_id is not null and sequence_index is not null")
-    m = m.select("id", "conversation_id", "sequence_index", "imported_at", "role", T.token_estimate(F.col("content_text")).alias("tokens"))
-    return R.latest_by_max(m, ["conversation_id", "sequence_index"], ["imported_at", "id"])
+    return m.select("id", "conversation_id", "sequence_index", "imported_at", "role", T.token_estimate(F.col("content_text")).alias("tokens"))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """_ordered() of _measured()."""
+    return R.latest_by_max(_measured(spark, d), ["conversation_id", "sequence_index"], ["imported_at", "id"])
 
 
 _ORDERED_SQL = """(select * from messages where conversation_id is not null and sequence_index is not null
@@ -633,9 +637,7 @@ def _two_segmentations(spark, d):
 
 @query()
 def boundary_scores(spark, d):
-    m = stage(_sized(spark, d), "sized")
-    lengths = m.groupBy("conversation_id").agg((F.max("sequence_index") + 1).cast("int").alias("n"))
-    s = E.boundary_metrics(E.boundary_rows(SG.message_groups(m), SG.fixed_windows(m)), lengths)
+    s = E.segmentation_scores(_measured(spark, d))
     r6 = lambda c: F.round(c, 6).alias(c)
     return s.select("conversation_id", r6("precision"), r6("recall"), r6("f1"), F.col("within").alias("within_1"), r6("pk"), r6("windowdiff"))
 
