@@ -7,6 +7,8 @@ candidates estimates how reliable every labeler is, and its posteriors train
 the span classifier that decides on every candidate. Accepted spans are replaced
 by placeholders of their type. Fitting goes over every distinct text: words are
 counted as tables, and the classifier takes sums of its gradient over equal cases.
+Each distinct text is searched once: its candidates are kept as a table, on which
+the classifier is fitted and then decides, and rows find them by their text's digest.
 
 Edge cases: null, blank and valueless texts give no span and stay as they are;
 texts of any length are read whole; spans never overlap, the earlier and then
@@ -490,8 +492,20 @@ def _summed(examples: DataFrame, w: np.ndarray | None) -> tuple[float, np.ndarra
     return loss, total
 
 
+def _digest(text: str = "text"):
+    return F.unhex(F.sha2(text, 256)).alias("digest")
+
+
+CANDIDATE = "digest binary, kind string, start_pos long, end_pos long, votes array<int>, features array<int>"
+
+
 def fit(texts: DataFrame) -> Model:
-    """Fit lexicon, reliabilities and classifier on every distinct text (record_table, record_id, text).
+    """fitted() without the candidates."""
+    return fitted(texts)[0]
+
+
+def fitted(texts: DataFrame) -> tuple[Model, DataFrame]:
+    """Fit lexicon, reliabilities and classifier on every distinct text (record_table, record_id, text); also the candidates of each (CANDIDATE).
 
     The driver gets words of at least a share of the texts, names learned, counts of vote patterns and sums of features.
     """
@@ -511,32 +525,48 @@ def fit(texts: DataFrame) -> Model:
     starters = {r["a"] for r in of("head").where(F.col("n") >= heads).select("a").collect()} - given
     shared = spark.sparkContext.broadcast(Model(common, starters, given, np.zeros(0)))
 
-    def cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value.lexicon()
+        kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         for b in batches:
-            rows = [(*k, n) for k, n in case_counts(b.column("text").to_pylist(), lex).items()]
-            kind, votes, features, n = zip(*rows) if rows else [()] * 4
-            lists = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(votes, lists), pa.array(features, lists), pa.array(n, pa.int64())], names=["kind", "votes", "features", "n"])
+            rows = [(d, c.kind, c.start, c.end, c.votes, c.features) for d, t in zip(b.column("digest").to_pylist(), b.column("text").to_pylist()) for c in candidates(t, lex)]
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["digest", "kind", "start_pos", "end_pos", "votes", "features"])
 
-    found = spread(texts).mapInArrow(cases, "kind string, votes array<int>, features array<int>, n long")
-    found = stage(found.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n")), "cases")
+    searched = stage(spread(texts).select(_digest(), "text").mapInArrow(search, CANDIDATE), "candidates")
+    found = stage(searched.groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n")), "cases")
     votes: dict[str, Counter] = defaultdict(Counter)
     for r in found.groupBy("kind", "votes").agg(F.sum("n").alias("n")).orderBy("kind", "votes").collect():
         votes[r["kind"]][tuple(r["votes"])] = r["n"]
     if not votes:
-        return Model(common, starters, given, np.zeros(FEATURES))
+        return Model(common, starters, given, np.zeros(FEATURES)), searched
     truth = spark.createDataFrame([(k, list(v), float(p)) for k, c in votes.items() for v, p in reliabilities(c).items()], "kind string, votes array<int>, p double")
     examples = found.join(F.broadcast(truth), ["kind", "votes"]).groupBy("features").agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * F.col("p")).alias("true"))
     examples = stage(examples, "examples")
-    return Model(common, starters, given, classifier(votes, _summed(examples, None)[1], lambda w: _summed(examples, w)))
+    return Model(common, starters, given, classifier(votes, _summed(examples, None)[1], lambda w: _summed(examples, w))), searched
+
+
+def _accepted(searched: DataFrame, model: Model) -> DataFrame:
+    """digest, pii_kind, start_pos, end_pos of the candidates that the model takes for true."""
+    shared = searched.sparkSession.sparkContext.broadcast(model.weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("features").flatten().to_numpy().reshape(b.num_rows, -1)
+                yield b.select(["digest", "kind", "start_pos", "end_pos"]).filter(pa.array(shared.value[x].sum(axis=1) > 0))
+
+    return searched.mapInArrow(run, "digest binary, kind string, start_pos long, end_pos long").withColumnRenamed("kind", "pii_kind")
 
 
 SPAN = "record_table string, record_id string, pii_kind string, start_pos bigint, end_pos bigint"
 
 
-def find(texts: DataFrame, model: Model) -> DataFrame:
-    """record_table, record_id, pii_kind, start_pos, end_pos (exclusive) of every personal value."""
+def find(texts: DataFrame, model: Model, searched: DataFrame | None = None) -> DataFrame:
+    """record_table, record_id, pii_kind, start_pos, end_pos (exclusive) of every personal value. searched: fitted()'s candidates of these texts, which then are not searched again."""
+    if searched is not None:
+        rows = texts.select("record_table", "record_id", _digest())
+        return rows.join(_accepted(searched, model), "digest").select("record_table", "record_id", "pii_kind", "start_pos", "end_pos")
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -549,21 +579,33 @@ def find(texts: DataFrame, model: Model) -> DataFrame:
     return texts.mapInPandas(run, SPAN)
 
 
-def redact(texts: DataFrame, model: Model) -> DataFrame:
-    """record_table, record_id, text with every personal value replaced by [NAME], [EMAIL], [PHONE], [ID_NUMBER] or [ADDRESS]."""
+def _replaced(text: str, spans: Iterable[tuple[int, int, str]]) -> str:
+    parts, at = [], 0
+    for start, end, kind in spans:
+        parts += [text[at:start], f"[{kind.upper()}]"]
+        at = end
+    return "".join(parts) + text[at:] if parts else text
+
+
+def redact(texts: DataFrame, model: Model, searched: DataFrame | None = None) -> DataFrame:
+    """record_table, record_id, text with every personal value replaced by [NAME], [EMAIL], [PHONE], [ID_NUMBER] or [ADDRESS]. searched: as in find()."""
+    out = "record_table string, record_id string, text string"
+    if searched is not None:
+        spans = _accepted(searched, model).groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "pii_kind"))).alias("spans"))  # of one text
+
+        def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                new = [x if not at else _replaced(x, (tuple(s.values()) for s in at)) for x, at in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column("record_table"), b.column("record_id"), pa.array(new, pa.string())], names=["record_table", "record_id", "text"])
+
+        rows = texts.select("record_table", "record_id", "text", _digest()).join(spans, "digest", "left")
+        return rows.select("record_table", "record_id", "text", "spans").mapInArrow(replace, out)
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         lex = model.lexicon()
         for b in batches:
-            out = []
-            for x in b["text"]:
-                parts, at = [], 0
-                for c in model.spans(x, lex):
-                    parts += [x[at : c.start], f"[{c.kind.upper()}]"]
-                    at = c.end
-                out.append(x if not parts else "".join(parts) + x[at:])
-            yield b[["record_table", "record_id"]].assign(text=out)
-
-    return texts.select("record_table", "record_id", "text").mapInPandas(run, "record_table string, record_id string, text string")
+            yield b[["record_table", "record_id"]].assign(text=[_replaced(x, ((c.start, c.end, c.kind) for c in model.spans(x, lex))) for x in b["text"]])
+
+    return texts.select("record_table", "record_id", "text").mapInPandas(run, out)

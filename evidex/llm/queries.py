@@ -11,12 +11,12 @@ from evidex.session import load, spread, stage
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     texts = spread(pii.texts_of(load(spark, d, "messages"), load(spark, d, "segments")))
-    return pii.find(texts, pii.fit(texts)).select("record_table", "record_id", "pii_kind", "start_pos")
+    return pii.find(texts, *pii.fitted(texts)).select("record_table", "record_id", "pii_kind", "start_pos")
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     texts = spread(pii.texts_of(load(spark, d, "messages"), load(spark, d, "segments")))
-    return pii.redact(texts, pii.fit(texts))
+    return pii.redact(texts, *pii.fitted(texts))
 
 
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evidex.llm import pii
+from evidex.llm import pii, queries
 
 FILLER = [f"The draft chapter number {n} still waits for a signature and the disk was full." for n in range(300)]
 TEXTS = [
@@ -119,3 +119,19 @@ def test_names_are_learned_over_tables_as_here(spark, monkeypatch):
     rows = spark.createDataFrame([("messages", str(i), t) for i, t in enumerate(FILLER + taught)], "record_table string, record_id string, text string")
     learned = pii.fit(rows).given
     assert learned == pii.train(FILLER + taught).given and len(learned) > len(pii.GIVEN) + 20
+
+
+def test_each_text_is_searched_once(spark, tmp_path):
+    odd = [TEXTS[0], TEXTS[0], None, "", "😀😀 İ " + TEXTS[0], "\n"]
+    m = spark.createDataFrame([(str(i), t) for i, t in enumerate(FILLER + TEXTS * 3 + odd)], "id string, content_text string")
+    texts = pii.texts_of(m, m.limit(20))
+    model, searched = pii.fitted(texts)
+    once, again = pii.find(texts, model, searched), pii.find(texts, model)
+    assert once.dtypes == again.dtypes and sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect())) and once.count() > 30
+    assert pii.find(texts, model, searched.limit(0)).count() == 0  # what was not kept is not looked for
+    once, again = pii.redact(texts, model, searched), pii.redact(texts, model)
+    assert once.dtypes == again.dtypes and sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect()))
+    for name in ("messages", "segments"):
+        m.write.parquet(str(tmp_path / f"{name}.parquet"))
+    plan = queries.p1_found(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan
